@@ -23,7 +23,7 @@ def r6(df, *keep, skip=()):
 
 
 def grid(s, d):
-    return P.panel_grid(TB.brand_prices(s, d))
+    return P.panel_grid(TB.brand_prices(s, d), TB.brand_calendar(s, d))
 
 
 def feats(s, d):
@@ -31,7 +31,7 @@ def feats(s, d):
 
 
 def cal(s, d):
-    return P.calendar(TB.brand_prices(s, d))
+    return TB.brand_calendar(s, d)
 
 
 def series_returns(s, d):

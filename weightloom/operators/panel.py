@@ -37,15 +37,19 @@ def calendar(prices: DataFrame) -> DataFrame:
     )
 
 
-def panel_grid(prices: DataFrame) -> DataFrame:
+def panel_grid(prices: DataFrame, cal: DataFrame | None = None) -> DataFrame:
     """Every (asset, calendar date) once, with raw and forward-filled price.
 
     Each observed price emits the rows up to the next observation, which fills
     forward without a calendar-by-universe join.  Leading rows, before the first
     price of an asset, carry NULL.  Columns: asset, ord, t, dt, n_dates, px
     (NULL where unobserved), px_ff, and r (0 on unobserved days) if supplied.
+
+    The calendar (one row per trading day, so bounded by the history length and
+    not by the universe) is broadcast; the panel itself keeps its partitioning
+    by asset through every later per-asset window.
     """
-    cal = calendar(prices)
+    cal = F.broadcast(calendar(prices) if cal is None else cal)
     seen = prices.withColumn("px", finite("px")).where("px IS NOT NULL").join(cal, "dt")
     first = F.lag("t").over(BY_ASSET).isNull()
     nxt = F.lead("t").over(BY_ASSET)
@@ -93,7 +97,9 @@ def rolling_features(grid: DataFrame, fill: bool = True) -> DataFrame:
     )
     cols["mdd"] = finite(F.try_divide("px", F.max("px").over(SO_FAR)) - 1.0)
     g = g.withColumns(cols).drop("_valid")
-    g = g.withColumn("cross_vol", F.avg("vol3m").over(Window.partitionBy("t")))
+    # one row per date comes back by broadcast; the wide table is not reshuffled
+    per_date = g.groupBy("t").agg(F.avg("vol3m").alias("cross_vol"))
+    g = g.join(F.broadcast(per_date), "t")
     return carry_forward(g) if fill else g
 
 

@@ -189,6 +189,13 @@ def _decided(df: DataFrame, decisions: DataFrame) -> DataFrame:
     return df.join(decisions.select("t"), "t", "left_semi")
 
 
+def _zero_filled(grid: DataFrame) -> DataFrame:
+    """Daily returns with gaps as 0; a supplied ``ret`` column is taken as is."""
+    if "ret" in grid.columns:
+        return grid.withColumn("ret", F.coalesce(finite("ret"), F.lit(0.0)))
+    return simple_returns(grid, zero_fill=True)
+
+
 def momentum(grid: DataFrame, decisions: DataFrame, lookback: int = 126) -> DataFrame:
     """Top half by the L-row price return, equally weighted."""
     gain = F.coalesce(finite(F.try_divide("px", F.lag("px", lookback).over(BY_ASSET)) - 1.0), F.lit(0.0))
@@ -212,7 +219,7 @@ def trend(grid: DataFrame, decisions: DataFrame, lookback: int = 126) -> DataFra
 def ratio_weighted(grid: DataFrame, decisions: DataFrame, lookback: int = 60, downside: bool = False) -> DataFrame:
     """Trailing Sharpe (or Sortino) ratio, negatives cut, normalised."""
     frame = BY_ASSET.rowsBetween(-lookback, -1)
-    g = simple_returns(grid, zero_fill=True)
+    g = _zero_filled(grid)
     risk = F.least("ret", F.lit(0.0)) if downside else F.col("ret")
     sd = F.stddev_samp(risk).over(frame)
     score = F.coalesce(F.greatest(F.avg("ret").over(frame) / F.when(sd > 0, sd), F.lit(0.0)), F.lit(0.0))
@@ -227,7 +234,7 @@ def min_cvar(grid: DataFrame, decisions: DataFrame, lookback: int = 126, alpha:
 
     Each (decision, asset) group holds at most ``lookback`` rows.
     """
-    g = simple_returns(grid, zero_fill=True).select("t", "asset", "ord", (-F.col("ret")).alias("loss"))
+    g = _zero_filled(grid).select("t", "asset", "ord", (-F.col("ret")).alias("loss"))
     members = window_members(g, decisions, lookback)
     group = Window.partitionBy("decision_t", "asset")
     tail = members.withColumn("q", F.percentile("loss", F.lit(1.0 - alpha)).over(group))
@@ -241,7 +248,7 @@ def min_cvar(grid: DataFrame, decisions: DataFrame, lookback: int = 126, alpha:
 
 def vol_scaled_trend(grid: DataFrame, decisions: DataFrame, ret_rows: int = 126, vol_rows: int = 63) -> DataFrame:
     """Inverse volatility over assets with a positive trailing return."""
-    g = simple_returns(grid, zero_fill=True)
+    g = _zero_filled(grid)
     vol = F.stddev_samp("ret").over(BY_ASSET.rowsBetween(-vol_rows, -1))
     gain = F.product(1.0 + F.col("ret")).over(BY_ASSET.rowsBetween(-ret_rows, -1)) - 1.0
     score = F.when((F.col("gain") > 0) & (F.col("vol") > 0), 1.0 / F.greatest("vol", F.lit(1e-6))).otherwise(0.0)

@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weightloom.operators.panel import calendar
+from weightloom.session import fan_out
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,10 +47,17 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def brand_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(asset, ord, dt, r, px): level 100 compounded over the observed days."""
     w = Window.partitionBy("asset").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    cells = brand_returns(spark, sf_dir).withColumn("px", 100.0 * F.product(1.0 + F.col("r")).over(w))
+    # an explicit count: the panel is widened to every calendar day afterwards,
+    # which an adaptively coalesced shuffle would do in one or two tasks
+    cells = brand_returns(spark, sf_dir).repartition(fan_out(spark), "asset").withColumn("px", 100.0 * F.product(1.0 + F.col("r")).over(w))
     return cells.join(universe(spark, sf_dir), "asset").select("asset", "ord", "dt", "r", "px")
 
 
+def brand_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trading calendar straight from the return cells, without compounding."""
+    return calendar(brand_returns(spark, sf_dir).withColumnRenamed("r", "px"))
+
+
 def segment_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small universe: market segments, with returns from order-price cents."""
     o = table(spark, sf_dir, "orders").select(

@@ -7,6 +7,7 @@ from checks import sqlparts as S
 from weightloom.operators import dates as D
 from weightloom.operators import metrics as K
 from weightloom.operators import panel as P
+from weightloom.sources import archive as A
 from weightloom.sources import testbed as TB
 
 Q, O = {}, {}
@@ -22,16 +23,21 @@ def r6(df, *keep, skip=()):
     return df.select(*out)
 
 
-def grid(s, d):
+def live_grid(s, d):
+    """The panel from the source tables, not from the archive."""
     return P.panel_grid(TB.brand_prices(s, d), TB.brand_calendar(s, d))
 
 
+def grid(s, d):
+    return A.brand_features(s, d).select("asset", "ord", "t", "dt", "n_dates", "px", "px_ff", "r")
+
+
 def feats(s, d):
-    return P.rolling_features(grid(s, d))
+    return A.brand_features(s, d)
 
 
 def cal(s, d):
-    return TB.brand_calendar(s, d)
+    return A.brand_days(s, d)
 
 
 def series_returns(s, d):
@@ -55,21 +61,21 @@ Q["price_snapshot_range"] = lambda s, d: r6(
 O["price_snapshot_range"] = f"""WITH {S.BRAND} SELECT asset, dt, round(px, 6) AS px FROM prices
 WHERE dt >= DATE '1996-01-01' AND dt < DATE '1998-01-01'"""
 
-Q["price_audit"] = lambda s, d: r6(P.with_provenance(P.price_audit(grid(s, d)), source="snapshot"))
+Q["price_audit"] = lambda s, d: r6(P.with_provenance(P.price_audit(live_grid(s, d)), source="snapshot"))
 O["price_audit"] = f"""WITH {S.BRAND} SELECT asset, min(dt) FILTER (px IS NOT NULL) AS first_valid,
 max(dt) FILTER (px IS NOT NULL) AS last_valid, round(avg(CASE WHEN px IS NULL THEN 1e0 ELSE 0e0 END), 6) AS missing_rate,
 count(px) AS n_obs, 'snapshot' AS source FROM grid GROUP BY asset"""
 
 # --- E1-E3, F1-F7 ------------------------------------------------------------
 Q["panel_fill_and_returns"] = lambda s, d: r6(
-    P.simple_returns(grid(s, d)).select("asset", "t", "dt", "px", "px_ff", "ret"))
+    P.simple_returns(live_grid(s, d)).select("asset", "t", "dt", "px", "px_ff", "ret"))
 O["panel_fill_and_returns"] = f"""WITH {S.RETS} SELECT asset, t, dt, {S.Rs('px', 'px_ff', 'ret')} FROM rets"""
 
 Q["features_unfilled"] = lambda s, d: r6(
-    P.rolling_features(grid(s, d), fill=False).select("asset", "t", "r1m", "r3m", "r12m", "vol3m", "mdd", "cross_vol"))
+    P.rolling_features(live_grid(s, d), fill=False).select("asset", "t", "r1m", "r3m", "r12m", "vol3m", "mdd", "cross_vol"))
 O["features_unfilled"] = f"""WITH {S.RAWFEAT} SELECT asset, t, {S.Rs('r1m', 'r3m', 'r12m', 'vol3m', 'mdd', 'cross_vol')} FROM rf"""
 
-Q["features"] = lambda s, d: r6(feats(s, d).select("asset", "t", "r1m", "r3m", "r12m", "vol3m", "mdd", "cross_vol"))
+Q["features"] = lambda s, d: r6(P.rolling_features(live_grid(s, d)).select("asset", "t", "r1m", "r3m", "r12m", "vol3m", "mdd", "cross_vol"))
 O["features"] = f"""WITH {S.FEAT} SELECT asset, t, {S.Rs('r1m', 'r3m', 'r12m', 'vol3m', 'mdd', 'cross_vol')} FROM feats"""
 
 Q["features_small_universe"] = lambda s, d: r6(
@@ -115,7 +121,7 @@ Q["split_index"] = lambda s, d: cal(s, d).groupBy(F.year("dt").alias("year")).ag
 O["split_index"] = f"""WITH {S.BRAND}, y AS (SELECT year(dt) AS year, count(*) AS n FROM cal GROUP BY 1)
 SELECT year, n, greatest(1, least(n - 1, CAST(round_even(n * 0.7e0, 0) AS INT))) AS split FROM y"""
 
-Q["decision_calendar"] = lambda s, d: D.decision_dates(cal(s, d)).select("t", "dt", "decision")
+Q["decision_calendar"] = lambda s, d: D.decision_dates(TB.brand_calendar(s, d)).select("t", "dt", "decision")
 O["decision_calendar"] = f"WITH {S.BRAND}{S.DECIDE} SELECT t, dt, decision FROM decisions"
 
 Q["regime_sample"] = lambda s, d: D.regime_sample(

@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 from weightloom.functions.scalars import finite
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with ``value`` evaluated once.
+
+    A column referenced inside a lambda is inlined by the optimizer and would be
+    recomputed for every element; a lambda variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def scale_to_one(v: Column) -> Column:
+    return bind(v, lambda w: bind(total(w), lambda s: F.transform(w, lambda x: F.try_divide(x, s))))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -87,7 +100,7 @@ def project_capped(v: Column, cap: Column | float) -> Column:
                     acc["g"].alias("g"),
                     acc["slope"].alias("slope"),
                     acc["at"].alias("at"),
-                    (acc["at"] + (F.lit(1.0) - acc["g"]) / acc["slope"]).alias("hit"),
+                    (acc["at"] + F.try_divide(F.lit(1.0) - acc["g"], acc["slope"])).alias("hit"),
                 ),
             )
             .otherwise(
@@ -107,15 +120,8 @@ def project_capped(v: Column, cap: Column | float) -> Column:
         F.lit(None).cast("double").alias("hit"),
     )
     shift = F.aggregate(kinks, start, step, lambda acc: F.coalesce(acc["hit"], acc["at"]))
-    # binding through one-element arrays keeps each intermediate evaluated once
-    clipped = F.transform(
-        F.array(shift),
-        lambda u: F.transform(a, lambda x: F.least(F.greatest(x + u, F.lit(0.0)), cap)),
-    )[0]
-    scaled = F.transform(
-        F.array(clipped),
-        lambda w: F.transform(F.array(total(w)), lambda s: F.transform(w, lambda x: x / s))[0],
-    )[0]
+    clipped = bind(shift, lambda u: F.transform(a, lambda x: F.least(F.greatest(x + u, F.lit(0.0)), cap)))
+    scaled = scale_to_one(clipped)
     return F.when(cap * F.size(v) < 1.0 - 1e-12, equal_like(v)).otherwise(scaled)
 
 

@@ -20,22 +20,23 @@ def _curve(returns: DataFrame, keys: list[str], order: str) -> DataFrame:
     so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     r = returns.where(F.col("ret").isNotNull())
     r = r.withColumn("eq", F.product(1.0 + F.col("ret")).over(so_far))
-    return r.withColumn("dd", F.col("eq") / F.max("eq").over(so_far) - 1.0)
+    return r.withColumn("dd", F.try_divide("eq", F.max("eq").over(so_far)) - 1.0)
 
 
 def _ratio(mean: Column, sd: Column, otherwise, floor: float = 0.0) -> Column:
-    return F.when(sd > floor, math.sqrt(YEAR) * mean / sd).otherwise(otherwise)
+    return F.when(sd > floor, F.try_divide(math.sqrt(YEAR) * mean, sd)).otherwise(otherwise)
 
 
-def summary(returns: DataFrame, keys: list[str], order: str = "t", turnover: DataFrame | None = None) -> DataFrame:
+def summary(returns: DataFrame, keys: list[str], order: str = "t") -> DataFrame:
     """CAGR, Sharpe, Sortino, volatility, drawdown, Calmar, terminal value.
 
     The growth rate divides by the first equity value, so the first return does
     not count, while years are n/252; zero variance gives a ratio of 0; Calmar
-    is infinite without drawdown.  ``turnover`` is (keys, turnover) rows whose
-    mean, first day included as 0, is the average turnover.
+    is infinite without drawdown.  A daily ``turnover`` column, 0 on the first
+    day, gives the average turnover in the same pass.
     """
     c = _curve(returns, keys, order)
+    extra = [F.avg("turnover").alias("avg_turnover")] if "turnover" in returns.columns else []
     neg = F.least("ret", F.lit(0.0))
     a = c.groupBy(*keys).agg(
         F.count("*").alias("n"),
@@ -45,22 +46,33 @@ def summary(returns: DataFrame, keys: list[str], order: str = "t", turnover: Dat
         F.min("dd").alias("mdd"),
         F.min_by("eq", order).alias("eq0"),
         F.max_by("eq", order).alias("eq1"),
+        *extra,
     )
-    total = F.when(F.col("eq0") != 0, F.col("eq1") / F.col("eq0")).otherwise(0.0)
+    total = F.when(F.col("eq0") != 0, F.try_divide("eq1", "eq0")).otherwise(0.0)
     years = F.greatest(F.col("n") / YEAR, F.lit(1e-9))
     cagr = F.when(total > 0, F.pow(total, 1.0 / years) - 1.0).otherwise(0.0)
-    out = a.withColumn("cagr", cagr).select(
+    return a.withColumn("cagr", cagr).select(
         *keys, "n", "cagr",
         _ratio(F.col("mu"), F.col("sd"), 0.0).alias("sharpe"),
         _ratio(F.col("mu"), F.col("dsd"), 0.0).alias("sortino"),
         (F.col("sd") * math.sqrt(YEAR)).alias("vol"),
         "mdd",
-        F.when(F.col("mdd") < 0, F.col("cagr") / F.abs("mdd")).otherwise(F.lit(float("inf"))).alias("calmar"),
+        F.when(F.col("mdd") < 0, F.try_divide(F.col("cagr"), F.abs("mdd"))).otherwise(F.lit(float("inf"))).alias("calmar"),
         F.col("eq1").alias("terminal"),
+        *(["avg_turnover"] if extra else []),
     )
-    if turnover is None:
-        return out
-    return out.join(turnover.groupBy(*keys).agg(F.avg("turnover").alias("avg_turnover")), keys, "left")
+
+
+def fold_summary(daily: DataFrame, keys: list[str]) -> DataFrame:
+    """Metrics per fold and for the stitched run ("ALL") in one pass.
+
+    Every day counts once for its fold and once for ALL; the ALL turnover is the
+    mean of the fold means.
+    """
+    day = daily.drop("w").select("*", F.explode(F.array(F.col("fold").cast("string"), F.lit("ALL"))).alias("scope"))
+    out = summary(day.drop("fold"), [*keys, "scope"])
+    mean_of_folds = F.avg(F.when(F.col("scope") != "ALL", F.col("avg_turnover"))).over(Window.partitionBy(*keys))
+    return out.withColumn("avg_turnover", F.when(F.col("scope") == "ALL", mean_of_folds).otherwise(F.col("avg_turnover")))
 
 
 def whole_sample(returns: DataFrame, keys: list[str], order: str = "t") -> DataFrame:
@@ -110,7 +122,7 @@ def robust_returns(returns: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def daily_turnover(weights: DataFrame, keys: list[str], order: str = "t") -> DataFrame:
+def turnover_by_day(weights: DataFrame, keys: list[str], order: str = "t") -> DataFrame:
     """(keys, order, turnover): sum of absolute weight changes, 0 on the first day.
 
     ``weights`` holds one array per day in universe order.

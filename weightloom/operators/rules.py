@@ -58,7 +58,7 @@ def core_weight(feature: str, how: str, cap: float, missing: str = "worst") -> C
 def normalised(score: Column) -> Column:
     """Share of a non-negative score within its date; equal if nothing scores."""
     s = F.sum(score).over(DAY)
-    return F.when(s > 1e-12, score / s).otherwise(equal_weight())
+    return F.when(s > 1e-12, F.try_divide(score, s)).otherwise(equal_weight())
 
 
 def reward_to_risk() -> Column:
@@ -70,7 +70,7 @@ def reward_to_risk() -> Column:
 def z_score(feature: str) -> Column:
     x = F.coalesce(finite(feature), F.lit(0.0))
     sd = F.stddev_pop(x).over(DAY)
-    return F.when(sd > 1e-12, (x - F.avg(x).over(DAY)) / sd).otherwise(0.0)
+    return F.when(sd > 1e-12, F.try_divide(x - F.avg(x).over(DAY), sd)).otherwise(0.0)
 
 
 def _ranked(score: str) -> Column:
@@ -212,7 +212,7 @@ def trend(grid: DataFrame, decisions: DataFrame, lookback: int = 126) -> DataFra
     sma = F.when(F.count("px").over(frame) == lookback, F.avg("px").over(frame))
     x = _decided(grid.withColumn("up", F.coalesce(F.col("px") > sma, F.lit(False)).cast("int")), decisions)
     n_up = F.sum("up").over(DAY)
-    w = F.when(_short(lookback) | (n_up == 0), equal_weight()).otherwise(F.col("up") / n_up)
+    w = F.when(_short(lookback) | (n_up == 0), equal_weight()).otherwise(F.try_divide("up", n_up))
     return x.select("t", "asset", "ord", w.alias("w"))
 
 
@@ -222,10 +222,10 @@ def ratio_weighted(grid: DataFrame, decisions: DataFrame, lookback: int = 60, do
     g = _zero_filled(grid)
     risk = F.least("ret", F.lit(0.0)) if downside else F.col("ret")
     sd = F.stddev_samp(risk).over(frame)
-    score = F.coalesce(F.greatest(F.avg("ret").over(frame) / F.when(sd > 0, sd), F.lit(0.0)), F.lit(0.0))
+    score = F.coalesce(F.greatest(F.try_divide(F.avg("ret").over(frame), F.when(sd > 0, sd)), F.lit(0.0)), F.lit(0.0))
     x = _decided(g.withColumn("score", score), decisions)
     s = F.sum("score").over(DAY)
-    w = F.when(s > 0, F.col("score") / s).otherwise(equal_weight())
+    w = F.when(s > 0, F.try_divide("score", s)).otherwise(equal_weight())
     return x.select("t", "asset", "ord", w.alias("w"))
 
 
@@ -261,16 +261,22 @@ def equal(grid: DataFrame, decisions: DataFrame) -> DataFrame:
     return _decided(grid, decisions).select("t", "asset", "ord", equal_weight().alias("w"))
 
 
+def coded_policies(feats: DataFrame, decisions: DataFrame, policies: list[str], cap: float = 0.60) -> DataFrame:
+    """(policy, t, asset, ord, w) of several coded personas in one pass."""
+    def weight(p: str) -> Column:
+        if p in CORE_FEATURE:
+            return core_weight(*CORE_FEATURE[p], cap, missing="zero")
+        return normalised(reward_to_risk()) if p == "P5" else equal_weight()
+
+    x = _decided(feats, decisions)
+    wide = x.select("t", "asset", "ord", *[weight(p).alias(f"w_{p}") for p in policies])
+    pairs = F.array(*[F.struct(F.lit(p).alias("policy"), F.col(f"w_{p}").alias("w")) for p in policies])
+    return wide.select("t", "asset", "ord", F.inline(pairs)).select("policy", "t", "asset", "ord", "w")
+
+
 def coded_policy(feats: DataFrame, decisions: DataFrame, policy: str, cap: float = 0.60) -> DataFrame:
     """Deterministic executor of one persona; missing features count as 0."""
-    x = _decided(feats, decisions)
-    if policy in CORE_FEATURE:
-        w = core_weight(*CORE_FEATURE[policy], cap, missing="zero")
-    elif policy == "P5":
-        w = normalised(reward_to_risk())
-    else:
-        w = equal_weight()
-    return x.select("t", "asset", "ord", w.alias("w"))
+    return coded_policies(feats, decisions, [policy], cap).drop("policy")
 
 
 Rule = Callable[[DataFrame, DataFrame], DataFrame]
@@ -297,7 +303,15 @@ def register(name: str, rule: Rule) -> None:
 
 def build_targets(names: list[str], feats: DataFrame, decisions: DataFrame) -> DataFrame:
     """(series, t, asset, ord, w) of several rules; unknown names are skipped."""
-    parts = [REGISTRY[n](feats, decisions).withColumn("series", F.lit(n)) for n in names if n in REGISTRY]
+    coded = {f"CODED_P{k}": f"P{k}" for k in range(1, 6)}
+    one_pass = [n for n in names if n in coded]
+    parts = [
+        REGISTRY[n](feats, decisions).withColumn("series", F.lit(n))
+        for n in names if n in REGISTRY and n not in one_pass
+    ]
+    if one_pass:
+        c = coded_policies(feats, decisions, [coded[n] for n in one_pass])
+        parts.append(c.withColumn("series", F.concat(F.lit("CODED_"), "policy")).drop("policy"))
     if not parts:
         raise ValueError("no known rule among " + ", ".join(names))
     out = parts[0]

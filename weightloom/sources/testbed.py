@@ -31,10 +31,12 @@ def _cells(priced: DataFrame, asset: str, day: str, cents: str) -> DataFrame:
 
 
 def brand_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_shipdate", F.round(F.col("l_discount") * 100).cast("bigint").alias("cents")
-    )
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    # the null filters are spelled out so that the calendar and the panel read the
+    # very same exchange instead of two that differ by an inferred predicate
+    li = table(spark, sf_dir, "lineitem").where(
+        "l_partkey IS NOT NULL AND l_shipdate IS NOT NULL AND l_discount IS NOT NULL"
+    ).select("l_partkey", "l_shipdate", F.round(F.col("l_discount") * 100).cast("bigint").alias("cents"))
+    part = table(spark, sf_dir, "part").where("p_partkey IS NOT NULL AND p_brand IS NOT NULL").select("p_partkey", "p_brand")
     return _cells(li.join(part, li.l_partkey == part.p_partkey), "p_brand", "l_shipdate", "cents")
 
 

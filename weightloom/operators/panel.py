@@ -18,8 +18,13 @@ YEAR = 252
 ROLL = {"r1m": 21, "r3m": 63, "r12m": 252}
 FEATURES = ("r1m", "r3m", "r12m", "vol3m", "mdd")
 
-BY_ASSET = Window.partitionBy("asset").orderBy("t")
-SO_FAR = BY_ASSET.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_asset():
+    return Window.partitionBy("asset").orderBy("t")
+
+
+def so_far():
+    return by_asset().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def calendar(prices: DataFrame) -> DataFrame:
@@ -51,8 +56,8 @@ def panel_grid(prices: DataFrame, cal: DataFrame | None = None) -> DataFrame:
     """
     cal = F.broadcast(calendar(prices) if cal is None else cal)
     seen = prices.withColumn("px", finite("px")).where("px IS NOT NULL").join(cal, "dt")
-    first = F.lag("t").over(BY_ASSET).isNull()
-    nxt = F.lead("t").over(BY_ASSET)
+    first = F.lag("t").over(by_asset()).isNull()
+    nxt = F.lead("t").over(by_asset())
     spans = seen.select(
         *[c for c in seen.columns if c not in ("dt", "t")],
         F.col("t").alias("at"),
@@ -73,7 +78,7 @@ def panel_grid(prices: DataFrame, cal: DataFrame | None = None) -> DataFrame:
 
 def simple_returns(grid: DataFrame, zero_fill: bool = False) -> DataFrame:
     """``ret`` = px_ff[t] / px_ff[t-1] - 1; infinities NULL, optionally 0."""
-    ret = finite(F.try_divide("px_ff", F.lag("px_ff").over(BY_ASSET)) - 1.0)
+    ret = finite(F.try_divide("px_ff", F.lag("px_ff").over(by_asset())) - 1.0)
     return grid.withColumn("ret", F.coalesce(ret, F.lit(0.0)) if zero_fill else ret)
 
 
@@ -85,17 +90,17 @@ def rolling_features(grid: DataFrame, fill: bool = True) -> DataFrame:
     of a 252-row frame.  The running count of valid returns is the guard.
     """
     g = simple_returns(grid)
-    valid = F.count("ret").over(SO_FAR)
+    valid = F.count("ret").over(so_far())
     g = g.withColumn("_valid", valid)
     cols = {}
     for name, rows in ROLL.items():
-        whole = (F.col("_valid") - F.lag("_valid", rows).over(BY_ASSET)) == rows
-        cols[name] = F.when(whole, F.try_divide("px_ff", F.lag("px_ff", rows).over(BY_ASSET)) - 1.0)
-    w63 = BY_ASSET.rowsBetween(-62, 0)
+        whole = (F.col("_valid") - F.lag("_valid", rows).over(by_asset())) == rows
+        cols[name] = F.when(whole, F.try_divide("px_ff", F.lag("px_ff", rows).over(by_asset())) - 1.0)
+    w63 = by_asset().rowsBetween(-62, 0)
     cols["vol3m"] = F.when(
         F.count("ret").over(w63) >= 21, F.stddev_samp("ret").over(w63) * F.lit(math.sqrt(YEAR))
     )
-    cols["mdd"] = finite(F.try_divide("px", F.max("px").over(SO_FAR)) - 1.0)
+    cols["mdd"] = finite(F.try_divide("px", F.max("px").over(so_far())) - 1.0)
     g = g.withColumns(cols).drop("_valid")
     # one row per date comes back by broadcast; the wide table is not reshuffled
     per_date = g.groupBy("t").agg(F.avg("vol3m").alias("cross_vol"))
@@ -106,7 +111,7 @@ def rolling_features(grid: DataFrame, fill: bool = True) -> DataFrame:
 def carry_forward(feats: DataFrame) -> DataFrame:
     """Residual fill: last known value per asset (never from the future), then 0."""
     cols = {
-        c: F.coalesce(F.last(c, ignorenulls=True).over(SO_FAR), F.lit(0.0))
+        c: F.coalesce(F.last(c, ignorenulls=True).over(so_far()), F.lit(0.0))
         for c in (*FEATURES, "cross_vol")
     }
     return feats.withColumns(cols)

@@ -16,9 +16,13 @@ from pyspark.sql import functions as F
 
 from weightloom.functions.scalars import INF, finite
 from weightloom.operators.dates import window_members
-from weightloom.operators.panel import BY_ASSET, simple_returns
+from weightloom.operators.panel import by_asset, simple_returns
+
+
+def day():
+    """All assets of one decision date."""
+    return Window.partitionBy("t")
 
-DAY = Window.partitionBy("t")
 
 # ---- fixed values: policy parameters ---------------------------------------
 RANKED_TOP = (0.40, 0.25, 0.15)
@@ -33,7 +37,7 @@ POLICIES = ("P1", "P2", "P3", "P4", "P5", "P6", "L1", "L2", "L3", "L4", "L5", "L
 
 
 def _n() -> Column:
-    return F.count("*").over(DAY)
+    return F.count("*").over(day())
 
 
 def equal_weight() -> Column:
@@ -45,7 +49,7 @@ def _core_rank(feature: str, how: str, missing: str = "worst") -> Column:
     worst = 0.0 if missing == "zero" else (-INF if how == "max" else INF)
     x = F.coalesce(finite(feature), F.lit(worst))
     order = x.desc() if how == "max" else x.asc()
-    return F.row_number().over(DAY.orderBy(order, F.col("ord")))
+    return F.row_number().over(day().orderBy(order, F.col("ord")))
 
 
 def core_weight(feature: str, how: str, cap: float, missing: str = "worst") -> Column:
@@ -57,7 +61,7 @@ def core_weight(feature: str, how: str, cap: float, missing: str = "worst") -> C
 
 def normalised(score: Column) -> Column:
     """Share of a non-negative score within its date; equal if nothing scores."""
-    s = F.sum(score).over(DAY)
+    s = F.sum(score).over(day())
     return F.when(s > 1e-12, F.try_divide(score, s)).otherwise(equal_weight())
 
 
@@ -69,12 +73,12 @@ def reward_to_risk() -> Column:
 
 def z_score(feature: str) -> Column:
     x = F.coalesce(finite(feature), F.lit(0.0))
-    sd = F.stddev_pop(x).over(DAY)
-    return F.when(sd > 1e-12, F.try_divide(x - F.avg(x).over(DAY), sd)).otherwise(0.0)
+    sd = F.stddev_pop(x).over(day())
+    return F.when(sd > 1e-12, F.try_divide(x - F.avg(x).over(day()), sd)).otherwise(0.0)
 
 
 def _ranked(score: str) -> Column:
-    rank = F.row_number().over(DAY.orderBy(F.col(score).desc(), "ord"))
+    rank = F.row_number().over(day().orderBy(F.col(score).desc(), "ord"))
     tops = F.lit(0.0)
     for k, w in enumerate(RANKED_TOP, start=1):
         tops = F.when(rank == k, w).otherwise(tops)
@@ -99,12 +103,12 @@ def policy_weights(
     """
     zero = lambda c: F.coalesce(finite(c), F.lit(0.0))
     x = feats.select("t", "asset", "ord", "cross_vol", *[zero(c).alias(c) for c in ("r1m", "r3m", "r12m", "vol3m", "mdd")])
-    quant = lambda c, *p: F.percentile(c, F.array(*[F.lit(v) for v in p])).over(DAY)
+    quant = lambda c, *p: F.percentile(c, F.array(*[F.lit(v) for v in p])).over(day())
     x = x.withColumns(
         {
             "_vol_q": quant("vol3m", 0.25, 0.5, 0.75),
             "_r12_q": quant("r12m", 0.5, 0.75, 0.9),
-            "_vol_mean": F.avg("vol3m").over(DAY),
+            "_vol_mean": F.avg("vol3m").over(day()),
             "z12": z_score("r12m"), "z3": z_score("r3m"), "zv": z_score("vol3m"), "zd": z_score("mdd"),
         }
     )
@@ -130,16 +134,16 @@ def policy_weights(
         }
     )
     soft = {"e5": "s5", "e6": "s6"}
-    x = x.withColumns({e: F.exp((F.col(s) - F.max(s).over(DAY)) / SOFTMAX_TEMPERATURE) for e, s in soft.items()})
+    x = x.withColumns({e: F.exp((F.col(s) - F.max(s).over(day())) / SOFTMAX_TEMPERATURE) for e, s in soft.items()})
     x = x.withColumns(
         {
-            "c5": F.least(F.col("e5") / F.sum("e5").over(DAY), F.lit(0.30)),
-            "c6": F.least(F.col("e6") / F.sum("e6").over(DAY), F.lit(0.40)),
+            "c5": F.least(F.col("e5") / F.sum("e5").over(day()), F.lit(0.30)),
+            "c6": F.least(F.col("e6") / F.sum("e6").over(day()), F.lit(0.40)),
             "_safe": F.upper("asset").isin(*[d.upper() for d in defensive]).cast("double"),
         }
     )
-    w6 = F.col("c6") / F.sum("c6").over(DAY)
-    n_safe = F.sum("_safe").over(DAY)
+    w6 = F.col("c6") / F.sum("c6").over(day())
+    n_safe = F.sum("_safe").over(day())
     sleeve = (F.coalesce(F.col("cross_vol"), F.col("_vol_mean")) >= v75) & (n_safe > 0)
     w6 = F.when(
         sleeve, w6 * (1.0 - DEFENSIVE_SLEEVE) + DEFENSIVE_SLEEVE * F.col("_safe") / F.greatest(n_safe, F.lit(1.0))
@@ -154,7 +158,7 @@ def policy_weights(
         "L2": _ranked("s2"),
         "L3": _ranked("s3"),
         "L4": _ranked("s4"),
-        "L5": F.col("c5") / F.sum("c5").over(DAY),
+        "L5": F.col("c5") / F.sum("c5").over(day()),
     }
     by_policy["L1"], by_policy["L6"] = by_policy["P2"], by_policy["P6"]
     need = [p for p in POLICIES if p in policies]
@@ -198,9 +202,9 @@ def _zero_filled(grid: DataFrame) -> DataFrame:
 
 def momentum(grid: DataFrame, decisions: DataFrame, lookback: int = 126) -> DataFrame:
     """Top half by the L-row price return, equally weighted."""
-    gain = F.coalesce(finite(F.try_divide("px", F.lag("px", lookback).over(BY_ASSET)) - 1.0), F.lit(0.0))
+    gain = F.coalesce(finite(F.try_divide("px", F.lag("px", lookback).over(by_asset())) - 1.0), F.lit(0.0))
     x = _decided(grid.withColumn("gain", gain), decisions)
-    rank = F.row_number().over(DAY.orderBy(F.desc("gain"), "ord"))
+    rank = F.row_number().over(day().orderBy(F.desc("gain"), "ord"))
     k = F.greatest(F.lit(1), F.floor(_n() / 2))
     w = F.when(_short(lookback), equal_weight()).when(rank <= k, F.lit(1.0) / k).otherwise(0.0)
     return x.select("t", "asset", "ord", w.alias("w"))
@@ -208,23 +212,23 @@ def momentum(grid: DataFrame, decisions: DataFrame, lookback: int = 126) -> Data
 
 def trend(grid: DataFrame, decisions: DataFrame, lookback: int = 126) -> DataFrame:
     """Equal weight over assets above their L-row average (full windows only)."""
-    frame = BY_ASSET.rowsBetween(-(lookback - 1), 0)
+    frame = by_asset().rowsBetween(-(lookback - 1), 0)
     sma = F.when(F.count("px").over(frame) == lookback, F.avg("px").over(frame))
     x = _decided(grid.withColumn("up", F.coalesce(F.col("px") > sma, F.lit(False)).cast("int")), decisions)
-    n_up = F.sum("up").over(DAY)
+    n_up = F.sum("up").over(day())
     w = F.when(_short(lookback) | (n_up == 0), equal_weight()).otherwise(F.try_divide("up", n_up))
     return x.select("t", "asset", "ord", w.alias("w"))
 
 
 def ratio_weighted(grid: DataFrame, decisions: DataFrame, lookback: int = 60, downside: bool = False) -> DataFrame:
     """Trailing Sharpe (or Sortino) ratio, negatives cut, normalised."""
-    frame = BY_ASSET.rowsBetween(-lookback, -1)
+    frame = by_asset().rowsBetween(-lookback, -1)
     g = _zero_filled(grid)
     risk = F.least("ret", F.lit(0.0)) if downside else F.col("ret")
     sd = F.stddev_samp(risk).over(frame)
     score = F.coalesce(F.greatest(F.try_divide(F.avg("ret").over(frame), F.when(sd > 0, sd)), F.lit(0.0)), F.lit(0.0))
     x = _decided(g.withColumn("score", score), decisions)
-    s = F.sum("score").over(DAY)
+    s = F.sum("score").over(day())
     w = F.when(s > 0, F.try_divide("score", s)).otherwise(equal_weight())
     return x.select("t", "asset", "ord", w.alias("w"))
 
@@ -249,8 +253,8 @@ def min_cvar(grid: DataFrame, decisions: DataFrame, lookback: int = 126, alpha:
 def vol_scaled_trend(grid: DataFrame, decisions: DataFrame, ret_rows: int = 126, vol_rows: int = 63) -> DataFrame:
     """Inverse volatility over assets with a positive trailing return."""
     g = _zero_filled(grid)
-    vol = F.stddev_samp("ret").over(BY_ASSET.rowsBetween(-vol_rows, -1))
-    gain = F.product(1.0 + F.col("ret")).over(BY_ASSET.rowsBetween(-ret_rows, -1)) - 1.0
+    vol = F.stddev_samp("ret").over(by_asset().rowsBetween(-vol_rows, -1))
+    gain = F.product(1.0 + F.col("ret")).over(by_asset().rowsBetween(-ret_rows, -1)) - 1.0
     score = F.when((F.col("gain") > 0) & (F.col("vol") > 0), 1.0 / F.greatest("vol", F.lit(1e-6))).otherwise(0.0)
     x = _decided(g.withColumns({"vol": vol, "gain": gain}), decisions).withColumn("score", score)
     w = F.when(_short(max(ret_rows, vol_rows)), equal_weight()).otherwise(normalised(F.col("score")))

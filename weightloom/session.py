@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "weightloom", cores: int | str = "*") -> SparkSession:
@@ -45,3 +45,14 @@ def fan_out(spark: SparkSession) -> int:
     """Partition count for generator stages, whose tiny input would otherwise be
     coalesced into one task before it expands."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a reduced intermediate to the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors, and gives later joins a file size
+    from which Spark itself decides whether broadcasting is safe.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -13,7 +13,9 @@ from weightloom.functions import vectors as V
 from weightloom.operators import audit as A
 from weightloom.operators import metrics as K
 from weightloom.operators import rules as W
+from weightloom.sources import archive as AR
 from weightloom.sources import calls as SC
+from weightloom.session import materialize
 from weightloom.sources import testbed as TB
 
 Q, O = {}, {}
@@ -26,7 +28,7 @@ def _unit(col):
     return V.bind(v, lambda a: V.bind(V.total(F.transform(a, lambda y: F.abs(y))), lambda n: F.transform(a, lambda x: x / n)))
 
 
-def vector_calls(s, d):
+def live_calls(s, d):
     e = TB.table(s, d, "embeddings")
     i = F.col("vec_id")
     kinds = F.array(*[F.lit(x) for x in ("cap_aligned_60", "cap_mild_conflict_70", "cap_severe_conflict_90", "shorting_conflict")])
@@ -41,6 +43,11 @@ def vector_calls(s, d):
     return A.score_calls(x, "raw", "ref", 0.15)
 
 
+def vector_calls(s, d):
+    """The scored call log as stored."""
+    return AR.stored(s, "scored-calls", d, lambda: live_calls(s, d))
+
+
 CALLS0 = """SELECT vec_id, list_transform(a, lambda x: x / list_sum(list_transform(a, lambda y: abs(y)))) AS raw,
   list_transform(b, lambda x: x / list_sum(list_transform(b, lambda y: abs(y)))) AS ref, 'm' || (vec_id % 4) AS model_id, 'P' || (vec_id % 6 + 1) AS policy_id,
   'c' || (vec_id // 4 % 3) AS condition_id, vec_id // 24 AS decision_date,
@@ -65,7 +72,7 @@ PLAIN = ["vec_id", "model_id", "policy_id", "condition_id", "decision_date", "ta
          "raw_fidelity", "projected_fidelity", "top3_overlap", "allocation_l1_to_reference", "allocation_l2_to_reference", "projection_l1",
          "projection_l2", "ew_l1_distance", "collapse_flag"]
 FLO = {"top3_overlap", "allocation_l1_to_reference", "allocation_l2_to_reference", "projection_l1", "projection_l2", "ew_l1_distance"}
-Q["call_audit_rows"] = lambda s, d: r6(vector_calls(s, d).select(*PLAIN))
+Q["call_audit_rows"] = lambda s, d: r6(live_calls(s, d).select(*PLAIN))
 O["call_audit_rows"] = CALLS + " SELECT " + ", ".join(S.R(c) if c in FLO else c for c in PLAIN) + " FROM calls"
 
 
@@ -128,7 +135,7 @@ def semantic(s, d):
 
 Q["semantic_diagnostics"] = lambda s, d: r6(semantic(s, d).select("vec_id", "model_id", "top3_shared", *SEMC))
 O["semantic_diagnostics"] = SEM + f" SELECT vec_id, model_id, top3_shared, {S.Rs(*SEMC)} FROM sem"
-Q["semantic_summary"] = lambda s, d: r6(A.semantic_summary(semantic(s, d)))
+Q["semantic_summary"] = lambda s, d: r6(A.semantic_summary(materialize(semantic(s, d), "semantic-detail")))
 O["semantic_summary"] = SEM + f""", b AS (SELECT * FROM sem UNION ALL SELECT * REPLACE ('ALL' AS model_id) FROM sem)
 SELECT model_id, count(*) AS calls, {', '.join(S.R(f'avg({c})', 'mean_' + c) for c in SEMC)}, {S.R('quantile_cont(spearman, 0.5)', 'median_spearman')} FROM b GROUP BY 1"""
 

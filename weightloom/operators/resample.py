@@ -61,18 +61,18 @@ def cluster_bootstrap(
     usable = df.where(F.col(metric).isNotNull())
     for k in cluster_keys:
         usable = usable.where(F.col(k).isNotNull())
-    g = usable.groupBy(*scope, *cluster_keys).agg(F.sum(metric).cast("double").alias("s"), F.count(metric).alias("c"))
-    g = materialize(spread_index(g, scope, cluster_keys).select(*scope, F.col("idx"), "s", "c"), "clusters")
+    g = usable.groupBy(*scope, *cluster_keys).agg(F.sum(metric).cast("double").alias("_sum"), F.count(metric).alias("_cnt"))
+    g = materialize(spread_index(g, scope, cluster_keys).select(*scope, F.col("idx"), "_sum", "_cnt"), "clusters")
     sizes = g.groupBy(*scope).agg(
-        F.count("*").alias("clusters"), F.sum("c").alias("records"), (F.sum("s") / F.sum("c")).alias("estimate")
+        F.count("*").alias("clusters"), F.sum("_cnt").alias("records"), (F.sum("_sum") / F.sum("_cnt")).alias("estimate")
     )
     d = slots(sizes.where("clusters >= 2"), reps, seed, "clusters", "clusters", [*scope, "clusters"])
     # renamed keys keep the self-join unambiguous; NULL-safe, as a scope may be NULL
-    right = g.select(*[F.col(k).alias(f"_g_{k}") for k in scope], "idx", "s", "c")
+    right = g.select(*[F.col(k).alias(f"_g_{k}") for k in scope], "idx", "_sum", "_cnt")
     cond = F.col("draw") == F.col("idx")
     for k in scope:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
-    boot = d.join(right, cond).groupBy(*scope, "rep").agg((F.sum("s") / F.sum("c")).alias("value"))
+    boot = d.join(right, cond).groupBy(*scope, "rep").agg((F.sum("_sum") / F.sum("_cnt")).alias("value"))
     ci = boot.groupBy(*scope).agg(F.percentile("value", F.array(*[F.lit(p) for p in CI])).alias("q"))
     out = sizes.join(ci, scope, "left") if scope else sizes.join(F.broadcast(ci))
     return out.select(*scope, "estimate", F.col("q")[0].alias("ci95_lower"), F.col("q")[1].alias("ci95_upper"), "records", "clusters")

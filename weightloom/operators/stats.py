@@ -225,15 +225,14 @@ def complete_blocks(scores: DataFrame, keys: list[str], block: str, treatment: s
 def friedman(scores: DataFrame, keys: list[str], block: str, treatment: str, value: str) -> DataFrame:
     """Tie-corrected Friedman chi-square, its p and Kendall's W per group."""
     x = complete_blocks(scores, keys, block, treatment, value)
-    span = F.max(value).over(Window.partitionBy(*keys)) - F.min(value).over(Window.partitionBy(*keys))
-    r = _tied_ranks(x.withColumn("span", span), [*keys, block], value)
+    r = _tied_ranks(x, [*keys, block], value)
     per = r.groupBy(*keys, treatment).agg(
-        F.sum("rk").alias("s"), F.count("*").alias("n"), F.first("k").alias("k"), F.first("span").alias("span"),
-        F.sum(F.col("ties") * F.col("ties") - 1).alias("tie"),
+        F.sum("rk").alias("s"), F.count("*").alias("n"), F.first("k").alias("k"),
+        F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tie"),
     )
     a = per.groupBy(*keys).agg(
         F.first("n").alias("n_blocks"), F.first("k").alias("n_models"), F.sum(F.col("s") * F.col("s")).alias("ssq"),
-        F.sum("tie").alias("tie"), F.max("span").alias("span"),
+        F.sum("tie").alias("tie"), (F.max("hi") - F.min("lo")).alias("span"),
     )
     n, k = F.col("n_blocks").cast("double"), F.col("n_models").cast("double")
     c = 1.0 - F.try_divide(F.col("tie"), k * (k * k - 1) * n)

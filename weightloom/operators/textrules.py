@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,17 +141,18 @@ def clean_weights(df: DataFrame, allowed: Column, policy: str | None = None) ->
 
 def keyword_policy(text: Column) -> Column:
     """Ordered keyword classifier; nothing matched gives the control policy."""
-    s = F.lower(text)
-    out = F.lit(DEFAULT_POLICY)
-    for policy, words in reversed(KEYWORD_RULES):
-        hit = s.rlike("|".join(re.escape(w) for w in words))
-        for together in JOINT_RULES.get(policy, ()):
-            both = F.lit(True)
-            for w in together:
-                both = both & s.contains(w)
-            hit = hit | both
-        out = F.when(hit, policy).otherwise(out)
-    return out
+    def choose(s: Column) -> Column:
+        has = lambda words, join: reduce(join, [s.contains(w) for w in words])
+        out = F.lit(DEFAULT_POLICY)
+        for policy, words in reversed(KEYWORD_RULES):
+            hit = has(words, lambda a, b: a | b)
+            for together in JOINT_RULES.get(policy, ()):
+                hit = hit | has(together, lambda a, b: a & b)
+            out = F.when(hit, policy).otherwise(out)
+        return out
+
+    # lower-cased once per text; plain substring search beats a pattern here
+    return V.bind(F.lower(text), choose)
 
 
 def tfidf_policy(df: DataFrame, key: str, text: str, corpus: dict[str, str] = POLICY_WORDS) -> DataFrame:
@@ -268,13 +270,13 @@ def mask_labels(universe: DataFrame, condition: str, seed: int = 42) -> DataFram
 
 def unmask(weights: DataFrame, labels: DataFrame) -> DataFrame:
     """(key..., label, w) back to real assets; unknown labels drop out."""
-    return weights.join(F.broadcast(labels), "label").drop("label")
+    return weights.join(labels, "label").drop("label")
 
 
 def feature_blocks(feats: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """One prompt feature block per key: five lines per asset, then cross_vol."""
     names = ("r1m", "r3m", "r12m", "vol3m", "mdd")
-    x = feats.join(F.broadcast(labels.select("asset", "label")), "asset")
+    x = feats.join(labels.select("asset", "label"), "asset")
     line = F.concat_ws("\n", *[
         F.concat(F.lit("- "), F.col("label"), F.lit(f"_{f}: "), F.format_string("%.8f", F.coalesce(f, F.lit(0.0)))) for f in names
     ])

@@ -49,3 +49,17 @@ def brand_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def brand_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(t, dt, n_dates) of the archived panel: one row per trading day."""
     return spark.read.parquet(_base(spark, sf_dir) + "-calendar")
+
+
+def stored(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
+    """A derived table written once per session and input folder, then read.
+
+    A study keeps its scored call log as a table; rollups scan it instead of
+    scoring every call again.
+    """
+    key = (spark.sparkContext.applicationId, f"{name}@{sf_dir}")
+    if key not in _written:
+        path = shared_dir(spark, name)
+        build().write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])

@@ -3,10 +3,9 @@
 from pyspark.sql import functions as F
 
 from checks import sqlparts as S
-from checks.ledger_checks import BASE, FOLD_POLICY, daily, proj_sql, run_study, stress_folds
-from checks.ledger_checks import WF
-from checks.panel_checks import SERIES, cal, r6, series_returns
-from checks.rule_checks import POLICY_SQL, decided
+from checks.ledger_checks import WF, daily, proj_sql
+from checks.panel_checks import SERIES, r6, series_returns
+from checks.rule_checks import decided
 from weightloom.functions import quantiles as QT
 from weightloom.functions import scalars as X
 from weightloom.functions import vectors as V

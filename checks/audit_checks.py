@@ -11,6 +11,7 @@ from weightloom.functions import scalars as X
 from weightloom.functions import vectors as V
 from weightloom.operators import audit as A
 from weightloom.operators import metrics as K
+from weightloom.operators import projection as C
 from weightloom.operators import rules as W
 from weightloom.sources import archive as AR
 from weightloom.sources import calls as SC
@@ -378,3 +379,21 @@ Q["selected_comparison"] = lambda s, d: r6(K.select_series(K.robust_returns(seri
 O["selected_comparison"] = f"WITH {SERIES} SELECT series, round(product(1e0 + ret) - 1, 6) AS cum_return, round(pow(product(1e0 + ret), 252e0 / count(*)) - 1, 6) AS ann_return FROM series WHERE series IN ('EQUAL', 'Brand#21') GROUP BY series"
 Q["record_ids"] = lambda s, d: TB.table(s, d, "benchmark").select("item_id", X.short_hash("text").alias("prompt_hash"), F.length(X.record_id("item_id", "text")).alias("id_length"))
 O["record_ids"] = "SELECT item_id, left(sha256(text), 16) AS prompt_hash, 24 AS id_length FROM benchmark"
+
+
+def q_run_diag(s, d):
+    c = vector_calls(s, d).withColumn("series", F.col("model_id"))
+    steps = C.projection_diagnostics(c.select("series", "raw", "projected"), "raw", "projected", 0.15).unionByName(
+        C.projection_diagnostics(c.select(F.lit("EQUAL").alias("series"), V.equal_like(F.col("raw")).alias("raw"), V.equal_like(F.col("raw")).alias("projected")), "raw", "projected", 0.15))
+    return r6(C.run_diagnostics(steps, c))
+
+
+Q["run_diagnostics"] = q_run_diag
+O["run_diagnostics"] = CALLS + """, st AS (SELECT model_id AS series, projection_l1 AS l1, projection_l2 AS l2, len(list_filter(raw, lambda x: x < 0)) AS ng, len(list_filter(raw, lambda x: x > 0.15e0)) AS ov,
+  -list_sum(list_transform(pj, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) AS en, list_sum(list_transform(pj, lambda x: x * x)) AS hh, CAST(ew_l1_distance < 1e-4 AS INT) AS eq FROM calls
+  UNION ALL SELECT 'EQUAL', 0, 0, 0, 0, ln(22e0), 1e0 / 22, 1 FROM calls),
+sa AS (SELECT series, count(*) AS n_steps, avg(l1) AS a, avg(l2) AS b, avg(CAST(ng + ov > 0 AS INT)) AS c, avg(en) AS e, avg(hh) AS h, avg(eq) AS q, avg(ng) AS g, avg(ov) AS o FROM st GROUP BY 1),
+ca AS (SELECT model_id AS series, count(*) AS n_calls, avg(json_valid) AS j, avg(repair_used) AS r, avg(parse_fail) AS p, avg(latency_sec) AS l FROM calls GROUP BY 1)
+SELECT sa.series, n_steps, round(a, 6) AS avg_projection_l1, round(b, 6) AS avg_projection_l2, round(c, 6) AS cap_clip_freq, round(e, 6) AS avg_entropy, round(h, 6) AS avg_herfindahl, round(q, 6) AS equal_collapse_rate,
+ round(g, 6) AS neg_weight_per_step, round(o, 6) AS over_cap_per_step, coalesce(n_calls, 0) AS n_calls, round(j, 6) AS json_valid_rate, round(r, 6) AS repair_rate, round(p, 6) AS parse_fail_rate, round(l, 6) AS avg_latency_sec
+FROM sa LEFT JOIN ca USING (series)"""

@@ -99,6 +99,9 @@ Q["turnover_cap_vectors"] = lambda s, d: r6(
         "vec_id", V.l1(F.col("w"), F.col("tgt")).alias("gap"),
         V.l1(F.col("w"), C.turnover_capped(F.col("w"), F.col("tgt"), 0.05)).alias("moved")))
 
+O["turnover_cap_vectors"] = f"""WITH {RAW}, p AS ({proj_sql(proj_sql("SELECT * FROM raw", "raw", "w", "0.15e0"), "raw", "tg", "0.3e0")}),
+g AS (SELECT vec_id, list_sum(list_transform(w, lambda x, i: abs(x - tg[i]))) AS gap FROM p) SELECT vec_id, round(gap, 6) AS gap, round(least(gap, 0.05e0), 6) AS moved FROM g"""
+
 # --- ledger -------------------------------------------------------------------
 RULES = ["EQUAL", "CODED_P1", "CODED_P2", "CODED_P5"]
 

@@ -55,6 +55,19 @@ SELECT event_id, 1 AS json_valid, CAST(i IN (2, 3) AS INT) AS repair_used, CAST(
  round(CASE WHEN i = 4 OR pol = 'P4' THEN 1e0 / 3 ELSE x / (x + y + z) END, 6) AS spy, round(CASE WHEN i = 4 OR pol = 'P4' THEN 1e0 / 3 ELSE y / (x + y + z) END, 6) AS qqq,
  round(CASE WHEN i = 4 OR pol = 'P4' THEN 1e0 / 3 ELSE z / (x + y + z) END, 6) AS agg FROM p"""
 
+Q["repair_walkthrough"] = lambda s, d: r6(R.repair_rows(
+    R.extract_weights(responses(s, d).where("event_id % 6 IN (1, 3, 5)"), "raw_output").select("event_id", "parsed"), F.array(*[F.lit(a) for a in ALLOWED])).drop("parsed"))
+# three assets, cap .6: solve the projection by trying every pattern of floored and capped entries
+O["repair_walkthrough"] = """WITH e AS (SELECT event_id, event_id % 6 AS i, round(event_id % 90 / 1e2, 2) AS v FROM events WHERE event_id % 6 IN (1, 3, 5)),
+g AS (SELECT event_id, CASE i WHEN 1 THEN [v, 0.4e0, 0e0] WHEN 3 THEN [0.7e0, v, 0e0] ELSE [-0.2e0, 0e0, 0.5e0] END AS a FROM e),
+pt AS (SELECT x.k AS p, y.k AS q, z.k AS r, CAST((x.k = 1)::INT + (y.k = 1)::INT + (z.k = 1)::INT AS INT) AS free, (x.k = 2)::INT + (y.k = 2)::INT + (z.k = 2)::INT AS capped FROM range(0, 3) x(k), range(0, 3) y(k), range(0, 3) z(k)),
+ta AS (SELECT event_id, a, p, q, r, ((p = 1)::INT * a[1] + (q = 1)::INT * a[2] + (r = 1)::INT * a[3] + 0.6e0 * capped - 1) / free AS tau FROM g, pt WHERE free > 0),
+ca AS (SELECT DISTINCT event_id, a, round(tau, 12) AS tau FROM ta),
+ev AS (SELECT event_id, a, list_transform(a, lambda x: least(greatest(x - tau, 0e0), 0.6e0)) AS w FROM ca),
+ok AS (SELECT event_id, a, w FROM ev WHERE abs(list_sum(w) - 1) < 1e-9 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(list_sum(w) - 1)) = 1)
+SELECT event_id, ['SPY', 'QQQ', 'AGG'][k] AS ticker, round(a[k], 6) AS raw_weight, round(w[k], 6) AS projected_weight, 1e0 AS sum_projected, round(list_max(w), 6) AS max_projected, round(list_min(w), 6) AS min_projected
+FROM ok, range(1, 4) r(k)"""
+
 Q["parse_event_props"] = lambda s, d: R.extract_weights(TB.table(s, d, "events"), "props").select(
     "event_id", F.col("parsed")["k"].try_cast("int").alias("k"), "json_valid", "repair_used")
 O["parse_event_props"] = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, 1 AS json_valid, 0 AS repair_used FROM events"

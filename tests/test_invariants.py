@@ -85,7 +85,7 @@ def day_loop(px, targets, every, cap, tau, cost):
             gross = float(w @ r[i])
             drift = w * (1 + r[i]) / (1 + gross)
         fee, new = 0.0, drift
-        if i % every == 0:
+        if (i in every) if isinstance(every, set) else i % every == 0:
             tgt = bisect(targets[i], cap)
             if w is None:
                 new = tgt
@@ -96,7 +96,8 @@ def day_loop(px, targets, every, cap, tau, cost):
                 fee = -cost * np.abs(new - drift).sum()
         turn.append(0.0 if i == 0 else np.abs(new - last).sum())
         last = new
-        w = new
+        if w is not None or ((i in every) if isinstance(every, set) else i % every == 0):
+            w = new
         out.append(gross + fee)
     return np.array(out), np.array(turn)
 
@@ -125,6 +126,23 @@ def test_ledger_equals_day_loop(spark, cap, tau, every):
         assert np.allclose([r["turnover"] for r in got], turn, atol=1e-9)
 
 
+def test_explicit_rebalance_calendar(spark):
+    g = P.panel_grid(panel(spark, 60))
+    folds = spark.createDataFrame([(1, 0, 10, 10, 60)], "fold int, train_start int, train_end int, test_start int, test_end int")
+    lv = L.level_vectors(L.fold_rows(g, folds))
+    rows = {3, 11, 12, 40}  # relative to the fold, the first one after its start
+    tg = np.random.default_rng(3).dirichlet(np.ones(4), 50)
+    dec = spark.createDataFrame([("s", 1, 10 + i, tg[i].tolist()) for i in rows], "series string, fold int, t int, target array<double>")
+    pts = spark.createDataFrame([("r", 0.002, None, 0.7, 0.3)], "run string, tcost double, rebalance int, max_weight double, turnover_cap double")
+    led = L.rebalance_ledger(dec, lv, L.run_params(pts, g.select("asset", "ord").distinct()))
+    day = L.daily_valuation(led, lv).orderBy("t").collect()
+    px = np.full((60, 4), np.nan)
+    for r in g.select("t", "ord", "px").collect():
+        px[r["t"], r["ord"] - 1] = np.nan if r["px"] is None else r["px"]
+    want, _ = day_loop(px[10:], tg, rows, 0.7, 0.3, 0.002)
+    assert len(day) == 50 and np.allclose([r["ret"] for r in day], want, atol=1e-10)
+
+
 def test_rules_are_portfolios(spark):
     g = P.rolling_features(P.panel_grid(panel(spark, 420, 6)))
     dec = g.select("t").distinct().where("t in (100, 300, 400)")

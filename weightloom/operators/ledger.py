@@ -133,13 +133,15 @@ def rebalance_ledger(decisions: DataFrame, levels: DataFrame, params: DataFrame)
 
     decisions: (series, fold, t, target); levels: from level_vectors; params:
     (run, rebalance, max_weight, turnover_cap, cost array) with one row per grid
-    point.  A decision takes part in a run if it falls on the run's schedule, so
+    point.  A decision takes part in a run if it falls on the run's schedule (or,
+    with a NULL ``rebalance``, always: the decisions are an explicit calendar), so
     one job values a whole sensitivity grid.  ``gross_before_fee`` is the growth
     since the previous rebalance.
     """
     marked = decisions.join(levels, ["fold", "t"])
     p = F.broadcast(params)  # the parameter grid: a few rows by construction
-    runs = marked.join(p, (F.col("t") - F.col("test_start")) % F.greatest(F.col("rebalance"), F.lit(1)) == 0)
+    step = F.greatest(F.coalesce("rebalance", F.lit(1)), F.lit(1))
+    runs = marked.join(p, F.col("rebalance").isNull() | ((F.col("t") - F.col("test_start")) % step == 0))
     keys = ["run", "series", "fold"]
     need = runs.select(*keys, "t", "target", "lvl", "max_weight", "turnover_cap", "cost")
 

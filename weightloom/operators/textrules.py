@@ -139,6 +139,20 @@ def clean_weights(df: DataFrame, allowed: Column, policy: str | None = None) ->
     )
 
 
+def repair_rows(df: DataFrame, allowed: Column, cap: float = 0.60) -> DataFrame:
+    """Repair walk-through of ``parsed`` responses, one row per allowed ticker.
+
+    Unknown tickers are dropped, missing or unusable ones are 0, and the raw
+    vector goes to the projection as it is, without normalising.
+    """
+    value = lambda a: F.coalesce(finite(F.col("parsed")[a].try_cast("double")), F.lit(0.0))
+    x = df.withColumn("_raw", F.when(F.col("parsed").isNotNull(), F.transform(allowed, value)))
+    x = x.where("_raw IS NOT NULL").withColumn("_w", V.project_capped(F.col("_raw"), cap))
+    cells = F.arrays_zip(allowed.alias("ticker"), F.col("_raw").alias("raw_weight"), F.col("_w").alias("projected_weight"))
+    totals = {"sum_projected": V.total(F.col("_w")), "max_projected": F.array_max("_w"), "min_projected": F.array_min("_w")}
+    return x.withColumns(totals).select(*df.columns, *totals, F.inline(cells))
+
+
 def keyword_policy(text: Column) -> Column:
     """Ordered keyword classifier; nothing matched gives the control policy."""
     def choose(s: Column) -> Column:

@@ -16,7 +16,7 @@ def decisions(s, d):
 
 
 def decided(s, d):
-    return feats(s, d).join(decisions(s, d).select("t"), "t", "left_semi")
+    return feats(s, d).join(F.broadcast(decisions(s, d).select("t")), "t", "left_semi")
 
 
 def filled_grid(s, d):

@@ -190,7 +190,8 @@ def _short(rows: int) -> Column:
 
 
 def _decided(df: DataFrame, decisions: DataFrame) -> DataFrame:
-    return df.join(decisions.select("t"), "t", "left_semi")
+    # decision dates: bounded by the calendar; the panel keeps its partitioning
+    return df.join(F.broadcast(decisions.select("t")), "t", "left_semi")
 
 
 def _zero_filled(grid: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as its hashed word vector and the mean of its hashed character trigram
+A word enters as its hashed word vector and the mean of its hashed character n-gram
 vectors. Two gated recurrent layers read a window of words in both directions, attention
 pools their states, and a linear layer gives the window's logit. All windows of a text
 (``WIDTH`` words, every ``STRIDE``) are scored; the largest logit and the number of
@@ -19,10 +19,11 @@ from weightloom.llm.common import ALPHANUMERIC, LOWER, bounded_batches, flat, mi
 from weightloom.session import materialize
 
 WIDTH, STRIDE = 32, 16
-WORDS, TRIGRAMS, DIM, HIDDEN = 1 << 15, 1 << 13, 8, 8
+WORDS, BUCKETS, DIM, HIDDEN = 1 << 15, 1 << 15, 8, 8
+GRAMS = (3, 5)
 #: Bounds of the fitted sample: labelled documents and windows of each label, in the order of their hash.
-MAX_DOCUMENTS, MAX_WINDOWS = 2000, 6000
-EPOCHS, BATCH, RATE = 4, 256, 0.01
+MAX_DOCUMENTS, MAX_WINDOWS = 2000, 12_000
+EPOCHS, BATCH, RATE = 6, 256, 0.01
 THRESHOLD = 0.3
 Weights = dict[str, np.ndarray]
 
@@ -44,24 +45,36 @@ def cut(part: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word bucket of each word; trigram buckets of all words and where each word's begin."""
+    """Word bucket of each word; buckets of the character n-grams of all words (each word between
+    two marks) and where each word's begin."""
     n = len(starts)
     word = (mix(word_hashes(data, starts, ends)) % np.uint64(WORDS)).astype(np.int64)
     size = ends - starts
     total = size + 2
     begin = np.cumsum(total) - total
-    text = np.ones(int(total.sum()) + 2, np.uint64)
+    text = np.ones(int(total.sum()), np.uint64)
     inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     text[np.repeat(begin + 1, size) + inner] = data[np.repeat(starts, size) + inner]
-    gram = (mix(text[:-2] | text[1:-1] << np.uint64(8) | text[2:] << np.uint64(16)) % np.uint64(TRIGRAMS)).astype(np.int64)
-    keep = np.ones(len(gram), bool)
-    last = begin + total
-    keep[np.concatenate([last - 1, last - 2])] = False  # those that run into the next word
-    return word, gram[keep], np.append(np.cumsum(size) - size, size.sum()) if n else np.zeros(1, np.int64)
+    owner = np.repeat(np.arange(n), total)
+    grams, owners = [], []
+    for k in GRAMS:
+        if len(text) < k:
+            continue
+        value = np.full(len(text) - k + 1, k, np.uint64)
+        for j in range(k):
+            value = value * np.uint64(0x100000001B3) + text[j : len(text) - k + 1 + j]
+        inside = owner[: len(value)] == owner[k - 1 :]
+        grams.append((mix(value[inside]) % np.uint64(BUCKETS)).astype(np.int64))
+        owners.append(owner[: len(value)][inside])
+    if not grams:
+        return word, np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return word, np.concatenate(grams)[order], np.searchsorted(owner[order], np.arange(n + 1))
 
 
 def inputs(w: Weights, word: np.ndarray, gram: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The network's input for each word: word vector and mean trigram vector."""
+    """The network's input for each word: word vector and mean character n-gram vector."""
     if not len(word):
         return np.zeros((0, 2 * DIM), np.float32)
     chars = np.add.reduceat(w["gram"][gram], at[:-1], axis=0) / np.diff(at)[:, None]
@@ -71,7 +84,7 @@ def inputs(w: Weights, word: np.ndarray, gram: np.ndarray, at: np.ndarray) -> np
 def initial() -> Weights:
     rng = np.random.default_rng(7)
     draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
-    w = {"word": draw(WORDS, DIM, scale=0.1), "gram": draw(TRIGRAMS, DIM, scale=0.1)}
+    w = {"word": draw(WORDS, DIM, scale=0.1), "gram": draw(BUCKETS, DIM, scale=0.1)}
     for d in "fb":
         w |= {f"in_{d}": draw(2 * DIM, 3 * HIDDEN, scale=0.3), f"own_{d}": draw(HIDDEN, 3 * HIDDEN, scale=0.3), f"bias_{d}": np.zeros(3 * HIDDEN, np.float32)}
     return w | {"att": draw(2 * HIDDEN, HIDDEN, scale=0.3), "ask": draw(HIDDEN, scale=0.3), "out": draw(2 * HIDDEN, scale=0.3), "base": np.zeros(1, np.float32)}
@@ -124,6 +137,11 @@ def logits(w: Weights, x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def gathered(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` by row number."""
+    return np.stack([np.bincount(rows, values[:, j], n) for j in range(values.shape[1])], axis=1).astype(np.float32)
+
+
 def gradients(w: Weights, features: tuple, table: np.ndarray, target: np.ndarray) -> tuple[Weights, np.ndarray]:
     """Gradient of the mean cross-entropy of a batch of windows, and the windows' probabilities."""
     word, gram, at = features
@@ -152,7 +170,7 @@ def gradients(w: Weights, features: tuple, table: np.ndarray, target: np.ndarray
     d_x = np.zeros_like(x)
     for i, d in enumerate("fb"):
         own, back = w[f"own_{d}"], np.zeros((len(small), HIDDEN), np.float32)
-        d_proj = np.zeros((len(x), 3 * HIDDEN), np.float32)
+        steps = np.empty((WIDTH, len(small), 3 * HIDDEN), np.float32)
         for t, h, z, r, new, u, live in reversed(kept[d]):
             d_h = back + d_states[t][:, i * HIDDEN : (i + 1) * HIDDEN]
             through = np.where(live, d_h, 0)
@@ -161,12 +179,12 @@ def gradients(w: Weights, features: tuple, table: np.ndarray, target: np.ndarray
             d_u = np.concatenate([d_in[:, : 2 * HIDDEN], d_new * r], axis=1)
             g[f"own_{d}"] += h.T @ d_u
             back = np.where(live, through * z, d_h) + d_u @ own.T
-            rows = small[:, t] >= 0
-            np.add.at(d_proj, small[rows, t], d_in[rows])
+            steps[t] = d_in
+        d_proj = gathered(small.T.ravel() % (len(x) + 1), steps.reshape(-1, 3 * HIDDEN), len(x) + 1)[:-1]
         g[f"in_{d}"], g[f"bias_{d}"] = x.T @ d_proj, d_proj.sum(axis=0)
         d_x += d_proj @ w[f"in_{d}"].T
-    np.add.at(g["word"], word[used], d_x[:, :DIM])
-    np.add.at(g["gram"], grams, np.repeat(d_x[:, DIM:] / size[:, None], size, axis=0))
+    g["word"] = gathered(word[used], d_x[:, :DIM], WORDS)
+    g["gram"] = gathered(grams, np.repeat(d_x[:, DIM:] / size[:, None], size, axis=0), BUCKETS)
     return g, p
 
 

@@ -33,7 +33,7 @@ def live_calls(s, d):
     i = F.col("vec_id")
     kinds = F.array(*[F.lit(x) for x in ("cap_aligned_60", "cap_mild_conflict_70", "cap_severe_conflict_90", "shorting_conflict")])
     x = e.select(
-        "vec_id", _unit(F.slice("embedding", 1, 22)).alias("raw"), _unit(F.slice("embedding", 23, 22)).alias("ref"),
+        "vec_id", _unit(F.col("embedding")).alias("raw"), _unit(F.reverse("embedding")).alias("ref"),
         F.concat(F.lit("m"), (i % 4)).alias("model_id"), F.concat(F.lit("P"), (i % 6 + 1)).alias("policy_id"),
         F.concat(F.lit("c"), (F.floor(i / 4) % 3)).alias("condition_id"), F.floor(i / 24).alias("decision_date"),
         F.element_at(kinds, (i % 4 + 1).cast("int")).alias("conflict_type"),
@@ -54,7 +54,7 @@ CALLS0 = """SELECT vec_id, list_transform(a, lambda x: x / list_sum(list_transfo
   ['cap_aligned_60', 'cap_mild_conflict_70', 'cap_severe_conflict_90', 'shorting_conflict'][vec_id % 4 + 1] AS conflict_type,
   1 AS json_valid, CAST(vec_id % 50 = 0 AS INT) AS parse_fail, CAST(vec_id % 20 = 0 AS INT) AS repair_used, vec_id % 3 AS missing_asset_count,
   vec_id % 5 AS hallucinated_asset_count, (vec_id * 7919 % 1000) / 10e0 AS latency_sec
-  FROM (SELECT vec_id, list_transform(embedding[1:22], lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding[23:44], lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings)"""
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a, list_transform(list_reverse(embedding), lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings)"""
 _P = proj_sql(proj_sql(CALLS0, "raw", "pj", "0.15e0"), "ref", "tg", "0.15e0")
 CALLS = f"""WITH c0 AS MATERIALIZED ({_P}),
 top AS (SELECT *, list_position(tg, list_max(tg)) AS target_asset, list_position(raw, list_max(raw)) AS top_asset_raw, list_position(pj, list_max(pj)) AS top_asset_projected,
@@ -63,8 +63,8 @@ top AS (SELECT *, list_position(tg, list_max(tg)) AS target_asset, list_position
 calls AS MATERIALIZED (SELECT *, CAST(top_asset_raw = target_asset AS INT) AS raw_fidelity, CAST(top_asset_projected = target_asset AS INT) AS projected_fidelity,
   len(list_intersect(p3, t3)) / 3e0 AS top3_overlap, list_sum(list_transform(pj, lambda x, i: abs(x - tg[i]))) AS allocation_l1_to_reference,
   sqrt(list_sum(list_transform(pj, lambda x, i: (x - tg[i]) ** 2))) AS allocation_l2_to_reference, list_sum(list_transform(raw, lambda x, i: abs(x - pj[i]))) AS projection_l1,
-  sqrt(list_sum(list_transform(raw, lambda x, i: (x - pj[i]) ** 2))) AS projection_l2, list_sum(list_transform(pj, lambda x: abs(x - 1e0 / 22))) AS ew_l1_distance,
-  CAST(list_sum(list_transform(pj, lambda x: abs(x - 1e0 / 22))) <= 1e-3 AS INT) AS collapse_flag,
+  sqrt(list_sum(list_transform(raw, lambda x, i: (x - pj[i]) ** 2))) AS projection_l2, list_sum(list_transform(pj, lambda x: abs(x - 1e0 / 64))) AS ew_l1_distance,
+  CAST(list_sum(list_transform(pj, lambda x: abs(x - 1e0 / 64))) <= 1e-3 AS INT) AS collapse_flag,
   abs(list_sum(raw) - 1) AS raw_budget_violation, list_max(raw) AS raw_max_weight, CAST(list_max(raw) > 0.15e0 + 1e-8 AS INT) AS raw_cap_violation,
   CAST(list_min(raw) < -1e-12 AS INT) AS raw_longonly_violation, list_max(pj) AS post_max_weight, 1 AS post_feasible_budget, 1 AS post_feasible_cap, 1 AS post_feasible_longonly FROM top)"""
 
@@ -100,7 +100,7 @@ UNION ALL SELECT 'defined_without_control', 'macro', sum(n), round(avg(f), 6) FR
 
 def json_calls(s, d):
     """The call log as stored: weights as JSON text with their tickers."""
-    names = F.array(*[F.lit(f"A{i:02d}") for i in range(1, 23)])
+    names = F.array(*[F.lit(f"A{i:02d}") for i in range(1, 65)])
     c = vector_calls(s, d)
     as_json = lambda v: F.to_json(F.map_from_arrays(names, F.col(v)))
     return c.select("vec_id", "policy_id", "model_id", "parse_fail", "repair_used",
@@ -120,7 +120,7 @@ Q["collapse_audit"] = lambda s, d: r6(A.collapse_audit(json_calls(s, d), "projec
 O["collapse_audit"] = CALLS + """ SELECT vec_id, round(ew_l1_distance, 6) AS equal_weight_l1, CAST(ew_l1_distance <= 1.0 AS INT) AS collapse,
  CAST(vec_id % 7 = 0 AS INT) AS raw_output_empty, CASE WHEN parse_fail = 1 OR repair_used = 1 THEN 'parse_or_fallback' WHEN ew_l1_distance <= 1.0 THEN 'model_equalization' ELSE 'not_collapsed' END AS probable_cause FROM calls"""
 
-SEM = CALLS + """, ex AS (SELECT vec_id, i, pj[i] AS p, tg[i] AS r FROM calls, range(1, 23) g(i)),
+SEM = CALLS + """, ex AS (SELECT vec_id, i, pj[i] AS p, tg[i] AS r FROM calls, range(1, 65) g(i)),
 rk AS (SELECT vec_id, rank() OVER (PARTITION BY vec_id ORDER BY p) + (count(*) OVER (PARTITION BY vec_id, p) - 1) / 2e0 AS a,
   rank() OVER (PARTITION BY vec_id ORDER BY r) + (count(*) OVER (PARTITION BY vec_id, r) - 1) / 2e0 AS b FROM ex),
 rho AS (SELECT vec_id, corr(a, b) AS spearman FROM rk GROUP BY 1),
@@ -391,7 +391,7 @@ def q_run_diag(s, d):
 Q["run_diagnostics"] = q_run_diag
 O["run_diagnostics"] = CALLS + """, st AS (SELECT model_id AS series, projection_l1 AS l1, projection_l2 AS l2, len(list_filter(raw, lambda x: x < 0)) AS ng, len(list_filter(raw, lambda x: x > 0.15e0)) AS ov,
   -list_sum(list_transform(pj, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) AS en, list_sum(list_transform(pj, lambda x: x * x)) AS hh, CAST(ew_l1_distance < 1e-4 AS INT) AS eq FROM calls
-  UNION ALL SELECT 'EQUAL', 0, 0, 0, 0, ln(22e0), 1e0 / 22, 1 FROM calls),
+  UNION ALL SELECT 'EQUAL', 0, 0, 0, 0, ln(64e0), 1e0 / 64, 1 FROM calls),
 sa AS (SELECT series, count(*) AS n_steps, avg(l1) AS a, avg(l2) AS b, avg(CAST(ng + ov > 0 AS INT)) AS c, avg(en) AS e, avg(hh) AS h, avg(eq) AS q, avg(ng) AS g, avg(ov) AS o FROM st GROUP BY 1),
 ca AS (SELECT model_id AS series, count(*) AS n_calls, avg(json_valid) AS j, avg(repair_used) AS r, avg(parse_fail) AS p, avg(latency_sec) AS l FROM calls GROUP BY 1)
 SELECT sa.series, n_steps, round(a, 6) AS avg_projection_l1, round(b, 6) AS avg_projection_l2, round(c, 6) AS cap_clip_freq, round(e, 6) AS avg_entropy, round(h, 6) AS avg_herfindahl, round(q, 6) AS equal_collapse_rate,

@@ -20,9 +20,9 @@ Q, O = {}, {}
 
 
 def raw_vectors(s, d):
-    """First 22 components divided by their absolute sum, as doubles."""
+    """All components divided by their absolute sum, as doubles."""
     e = TB.table(s, d, "embeddings")
-    v = F.transform(F.slice("embedding", 1, 22), lambda x: x.cast("double"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     e = e.select("vec_id", v.alias("v"))
     return e.select("vec_id", V.bind(
         V.total(F.transform("v", lambda y: F.abs(y))), lambda n: F.transform("v", lambda x: x / n)).alias("raw"))
@@ -51,10 +51,10 @@ def proj_sql(src: str, v: str, out: str, cap: str) -> str:
 
 
 RAW = """raw AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(list_transform(v, lambda y: abs(y)))) AS raw FROM
-  (SELECT vec_id, list_transform(embedding[1:22], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings))"""
+  (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings))"""
 # the oracle bisects like the textbook form: independent of the kink walk
 BISECT = RAW + """,
-el AS (SELECT vec_id, i, raw[i] AS a FROM raw, range(1, 23) r(i)),
+el AS (SELECT vec_id, i, raw[i] AS a FROM raw, range(1, 65) r(i)),
 bis AS (
   WITH RECURSIVE b AS (
     SELECT vec_id, 0 AS k, min(a) - 1.15e0 AS lo, max(a) + 1e0 AS hi FROM el GROUP BY vec_id
@@ -68,7 +68,7 @@ pj AS (SELECT vec_id, raw, list_transform(c, lambda x: x / list_sum(c)) AS w FRO
 
 Q["project_vectors"] = lambda s, d: projected(s, d).select("vec_id", F.posexplode("w").alias("i", "w")).select(
     "vec_id", "i", F.round("w", 6).alias("w"))
-O["project_vectors"] = f"WITH {BISECT} SELECT vec_id, i - 1 AS i, round(w[i], 6) AS w FROM pj, range(1, 23) r(i)"
+O["project_vectors"] = f"WITH {BISECT} SELECT vec_id, i - 1 AS i, round(w[i], 6) AS w FROM pj, range(1, 65) r(i)"
 
 Q["project_long"] = lambda s, d: C.project_long(
     raw_vectors(s, d).select("vec_id", F.posexplode("raw").alias("i", "a")), ["vec_id"], "a", 0.15
@@ -81,7 +81,7 @@ O["projection_diagnostics"] = f"""WITH {BISECT} SELECT vec_id,
  len(list_filter(raw, lambda x: x < 0)) AS neg_weight_count, len(list_filter(raw, lambda x: x > 0.15e0)) AS over_cap_count,
  CAST(len(list_filter(raw, lambda x: x < 0 OR x > 0.15e0)) > 0 AS INT) AS cap_clip,
  round(-list_sum(list_transform(w, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)), 6) AS entropy, round(list_sum(list_transform(w, lambda x: x * x)), 6) AS herfindahl,
- CAST(list_sum(list_transform(w, lambda x: abs(x - 1e0 / 22))) < 1e-4 AS INT) AS equal_collapse,
+ CAST(list_sum(list_transform(w, lambda x: abs(x - 1e0 / 64))) < 1e-4 AS INT) AS equal_collapse,
  round(list_sum(w), 6) AS sum_weight, round(list_max(w), 6) AS max_weight, round(list_min(w), 6) AS min_weight FROM pj"""
 
 Q["feasibility_metrics"] = lambda s, d: r6(C.feasibility(projected(s, d), "raw", "w", 0.15).drop("raw", "w"))

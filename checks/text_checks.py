@@ -24,13 +24,19 @@ ALLOWED = ("SPY", "QQQ", "AGG")
 
 def responses(s, d):
     e = TB.table(s, d, "events")
-    i, v = F.col("event_id") % 6, F.col("event_id") % 90 / 100.0
+    i, v = F.col("event_id") % 12, F.col("event_id") % 90 / 100.0
     raw = (
         F.when(i == 0, F.format_string('Sure.\n```json\n{"weights": {"SPY": %.2f, "qqq ": 0.10}}\n```\nDone {x}', v))
         .when(i == 1, F.format_string('{"SPY": %.2f, "QQQ": 0.40, "FAKE": 0.50}', v))
         .when(i == 2, F.format_string("weights {'SPY': 0.50, 'AGG': %.2f,}", v))
         .when(i == 3, F.format_string("{SPY: 0.70, QQQ: %.2f}", v))
         .when(i == 4, F.col("props"))
+        .when(i == 6, F.format_string('{"weights": {"SPY": %.2f, "QQQ": 0.40}, "m": {"a": {"b": {"c": {"d": {}}}}}} {', v))
+        .when(i == 7, F.lit("{} {}"))
+        .when(i == 8, F.lit('{"weights": [1, 2], "SPY": 1}'))
+        .when(i == 9, F.lit('{"weights": {}}'))
+        .when(i == 10, F.lit('{"FAKE": 1}'))
+        .when(i == 11, F.lit('{"SPY": 1, "open": {'))
         .otherwise(F.lit('{"SPY": -0.2, "QQQ": "abc", "AGG": 0.5, "SPY2": {"a": 1}}'))
     )
     pol = F.when(F.col("event_id") % 35 == 0, "P4").when(F.col("event_id") % 35 == 1, "P5").otherwise("P1")
@@ -45,21 +51,21 @@ def cleaned(s, d):
 Q["response_weights"] = lambda s, d: r6(cleaned(s, d).select(
     "event_id", "json_valid", "repair_used", "unknown_count", "missing_count", "invalid_count", "negative_count", "equal_fallback",
     F.col("weights")[0].alias("spy"), F.col("weights")[1].alias("qqq"), F.col("weights")[2].alias("agg")))
-O["response_weights"] = """WITH e AS (SELECT event_id, event_id % 6 AS i, round(event_id % 90 / 1e2, 2) AS v, CASE event_id % 35 WHEN 0 THEN 'P4' WHEN 1 THEN 'P5' ELSE 'P1' END AS pol FROM events),
-g AS (SELECT *, CASE i WHEN 0 THEN v WHEN 1 THEN v WHEN 2 THEN 0.5e0 WHEN 3 THEN 0.7e0 WHEN 5 THEN CASE WHEN pol = 'P5' THEN 0 ELSE -0.2e0 END END AS a,
-  CASE i WHEN 0 THEN 0.1e0 WHEN 1 THEN 0.4e0 WHEN 3 THEN v WHEN 5 THEN 0e0 END AS b, CASE i WHEN 2 THEN v WHEN 5 THEN 0.5e0 END AS c FROM e),
+O["response_weights"] = """WITH e AS (SELECT event_id, event_id % 12 AS i, round(event_id % 90 / 1e2, 2) AS v, CASE event_id % 35 WHEN 0 THEN 'P4' WHEN 1 THEN 'P5' ELSE 'P1' END AS pol FROM events),
+g AS (SELECT *, i IN (4, 7, 8, 9, 10, 11) AS nothing, CASE i WHEN 0 THEN v WHEN 1 THEN v WHEN 6 THEN v WHEN 2 THEN 0.5e0 WHEN 3 THEN 0.7e0 WHEN 5 THEN CASE WHEN pol = 'P5' THEN 0 ELSE -0.2e0 END END AS a,
+  CASE i WHEN 0 THEN 0.1e0 WHEN 1 THEN 0.4e0 WHEN 6 THEN 0.4e0 WHEN 3 THEN v WHEN 5 THEN 0e0 END AS b, CASE i WHEN 2 THEN v WHEN 5 THEN 0.5e0 END AS c FROM e),
 n AS (SELECT *, coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) AS s FROM g),
 p AS (SELECT *, greatest(coalesce(a, 0) / nullif(s, 0), 0) AS x, greatest(coalesce(b, 0) / nullif(s, 0), 0) AS y, greatest(coalesce(c, 0) / nullif(s, 0), 0) AS z FROM n)
-SELECT event_id, 1 AS json_valid, CAST(i IN (2, 3) AS INT) AS repair_used, CAST(i IN (1, 4, 5) AS INT) AS unknown_count, CASE i WHEN 4 THEN 3 WHEN 5 THEN 0 ELSE 1 END AS missing_count,
- CAST(i = 5 AS INT) AS invalid_count, CAST(i = 5 AS INT) AS negative_count, CAST(i = 4 OR pol = 'P4' AS INT) AS equal_fallback,
- round(CASE WHEN i = 4 OR pol = 'P4' THEN 1e0 / 3 ELSE x / (x + y + z) END, 6) AS spy, round(CASE WHEN i = 4 OR pol = 'P4' THEN 1e0 / 3 ELSE y / (x + y + z) END, 6) AS qqq,
- round(CASE WHEN i = 4 OR pol = 'P4' THEN 1e0 / 3 ELSE z / (x + y + z) END, 6) AS agg FROM p"""
+SELECT event_id, CAST(i NOT IN (7, 8, 11) AS INT) AS json_valid, CAST(i IN (2, 3, 4, 9, 10) AS INT) AS repair_used, CAST(i IN (1, 4, 5, 10) AS INT) AS unknown_count, CASE WHEN nothing THEN 3 WHEN i = 5 THEN 0 ELSE 1 END AS missing_count,
+ CAST(i = 5 AS INT) AS invalid_count, CAST(i = 5 AS INT) AS negative_count, CAST(nothing OR pol = 'P4' AS INT) AS equal_fallback,
+ round(CASE WHEN nothing OR pol = 'P4' THEN 1e0 / 3 ELSE x / (x + y + z) END, 6) AS spy, round(CASE WHEN nothing OR pol = 'P4' THEN 1e0 / 3 ELSE y / (x + y + z) END, 6) AS qqq,
+ round(CASE WHEN nothing OR pol = 'P4' THEN 1e0 / 3 ELSE z / (x + y + z) END, 6) AS agg FROM p"""
 
 Q["repair_walkthrough"] = lambda s, d: r6(R.repair_rows(
-    R.extract_weights(responses(s, d).where("event_id % 6 IN (1, 3, 5)"), "raw_output").select("event_id", "parsed"), F.array(*[F.lit(a) for a in ALLOWED])).drop("parsed"))
+    R.extract_weights(responses(s, d).where("event_id % 12 IN (0, 1, 2, 3, 5, 6)"), "raw_output").select("event_id", "parsed"), F.array(*[F.lit(a) for a in ALLOWED])).drop("parsed"))
 # three assets, cap .6: solve the projection by trying every pattern of floored and capped entries
-O["repair_walkthrough"] = """WITH e AS (SELECT event_id, event_id % 6 AS i, round(event_id % 90 / 1e2, 2) AS v FROM events WHERE event_id % 6 IN (1, 3, 5)),
-g AS (SELECT event_id, CASE i WHEN 1 THEN [v, 0.4e0, 0e0] WHEN 3 THEN [0.7e0, v, 0e0] ELSE [-0.2e0, 0e0, 0.5e0] END AS a FROM e),
+O["repair_walkthrough"] = """WITH e AS (SELECT event_id, event_id % 12 AS i, round(event_id % 90 / 1e2, 2) AS v FROM events WHERE event_id % 12 IN (0, 1, 2, 3, 5, 6)),
+g AS (SELECT event_id, CASE i WHEN 0 THEN [v, 0e0, 0e0] WHEN 1 THEN [v, 0.4e0, 0e0] WHEN 2 THEN [0.5e0, 0e0, v] WHEN 6 THEN [v, 0.4e0, 0e0] WHEN 3 THEN [0.7e0, v, 0e0] ELSE [-0.2e0, 0e0, 0.5e0] END AS a FROM e),
 pt AS (SELECT x.k AS p, y.k AS q, z.k AS r, CAST((x.k = 1)::INT + (y.k = 1)::INT + (z.k = 1)::INT AS INT) AS free, (x.k = 2)::INT + (y.k = 2)::INT + (z.k = 2)::INT AS capped FROM range(0, 3) x(k), range(0, 3) y(k), range(0, 3) z(k)),
 ta AS (SELECT event_id, a, p, q, r, ((p = 1)::INT * a[1] + (q = 1)::INT * a[2] + (r = 1)::INT * a[3] + 0.6e0 * capped - 1) / free AS tau FROM g, pt WHERE free > 0),
 ca AS (SELECT DISTINCT event_id, a, round(tau, 12) AS tau FROM ta),

@@ -194,3 +194,47 @@ def test_zero_variance_hac(spark):
     r = T.hac_test(df).first()
     assert r["t_hac"] == 0.0 and r["p_hac"] == 1.0
     assert T.excess_regression(df).first()["hac_t"] is None
+
+
+def test_null_groups_keep_their_percentiles(spark):
+    from weightloom.functions.quantiles import exact_percentiles
+    from weightloom.operators.audit import latency_table
+
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 9.0)], "k string, latency_sec double")
+    assert {r.k: r.m for r in exact_percentiles(rows, ["k"], "latency_sec", {"m": 0.5}).collect()} == {"a": 2.0, None: 7.0}
+    assert {r.k: r.median_latency for r in latency_table(rows, ["k"]).collect()} == {"a": 2.0, None: 7.0}
+
+
+def test_repeated_feature_lines_keep_the_last(spark):
+    from weightloom.operators.textrules import parse_features
+
+    rows = spark.createDataFrame([("- SPY_r1m: 0.5\n- QQQ_mdd: 0\n- SPY_r1m: 0.0",), (None,), ("",)], "p string")
+    got = [sorted((e.asset, e.feature, e.value) for e in r[0] or []) for r in rows.select(parse_features(rows.p)).collect()]
+    assert got == [[("QQQ", "mdd", 0.0), ("SPY", "r1m", 0.0)], [], []]
+
+
+def test_objects_are_found_at_any_depth(spark):
+    from weightloom.operators.textrules import first_object
+
+    deep = "{" * 40 + "}" * 40
+    rows = spark.createDataFrame([("x " + deep + " {",), ("{ {",), ("none",), ("} {1} {2}",)], "t string")
+    assert [r[0] for r in rows.select(first_object(rows.t)).collect()] == [deep, "", "", "{1}"]
+
+
+def test_no_local_folder_off_local_mode(spark):
+    from types import SimpleNamespace
+
+    from weightloom.session import shared_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    for master, fails in (("local[4]", False), ("local", False), ("local-cluster[2,1,512]", True), ("spark://host:7077", True), ("yarn", True)):
+        fake = SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master=master, getConf=lambda: Conf()))
+        try:
+            shared_dir(fake, "x")
+            failed = False
+        except ValueError:
+            failed = True
+        assert failed == fails, master

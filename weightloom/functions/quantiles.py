@@ -11,6 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` in which NULL meets NULL; the keys of ``left`` are kept."""
+    r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(r, on, how).drop(*(f"__r_{k}" for k in keys))
+
+
 def exact_percentiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = 10000
 ) -> DataFrame:
@@ -35,7 +42,7 @@ def exact_percentiles(
     )
     b = b.select(*keys, "_n", F.inline(marks))
     # values below the bracket collapse into the NULL group before the shuffle
-    inside = x.join(b, keys).where("_v <= _hi").withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
+    inside = join_groups(x, b, keys).where("_v <= _hi").withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
     c = inside.groupBy(*keys, "_i", "_p", "_n", "_v").agg(F.count("*").alias("_c"))
     up = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
     c = c.withColumn("_cum", F.sum("_c").over(up.rowsBetween(Window.unboundedPreceding, 0)))

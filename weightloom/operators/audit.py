@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weightloom.functions import vectors as V
-from weightloom.functions.quantiles import exact_percentiles
+from weightloom.functions.quantiles import exact_percentiles, join_groups
 from weightloom.functions.scalars import cap_target
 from weightloom.operators.projection import feasibility
 
@@ -93,7 +93,7 @@ def reliability_rollup(calls: DataFrame, keys: list[str]) -> DataFrame:
     out = calls.groupBy(*keys).agg(
         F.count("*").alias("n_calls"), F.stddev_samp("projected_fidelity").alias("std_projected_fidelity"), *_avg(RELIABILITY)
     )
-    return out.join(exact_percentiles(calls, keys, "latency_sec", {"median_latency_sec": 0.5}), keys, "left")
+    return join_groups(out, exact_percentiles(calls, keys, "latency_sec", {"median_latency_sec": 0.5}), keys, "left")
 
 
 def safety_rollup(calls: DataFrame, keys: list[str]) -> DataFrame:
@@ -237,7 +237,7 @@ def semantic_summary(detail: DataFrame, key: str = "model_id") -> DataFrame:
     both = detail.select("*", F.explode(F.array(F.col(key), F.lit("ALL"))).alias("_k")).drop(key).withColumnRenamed("_k", key)
     names = ("target_fidelity", "top3_jaccard", "allocation_l1", "allocation_l2", "equal_weight_l1", "spearman")
     out = both.groupBy(key).agg(F.count("*").alias("calls"), *[F.avg(c).alias(f"mean_{c}") for c in names])
-    return out.join(exact_percentiles(both, [key], "spearman", {"median_spearman": 0.5}), key, "left")
+    return join_groups(out, exact_percentiles(both, [key], "spearman", {"median_spearman": 0.5}), [key], "left")
 
 
 def condition_summary(calls: DataFrame, copy_flag: str | None = None) -> DataFrame:
@@ -287,7 +287,7 @@ def threshold_fidelity(calls: DataFrame, raw: str, projected: str, core: str, pr
 def latency_table(calls: DataFrame, keys: list[str], value: str = "latency_sec") -> DataFrame:
     """Mean, exact median and exact 95th percentile by key."""
     mean = calls.groupBy(*keys).agg(F.count("*").alias("n_calls"), F.avg(value).alias("mean_latency"))
-    return mean.join(exact_percentiles(calls, keys, value, {"median_latency": 0.5, "p95_latency": 0.95}), keys, "left")
+    return join_groups(mean, exact_percentiles(calls, keys, value, {"median_latency": 0.5, "p95_latency": 0.95}), keys, "left")
 
 
 def sample_audit(calls: DataFrame, keys: list[str]) -> DataFrame:

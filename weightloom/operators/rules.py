@@ -246,8 +246,10 @@ def min_cvar(grid: DataFrame, decisions: DataFrame, lookback: int = 126, alpha:
     cvar = tail.groupBy("decision_t", "asset", "ord").agg(
         F.avg(F.when(F.col("loss") >= F.col("q"), F.col("loss"))).alias("cvar"), F.count("*").alias("rows")
     )
-    x = cvar.withColumnRenamed("decision_t", "t").withColumn("inv", 1.0 / F.greatest("cvar", F.lit(1e-6)))
-    w = F.when(F.col("rows") < 20, equal_weight()).otherwise(normalised(F.col("inv")))
+    # a decision on the first row has no window at all, and every asset its equal share
+    every = _decided(grid, decisions).select("t", "asset", "ord")
+    x = every.join(cvar.withColumnRenamed("decision_t", "t").drop("ord"), ["t", "asset"], "left").withColumn("inv", 1.0 / F.greatest("cvar", F.lit(1e-6)))
+    w = F.when(F.coalesce("rows", F.lit(0)) < 20, equal_weight()).otherwise(normalised(F.col("inv")))
     return x.select("t", "asset", "ord", w.alias("w"))
 
 

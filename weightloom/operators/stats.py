@@ -275,12 +275,12 @@ def posthoc(scores: DataFrame, keys: list[str], block: str, treatment: str, valu
 
 def descriptives(scores: DataFrame, keys: list[str], row_id: list[str], value: str, reps: int = 2000, seed: int = 42) -> DataFrame:
     """n, mean, sd, median and bootstrap interval of the mean."""
-    from weightloom.functions.quantiles import exact_percentiles
+    from weightloom.functions.quantiles import exact_percentiles, join_groups
 
     x = scores.where(finite(value).isNotNull())
     a = x.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     ci = mean_interval(x, keys, row_id, value, reps, seed).select(*keys, "ci95_lower", "ci95_upper")
-    return a.join(exact_percentiles(x, keys, value, {"median": 0.5}), keys).join(ci, keys, "left")
+    return join_groups(join_groups(a, exact_percentiles(x, keys, value, {"median": 0.5}), keys), ci, keys, "left")
 
 
 def varying_cells(df: DataFrame, cell: str, success: str) -> DataFrame:

@@ -13,9 +13,7 @@ from weightloom.functions.scalars import finite
 
 # ---- fixed values: patterns --------------------------------------------------
 FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
-# the object that starts at the first brace, balanced to three levels; possessive
-# so that a long text neither backtracks nor deepens the matcher's stack
-OBJECT = r"(?s)^[^{]*+(\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\})"
+TO_BRACE = r"[^{}]*+[{}]"
 TRAILING_COMMA = r",\s*([}\]])"
 BARE_KEY = r"([{,]\s*)([A-Za-z_][A-Za-z0-9_\-]*)(\s*:\s*)"
 NOT_TICKER = r"[^A-Za-z0-9._\-]"
@@ -56,6 +54,20 @@ def _json_map(text: Column) -> Column:
     return F.from_json(text, "map<string,string>", STRICT)
 
 
+def first_object(text: Column) -> Column:
+    """The text from the first brace to the one that closes it, at any depth; else empty."""
+    at = F.instr(text, "{")
+    rest = F.substring(text, F.greatest(at, F.lit(1)), F.length(text))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"))
+
+    def step(a: Column, part: Column) -> Column:
+        more = F.struct((a["depth"] + F.when(part.endswith("{"), 1).otherwise(-1)).alias("depth"), (a["size"] + F.length(part)).alias("size"))
+        return F.when((a["size"] > 0) & (a["depth"] == 0), a).otherwise(more)
+
+    end = F.aggregate(F.regexp_extract_all(rest, F.lit(TO_BRACE), F.lit(0)), start, step)
+    return F.when((at > 0) & (end["depth"] == 0), F.substring(rest, F.lit(1), end["size"])).otherwise("")
+
+
 def extract_weights(df: DataFrame, text: str) -> DataFrame:
     """Adds ``parsed`` (ticker -> text value), ``json_valid`` and ``repair_used``.
 
@@ -64,7 +76,7 @@ def extract_weights(df: DataFrame, text: str) -> DataFrame:
     """
     t = F.trim(F.coalesce(F.col(text), F.lit("")))
     fenced = F.regexp_extract(t, FENCED, 1)
-    body = F.regexp_extract(F.when(fenced != "", fenced).otherwise(t), OBJECT, 1)
+    body = first_object(F.when(fenced != "", fenced).otherwise(t))
     x = df.withColumn("_body", F.when(body != "", body))
     fixed = F.regexp_replace("_body", TRAILING_COMMA, "$1")
     fixed = F.when(fixed.contains("'") & ~fixed.contains('"'), F.replace(fixed, F.lit("'"), F.lit('"'))).otherwise(fixed)
@@ -73,7 +85,8 @@ def extract_weights(df: DataFrame, text: str) -> DataFrame:
     x = x.withColumn("_loose", F.when(F.col("_strict").isNull(), _json_map(fixed)))
     got = F.coalesce("_strict", "_loose")
     inner = _json_map(F.element_at(got, F.lit("weights")))
-    x = x.withColumn("parsed", F.coalesce(F.when(F.map_contains_key(got, F.lit("weights")), inner), got))
+    # an empty answer is none, and neither are weights that are no object
+    x = x.withColumn("parsed", F.when(F.size(got) > 0, F.when(F.map_contains_key(got, F.lit("weights")), inner).otherwise(got)))
     return x.withColumns(
         {
             "json_valid": F.col("parsed").isNotNull().cast("int"),
@@ -134,6 +147,8 @@ def clean_weights(df: DataFrame, allowed: Column, policy: str | None = None) ->
     ).otherwise(F.when(v.isNotNull(), F.lit(1.0) / named).otherwise(0.0))
     w = V.scale_to_one(F.transform("_chosen", share))
     fallback = empty | (p == "P4") | (F.col("_sum") <= 0)
+    if "repair_used" in df.columns:  # an answer without any known ticker counts as repaired
+        x = x.withColumn("repair_used", F.when(empty & F.col("parsed").isNotNull(), 1).otherwise(F.col("repair_used")))
     return x.withColumns({"weights": w, "equal_fallback": fallback.cast("int"), "_n": n}).drop(
         "_allowed", "_got", "_known", "_raw", "_chosen", "_sum", "_n"
     )
@@ -214,14 +229,20 @@ def tfidf_policy(df: DataFrame, key: str, text: str, corpus: dict[str, str] = PO
 def parse_features(text: Column) -> Column:
     """(asset, feature) values written in a prompt, as an array of structs.
 
-    Repeated lines keep their last value when folded into a map."""
+    Of repeated lines only the last counts."""
     pat = F.lit(FEATURE_LINE)
     parts = F.arrays_zip(
         F.regexp_extract_all(text, pat, F.lit(1)).alias("asset"),
         F.regexp_extract_all(text, pat, F.lit(2)).alias("feature"),
         F.transform(F.regexp_extract_all(text, pat, F.lit(3)), lambda v: v.cast("double")).alias("value"),
     )
-    return F.transform(parts, lambda e: F.struct(e["asset"].alias("asset"), e["feature"].alias("feature"), e["value"].alias("value")))
+    named = F.transform(parts, lambda e: F.struct(e["asset"].alias("asset"), e["feature"].alias("feature"), e["value"].alias("value")))
+
+    def add(seen: Column, e: Column) -> Column:
+        same = lambda o: (o["asset"] == e["asset"]) & (o["feature"] == e["feature"])
+        return F.concat(F.filter(seen, lambda o: ~same(o)), F.array(e))
+
+    return F.aggregate(named, F.array().cast("array<struct<asset:string,feature:string,value:double>>"), add)
 
 
 # feature on which a single-core policy decides, and in which direction

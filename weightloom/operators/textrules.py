@@ -13,7 +13,8 @@ from weightloom.functions.scalars import finite
 
 # ---- fixed values: patterns --------------------------------------------------
 FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
-TO_BRACE = r"[^{}]*+[{}]"
+# matches at the end too: a long rest without a brace is then read only once
+TO_BRACE = r"[^{}]*+(?:[{}]|\z)"
 TRAILING_COMMA = r",\s*([}\]])"
 BARE_KEY = r"([{,]\s*)([A-Za-z_][A-Za-z0-9_\-]*)(\s*:\s*)"
 NOT_TICKER = r"[^A-Za-z0-9._\-]"
@@ -61,7 +62,7 @@ def first_object(text: Column) -> Column:
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"))
 
     def step(a: Column, part: Column) -> Column:
-        more = F.struct((a["depth"] + F.when(part.endswith("{"), 1).otherwise(-1)).alias("depth"), (a["size"] + F.length(part)).alias("size"))
+        more = F.struct((a["depth"] + F.when(part.endswith("{"), 1).when(part.endswith("}"), -1).otherwise(0)).alias("depth"), (a["size"] + F.length(part)).alias("size"))
         return F.when((a["size"] > 0) & (a["depth"] == 0), a).otherwise(more)
 
     end = F.aggregate(F.regexp_extract_all(rest, F.lit(TO_BRACE), F.lit(0)), start, step)

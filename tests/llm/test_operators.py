@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weightloom.llm import decontaminate, hmm, packing, quality, queries, simhash, substrings, tokencount, toxicity, urlfilter, warc
@@ -156,6 +157,18 @@ def test_substrings(docs, empty):
     assert substrings.substring_counts(empty).count() == substrings.remove_repeats(empty).count() == 0
 
 
+def test_substrings_with_hot_anchors(docs, monkeypatch):
+    """Every anchor hot, many hot, none: the same rows."""
+    whole = [tuple(r) for r in substrings.substring_counts(docs).collect()]
+    keyed = substrings._keyed(docs.select("doc_id", "text")).select("__key", "__row", F.col("__text").alias("text"))
+    everything = len(substrings.hot_anchors(keyed, 20, 4, 0.0))
+    assert 0 < len(substrings.hot_anchors(keyed, 20, 4, 2e-3)) < everything
+    assert substrings.hot_anchors(keyed.limit(0), 20, 4, 0.0) == []
+    for share in (0.0, 2e-3, 1.0):
+        monkeypatch.setattr(substrings, "HOT_SHARE", share)
+        same([tuple(r) for r in substrings.substring_counts(docs).collect()], whole)
+
+
 @pytest.fixture(scope="module")
 def bench(spark, docs):
     text = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None and r.doc_id != 3}

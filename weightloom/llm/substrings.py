@@ -5,7 +5,9 @@ run of ``ANCHOR`` words; successive windows with one anchor form a piece, a path
 is compact from the start and equal wherever its words are equal. So:
 
 1. Pieces of each document meet on their anchor, once. In a slice of texts only the
-   earliest of equal pieces takes part; the others are repeats already.
+   earliest of equal pieces takes part; the others are repeats already. Anchors with a
+   large share of all pieces are found first: their pieces meet on their content, and
+   step 3 compares their windows whatever else the anchor has.
 2. Repeated pieces are nodes. Two are joined if one follows the other at every
    occurrence, which a fingerprint of all their source coordinates verifies; paths
    without branches compact by pointer doubling. One occurrence of a path stands for
@@ -34,6 +36,9 @@ WINDOW = 20
 ANCHOR = 4
 FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 PIECES_BYTES = 8 << 20
+#: Each slice reports the anchors above this share of its pieces. Any anchor of twice this share of all pieces
+#: is hot, and at most 1 / HOT_SHARE anchors are.
+HOT_SHARE = 5e-5
 #: Order of a null doc_id.
 LEAST = -(1 << 63)
 
@@ -74,12 +79,51 @@ def pieces(t: Tokens, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray,
     return start, count, value, mix(Rolling(t.hashes, SECOND).of(start, start + count + window - 1) ^ value)
 
 
-PIECE = "anchor long, content long, key long, row long, start int, n int, repeat boolean, more boolean"
+PIECE = "anchor long, content long, key long, row long, start int, n int, repeat boolean, more boolean, hot boolean"
 
 
-def piece_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+def _repeats(content: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Is there an equal piece of a smaller key in this slice; is there any equal piece."""
+    order = np.lexsort((keys, content))
+    c, k = content[order], keys[order]
+    head = np.concatenate([[True], c[1:] != c[:-1]])
+    group = np.cumsum(head) - 1
+    repeat, more = np.zeros(len(c), bool), np.zeros(len(c), bool)
+    repeat[order] = k > k[np.flatnonzero(head)][group]
+    more[order] = (np.bincount(group) > 1)[group]
+    return repeat, more
+
+
+def hot_anchors(docs: DataFrame, window: int, anchor: int, share: float) -> list[int]:
+    """Anchors that hold more than ``share`` of the pieces, counted over all documents.
+
+    A slice leaves out fewer than ``share`` of its pieces of one anchor, so an anchor of
+    twice the share is never missed. The reported counts exceed ``share`` of all pieces for
+    fewer than 1 / share anchors: that bounds what comes to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, limit=PIECES_BYTES):
+            t = Tokens(part, window)
+            start, _, value, content = pieces(t, window, anchor)
+            if not len(start):
+                continue
+            repeat, _ = _repeats(content, np.asarray(part.column(0))[t.owner[start]])
+            found, times = np.unique(value[~repeat], return_counts=True)
+            big = times > share * len(start)
+            # the row without an anchor carries the number of pieces
+            yield pa.RecordBatch.from_arrays([pa.array([None, *signed(found[big]).tolist()], pa.int64()), pa.array([len(start), *times[big].tolist()], pa.int64())], ["anchor", "n"])
+
+    counts = materialize(docs.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchor-counts")
+    total = counts.filter("anchor IS NULL").first()
+    return [r.anchor for r in counts.filter(F.col("anchor").isNotNull() & (F.col("n") > share * total.n)).select("anchor").collect()] if total else []
+
+
+def piece_rows(docs: DataFrame, window: int, anchor: int, share: float = HOT_SHARE) -> DataFrame:
     """Pieces of all documents; per slice, later equal pieces are ``repeat`` and spread by chance,
-    and the earliest knows by ``more`` that there are some."""
+    and the earliest knows by ``more`` that there are some. ``hot`` pieces are spread by their content."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(np.array(sorted(hot_anchors(docs, window, anchor, share)), np.int64).view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=PIECES_BYTES):
@@ -89,17 +133,12 @@ def piece_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 continue
             owner = t.owner[start]
             keys, ids = np.asarray(part.column(0))[owner], np.asarray(part.column(1))[owner]
-            order = np.lexsort((keys, content))
-            c, k = content[order], keys[order]
-            head = np.concatenate([[True], c[1:] != c[:-1]])
-            group = np.cumsum(head) - 1
-            least = k[np.flatnonzero(head)][group]
-            repeat, more = np.zeros(len(c), bool), np.zeros(len(c), bool)
-            repeat[order] = k > least
-            more[order] = (np.bincount(group) > 1)[group]
+            repeat, more = _repeats(content, keys)
+            hot = np.isin(value, sent.value)
+            value = np.where(hot, mix(value ^ content), value)
             value = np.where(repeat, mix(value ^ mix(keys.view(np.uint64) + start.astype(np.uint64) * ODD)), value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(value)), pa.array(signed(content)), pa.array(keys), pa.array(ids), pa.array((start - t.rows[owner]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(repeat), pa.array(more)],
+                [pa.array(signed(value)), pa.array(signed(content)), pa.array(keys), pa.array(ids), pa.array((start - t.rows[owner]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(repeat), pa.array(more), pa.array(hot)],
                 [x.split()[0] for x in PIECE.split(", ")],
             )
 
@@ -108,14 +147,15 @@ def piece_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 def meet(rows: DataFrame) -> DataFrame:
     """Pieces that occur more than once (``shared``), and earliest occurrences of pieces whose
-    anchor has other pieces too (``border``). One shuffle; a group holds a row per slice at most."""
+    anchor has other pieces too or is hot (``border``). One shuffle; a group holds at most a row
+    per slice, or twice ``HOT_SHARE`` of the pieces."""
     same, anchor = Window.partitionBy("anchor", "content"), Window.partitionBy("anchor")
     seen = rows.repartition("anchor").select(
         "*", F.min("key").over(same).alias("least"), F.count(F.lit(1)).over(same).alias("times"),
         (F.min("content").over(anchor) != F.max("content").over(anchor)).alias("several"),
     )
     shared = F.col("repeat") | F.col("more") | (F.col("times") > 1)
-    border = F.col("several") & ~F.col("repeat") & (F.col("key") == F.col("least"))
+    border = (F.col("several") | F.col("hot")) & ~F.col("repeat") & (F.col("key") == F.col("least"))
     return seen.select("content", "key", "row", "start", "n", shared.alias("shared"), border.alias("border")).filter("shared OR border")
 
 
@@ -185,10 +225,10 @@ def border_windows(keyed: DataFrame, border: DataFrame, window: int) -> DataFram
     return asked.mapInArrow(run, "h1 long, h2 long, key long, row long, start int")
 
 
-def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, share: float | None = None) -> DataFrame:
     """key, row, start, n: runs of windows that a document of smaller key also holds."""
     narrow = keyed.select("__key", "__row", F.col("__text").alias("text"))
-    met = materialize(meet(piece_rows(narrow, window, anchor)), "met-pieces")
+    met = materialize(meet(piece_rows(narrow, window, anchor, HOT_SHARE if share is None else share)), "met-pieces")
     shared = met.filter("shared")
     heads = materialize(compact(shared), "unitigs")
     long = shared.join(heads.withColumnRenamed("n", "path_n"), "content").filter("key > least").select("key", "row", "start", F.col("path_n").alias("n"))

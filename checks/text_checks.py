@@ -62,10 +62,10 @@ SELECT event_id, CAST(i NOT IN (7, 8, 11) AS INT) AS json_valid, CAST(i IN (2, 3
  round(CASE WHEN nothing OR pol = 'P4' THEN 1e0 / 3 ELSE z / (x + y + z) END, 6) AS agg FROM p"""
 
 Q["repair_walkthrough"] = lambda s, d: r6(R.repair_rows(
-    R.extract_weights(responses(s, d).where("event_id % 12 IN (0, 1, 2, 3, 5, 6)"), "raw_output").select("event_id", "parsed"), F.array(*[F.lit(a) for a in ALLOWED])).drop("parsed"))
-# three assets, cap .6: solve the projection by trying every pattern of floored and capped entries
-O["repair_walkthrough"] = """WITH e AS (SELECT event_id, event_id % 12 AS i, round(event_id % 90 / 1e2, 2) AS v FROM events WHERE event_id % 12 IN (0, 1, 2, 3, 5, 6)),
-g AS (SELECT event_id, CASE i WHEN 0 THEN [v, 0e0, 0e0] WHEN 1 THEN [v, 0.4e0, 0e0] WHEN 2 THEN [0.5e0, 0e0, v] WHEN 6 THEN [v, 0.4e0, 0e0] WHEN 3 THEN [0.7e0, v, 0e0] ELSE [-0.2e0, 0e0, 0.5e0] END AS a FROM e),
+    R.extract_weights(responses(s, d), "raw_output").select("event_id", "parsed"), F.array(*[F.lit(a) for a in ALLOWED])).drop("parsed"))
+# responses without a usable object give no rows; three assets, cap .6: solve the projection by trying every pattern of floored and capped entries
+O["repair_walkthrough"] = """WITH e AS (SELECT event_id, event_id % 12 AS i, round(event_id % 90 / 1e2, 2) AS v FROM events),
+g AS (SELECT event_id, CASE i WHEN 0 THEN [v, 0e0, 0e0] WHEN 1 THEN [v, 0.4e0, 0e0] WHEN 2 THEN [0.5e0, 0e0, v] WHEN 6 THEN [v, 0.4e0, 0e0] WHEN 3 THEN [0.7e0, v, 0e0] WHEN 5 THEN [-0.2e0, 0e0, 0.5e0] ELSE [0e0, 0e0, 0e0] END AS a FROM e WHERE i NOT IN (7, 8, 11)),
 pt AS (SELECT x.k AS p, y.k AS q, z.k AS r, CAST((x.k = 1)::INT + (y.k = 1)::INT + (z.k = 1)::INT AS INT) AS free, (x.k = 2)::INT + (y.k = 2)::INT + (z.k = 2)::INT AS capped FROM range(0, 3) x(k), range(0, 3) y(k), range(0, 3) z(k)),
 ta AS (SELECT event_id, a, p, q, r, ((p = 1)::INT * a[1] + (q = 1)::INT * a[2] + (r = 1)::INT * a[3] + 0.6e0 * capped - 1) / free AS tau FROM g, pt WHERE free > 0),
 ca AS (SELECT DISTINCT event_id, a, round(tau, 12) AS tau FROM ta),

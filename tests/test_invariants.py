@@ -163,9 +163,17 @@ def test_minimum_variance_and_views_against_numpy(spark):
         x[r["t"], r["ord"] - 1] = r["ret"]
     win = x[30:90]
     s = np.cov(win, rowvar=False)
-    w = np.clip(np.linalg.solve(s, np.ones(5)), 0, None)
+    w = np.linalg.solve(s, np.ones(5))
     got = [r["w"] for r in M.min_variance(g, dec).orderBy("ord").collect()]
+    assert np.allclose(got, np.clip(w / w.sum(), 0, None), atol=1e-9)
+    w = np.clip(np.linalg.solve(M.ridge_cov(win), np.ones(5)), 0, None)
+    got = [r["w"] for r in M.min_variance(g, dec, "ridge").orderBy("ord").collect()]
     assert np.allclose(got, w / w.sum(), atol=1e-9)
+    # a short position: cut, and normalised only in the ridge form
+    c = np.array([[1.0, 1.4], [1.4, 4.0]])
+    x = np.linalg.inv(c).sum(axis=1)
+    assert x.min() < 0 < x.sum()
+    assert np.allclose(M.budget_minimum_variance(c), [x[0] / x.sum(), 0]) and np.allclose(M.minimum_variance(c), [1, 0])
     p, q = np.array([[1.0, -1.0, 0, 0, 0]]), np.array([0.01])
     pi, ts = 2.5 * s @ np.full(5, 0.2), 0.05 * s
     om = np.diag(np.diag(p @ ts @ p.T))
@@ -267,3 +275,13 @@ def test_nothing_is_collected_or_pinned_locally():
             if f.endswith(".py"):
                 text = open(os.path.join(base, f)).read()
                 assert "localCheckpoint" not in text and ".toPandas(" not in text and ".collect()" not in text and "crossJoin" not in text, f
+
+
+def test_snooping_keeps_series_of_different_lengths_apart(spark):
+    rng = np.random.default_rng(4)
+    short = [("a", i, float(x)) for i, x in enumerate(rng.normal(0.25, 1, 40))]  # a positive mean, so clipping at 0 changes nothing
+    flat = [("b", i, 0.5) for i in range(60)]  # never varies, so its replicates are all 0
+    schema = "series string, t int, diff double"
+    p = lambda rows: {r["series"]: r["p"] for r in T.reality_check(spark.createDataFrame(rows, schema), 60).collect()}
+    alone, both = p(short), p(short + flat)
+    assert 0 < alone["a"] < 1 and both["a"] == alone["a"]

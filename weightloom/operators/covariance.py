@@ -116,6 +116,12 @@ def minimum_variance(c: np.ndarray) -> np.ndarray:
     return x / x.sum() if x.sum() > 0 else np.full(len(x), 1.0 / len(x))
 
 
+def budget_minimum_variance(c: np.ndarray) -> np.ndarray:
+    """Sigma^-1 1 divided by its sum, negatives cut; the rest is left to the projection. Equal where the sum is not positive."""
+    x = np.linalg.pinv(c).sum(axis=1)
+    return np.clip(x / x.sum(), 0.0, None) if x.sum() > 0 else np.full(len(x), 1.0 / len(x))
+
+
 def black_litterman(
     c: np.ndarray, market: np.ndarray | None = None, views: tuple[np.ndarray, np.ndarray] | None = None,
     delta: float = 2.5, tau: float = 0.05, omega_scale: float = 1.0,
@@ -159,7 +165,8 @@ def risk_parity(grid: DataFrame, decisions: DataFrame, lookback: int = 60) -> Da
 
 
 def min_variance(grid: DataFrame, decisions: DataFrame, method: str = "sample", lookback: int = 60) -> DataFrame:
-    return covariance_rule(grid, decisions, minimum_variance, method, lookback)
+    """The ridge form normalises what is left after the cut; the sample and the shrunk form do not."""
+    return covariance_rule(grid, decisions, minimum_variance if method == "ridge" else budget_minimum_variance, method, lookback)
 
 
 def bl_rule(

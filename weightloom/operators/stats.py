@@ -177,7 +177,8 @@ def reality_check(diffs: DataFrame, reps: int = 500, p: float = 0.1, lags: int =
 
     ``spa`` clips the statistics at 0.  The strategies of one day travel as one
     array, so only replicate x day rows are sorted; the per-strategy terms are
-    expanded straight into the aggregation.
+    expanded straight into the aggregation. Series of one length share a resample,
+    and positions in the arrays count within that length.
     """
     d = materialize(diffs.select("series", "t", "diff"), "diffs")
     obs = hac_test(d, lags)
@@ -196,9 +197,8 @@ def reality_check(diffs: DataFrame, reps: int = 500, p: float = 0.1, lags: int =
     e = b.select("rep", "t", "n", F.posexplode(F.arrays_zip(*filled)).alias("k", "z")).select(
         "rep", "t", "n", "k", *[F.col("z")[c].alias(c) for c in names]
     )
-    n = F.count("*")
-    g = _autocovariances("x", n, names[1:], "t", lags)
-    a = e.groupBy("rep", "k").agg(n.alias("n"), F.avg("x").alias("mu"), *[c.alias(f"g{i}") for i, c in enumerate(g)])
+    g = _autocovariances("x", F.count("*"), names[1:], "t", lags)
+    a = e.groupBy("n", "rep", "k").agg(F.avg("x").alias("mu"), *[c.alias(f"g{i}") for i, c in enumerate(g)])
     var = _bartlett([F.col(f"g{i}") for i in range(lags + 1)], F.col("n"), lags)
     tb = F.when(var > 0, F.try_divide("mu", F.sqrt(var / F.col("n")))).otherwise(0.0)
     a = a.withColumn("tb", F.greatest(tb, F.lit(0.0)) if spa else tb)

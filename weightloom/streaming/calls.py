@@ -65,7 +65,8 @@ def stale_gaps(stream: DataFrame, key: str, ts: str, threshold_sec: float, delay
             return
         times = np.sort(np.concatenate([b["_us"].to_numpy(dtype="int64") for b in batches]))
         if state.exists:
-            times = np.concatenate([[state.get[0]], times])
+            # a report older than the last one seen opens no gap and does not move it back
+            times = np.concatenate([[state.get[0]], times[times > state.get[0]]])
         steps = np.diff(times)
         far = np.flatnonzero(steps / 1e6 > threshold_sec)
         out = [(int(times[i]), int(times[i + 1])) for i in far]

@@ -36,8 +36,8 @@ WINDOW = 20
 ANCHOR = 4
 FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 PIECES_BYTES = 8 << 20
-#: Each slice reports the anchors above this share of its pieces. Any anchor of twice this share of all pieces
-#: is hot, and at most 1 / HOT_SHARE anchors are.
+#: Each slice reports the anchors it holds twice or more and above this share of its pieces; those above it in all
+#: pieces are hot, at most 1 / HOT_SHARE anchors.
 HOT_SHARE = 5e-5
 #: Order of a null doc_id.
 LEAST = -(1 << 63)
@@ -97,8 +97,8 @@ def _repeats(content: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
 def hot_anchors(docs: DataFrame, window: int, anchor: int, share: float) -> list[int]:
     """Anchors that hold more than ``share`` of the pieces, counted over all documents.
 
-    A slice leaves out fewer than ``share`` of its pieces of one anchor, so an anchor of
-    twice the share is never missed. The reported counts exceed ``share`` of all pieces for
+    A slice leaves out at most ``share`` of its pieces of one anchor, or a single piece, so
+    an anchor that is missed has twice the share or a row per slice at most. The reported counts exceed ``share`` of all pieces for
     fewer than 1 / share anchors: that bounds what comes to the driver.
     """
 
@@ -110,7 +110,7 @@ def hot_anchors(docs: DataFrame, window: int, anchor: int, share: float) -> list
                 continue
             repeat, _ = _repeats(content, np.asarray(part.column(0))[t.owner[start]])
             found, times = np.unique(value[~repeat], return_counts=True)
-            big = times > share * len(start)
+            big = times > max(1.0, share * len(start))
             # the row without an anchor carries the number of pieces
             yield pa.RecordBatch.from_arrays([pa.array([None, *signed(found[big]).tolist()], pa.int64()), pa.array([len(start), *times[big].tolist()], pa.int64())], ["anchor", "n"])
 

@@ -51,12 +51,23 @@ def fan_out(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+#: Spark's own setting: shuffle files of a query go when the query ends, not when the driver's garbage is collected.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a reduced intermediate to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives later joins a file size
-    from which Spark itself decides whether broadcasting is safe.
+    from which Spark itself decides whether broadcasting is safe.  The written
+    table replaces the shuffles behind it, so their files are dropped with the write.
     """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.parquet(path)

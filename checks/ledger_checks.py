@@ -126,6 +126,10 @@ def ledger(s, d):
     return L.rebalance_ledger(dec, lv, base_params(s, d)), lv
 
 
+def diagnostics(s, d):
+    return L.rebalance_diagnostics(ledger(s, d)[0], cal(s, d), base_params(s, d), D.folds(cal(s, d), 504, 378))
+
+
 def daily(s, d):
     led, lv = ledger(s, d)
     return L.daily_valuation(led, lv)
@@ -208,21 +212,21 @@ Q["tidy_equity"] = lambda s, d: r6(L.tidy_equity(daily(s, d), "brands").drop("ru
 O["tidy_equity"] = WF + """ SELECT series, dt, fold, 'fold_oos' AS segment, round(product(1e0 + ret) OVER (PARTITION BY series, fold ORDER BY t ROWS UNBOUNDED PRECEDING), 6) AS equity, 1 AS is_oos, 'brands' AS universe FROM ledger_days
 UNION ALL SELECT series, dt, 0, 'stitched_oos', round(product(1e0 + ret) OVER (PARTITION BY series ORDER BY t ROWS UNBOUNDED PRECEDING), 6), 1, 'brands' FROM ledger_days"""
 
-Q["rebalance_diagnostics"] = lambda s, d: r6(L.rebalance_diagnostics(ledger(s, d)[0], cal(s, d), base_params(s, d)))
-O["rebalance_diagnostics"] = WF + """ SELECT run, series, fold, i // 42 AS seq, l.dt AS decision_date, c.dt AS effective_from, 1 AS execution_lag_days, 0 AS uses_same_day_return,
+Q["rebalance_diagnostics"] = lambda s, d: r6(diagnostics(s, d))
+O["rebalance_diagnostics"] = WF + """ SELECT run, series, l.fold, i // 42 AS seq, l.dt AS decision_date, coalesce(CAST(n.dt AS VARCHAR), 'END') AS effective_from, 1 AS execution_lag_days, 0 AS uses_same_day_return,
  1 AS weight_drift_applied, CASE WHEN i > 0 THEN round(list_sum(list_transform(pt, lambda x, k: abs(x - dr[k]))), 6) END AS turnover_before_cap,
  CASE WHEN i > 0 THEN round(list_sum(list_transform(w, lambda x, k: abs(x - dr[k]))), 6) END AS turnover_after_cap,
  round(list_sum(list_transform(w, lambda x, k: abs(x - pt[k]))), 6) AS projection_l1_target_to_final, round(sqrt(list_sum(list_transform(w, lambda x, k: (x - pt[k]) ** 2))), 6) AS projection_l2_target_to_final,
  round(list_max(w), 6) AS max_weight_final, round(list_sum(w), 6) AS sum_weight_final, round(list_min(w), 6) AS min_weight_final, 1 AS feasible_budget, 1 AS feasible_nonnegative,
- CAST(list_max(w) <= 0.6 + 1e-8 AS INT) AS feasible_cap, 0.25e0 AS turnover_cap, 0.6e0 AS max_weight_cap, round(fee, 6) AS fee
-FROM ledger_days l LEFT JOIN cal c ON c.t = l.t + 1 WHERE i % 42 = 0"""
+ CAST(list_max(w) <= 0.6 + 1e-8 AS INT) AS feasible_cap, 0.25e0 AS turnover_cap, 0.6e0 AS max_weight_cap, round(fee, 6) AS fee, round(gross, 6) AS gross_return_before_fee
+FROM ledger_days l LEFT JOIN (SELECT DISTINCT fold, t, dt FROM days) n ON n.fold = l.fold AND n.t = l.t + 1 WHERE i % 42 = 0"""
 
 Q["feasibility_violation_rates"] = lambda s, d: r6(C.violation_rates(
-    L.rebalance_diagnostics(ledger(s, d)[0], cal(s, d), base_params(s, d)), ["series"]))
+    diagnostics(s, d), ["series"]))
 O["feasibility_violation_rates"] = WF + """ SELECT series, 0e0 AS budget_violation_rate, 0e0 AS nonnegative_violation_rate,
  round(1 - avg(CASE WHEN list_max(w) <= 0.6 + 1e-8 THEN 1e0 ELSE 0 END), 6) AS cap_violation_rate FROM ledger_days WHERE i % 42 = 0 GROUP BY series"""
 
-Q["projection_effects"] = lambda s, d: r6(K.with_series_parts(L.rebalance_diagnostics(ledger(s, d)[0], cal(s, d), base_params(s, d)).groupBy("series").agg(
+Q["projection_effects"] = lambda s, d: r6(K.with_series_parts(diagnostics(s, d).groupBy("series").agg(
     *[F.avg(c).alias(c) for c in ("turnover_before_cap", "turnover_after_cap", "projection_l1_target_to_final", "max_weight_final", "feasible_cap")])))
 O["projection_effects"] = WF + """ SELECT series, CASE WHEN series LIKE 'CODED_P%' THEN 'CodedPolicy' ELSE 'Baseline' END AS method_group, '' AS model,
  CASE WHEN series LIKE 'CODED_P%' THEN replace(series, 'CODED_', '') ELSE '' END AS persona,

@@ -205,9 +205,17 @@ O["experiment_plan"] = f"""WITH {S.BRAND}{S.DECIDE}, n AS (SELECT count(*) AS n
 x(e, p, c) AS (SELECT 'prompt_robustness', 'P' || k, CASE k WHEN 4 THEN 5 WHEN 6 THEN 6 ELSE 10 END FROM range(1, 7) r(k) UNION ALL SELECT 'ticker_masking', 'P' || k, 3 FROM range(1, 7) r(k)
  UNION ALL SELECT 'policy_complexity', 'L' || k, 1 FROM range(1, 7) r(k) UNION ALL SELECT 'constraint_conflict_stress', 'P1', 22 UNION ALL SELECT 'model_family_generalization', 'P' || k, 1 FROM range(1, 7) r(k))
 SELECT e AS experiment_id, 'm' || m AS model_id, p AS policy_id, c * n AS calls, c * n AS ids, c AS conditions FROM x, n, range(0, 2) g(m)"""
-Q["experiment_plan_capped"] = lambda s, d: PL.experiment_plan(decisions(s, d), VR.policy_variants(s), MODELS, ["P2"], 25).groupBy("experiment_id").agg(
-    F.count("*").alias("calls"), F.max("model_id").alias("last_model"))
-O["experiment_plan_capped"] = "SELECT unnest(['prompt_robustness', 'ticker_masking', 'policy_complexity', 'constraint_conflict_stress', 'model_family_generalization']) AS experiment_id, 25 AS calls, 'm0' AS last_model"
+Q["experiment_plan_capped"] = lambda s, d: PL.experiment_plan(decisions(s, d), VR.policy_variants(s), ["m1", "m0"], ["P2"], 25).select(
+    "experiment_id", "model_id", "condition_id", "mask_condition", F.col("reminder").cast("int").alias("reminder"), "t")
+O["experiment_plan_capped"] = f"""WITH {S.BRAND}{S.DECIDE},
+c(e, k, c, m, r) AS (SELECT 'prompt_robustness', j, 'P2_paraphrase_0' || j, 'real_ticker', 1 FROM range(0, 10) g(j)
+ UNION ALL SELECT * FROM (VALUES ('ticker_masking', 0, 'P2_real_ticker', 'real_ticker', 1), ('ticker_masking', 1, 'P2_masked_ticker', 'masked_ticker', 1), ('ticker_masking', 2, 'P2_shuffled_masked', 'shuffled_masked', 1))
+ UNION ALL SELECT 'policy_complexity', j, 'L' || j, 'real_ticker', 1 FROM range(1, 7) g(j)
+ UNION ALL SELECT 'constraint_conflict_stress', 2 * i + b, n || CASE b WHEN 0 THEN '_reminded' ELSE '_blind' END, 'real_ticker', 1 - b FROM (SELECT unnest({list(VR.CONFLICTS)}) AS n, generate_subscripts({list(VR.CONFLICTS)}, 1) AS i), range(0, 2) g(b)
+ UNION ALL SELECT 'model_family_generalization', 0, 'P2', 'real_ticker', 1),
+x AS (SELECT c.*, m.i, m.n AS model, t FROM c, (VALUES (0, 'm1'), (1, 'm0')) m(i, n), decisions),
+y AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY i, k, t) AS q FROM x)
+SELECT e AS experiment_id, model AS model_id, c AS condition_id, m AS mask_condition, r AS reminder, t FROM y WHERE q <= 25"""
 Q["supplementary_plan"] = lambda s, d: PL.supplementary_plan(decisions(s, d), VR.policy_variants(s), MODELS, ["P1", "P2"]).groupBy("kind", "protocol").agg(
     F.count("*").alias("tasks"), F.countDistinct("task_id").alias("ids"), F.max("seed").alias("last_seed"))
 O["supplementary_plan"] = f"""WITH {S.BRAND}{S.DECIDE}, n AS (SELECT count(*) AS n FROM decisions), x AS (SELECT * FROM (VALUES ('baseline', 'rule', 6, 42), ('baseline', 'tfidf', 6, 42), ('bridge', 'A_original', 4, 42), ('bridge', 'B_canonical', 4, 42), ('repeatability', 'B_canonical', 20, 46)) v(kind, protocol, c, last_seed))

@@ -21,10 +21,14 @@ def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 def exact_percentiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = 10000
 ) -> DataFrame:
-    """(keys, <name>...) for each name -> probability."""
+    """(keys, <name>...) for each name -> probability; NULL and NaN values do not count.
+
+    The exact counts verify that the wanted ranks lie in their bracket; a bracket that
+    misses them is an error, never a silent value.
+    """
     names, ps = list(probs), list(probs.values())
     eps = 2.0 / accuracy
-    x = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    x = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     edges = [max(p - eps, 0.0) for p in ps] + [min(p + eps, 1.0) for p in ps]
     b = x.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_q")
@@ -48,7 +52,12 @@ def exact_percentiles(
     c = c.withColumn("_cum", F.sum("_c").over(up.rowsBetween(Window.unboundedPreceding, 0)))
     pos = F.col("_p") * (F.col("_n") - 1)
     at = lambda r: F.min(F.when(F.col("_cum") > r, F.col("_v")))
-    out = c.groupBy(*keys, "_i", "_p", "_n").agg(at(F.floor(pos)).alias("_a"), at(F.ceil(pos)).alias("_b"))
+    out = c.groupBy(*keys, "_i", "_p", "_n").agg(
+        at(F.floor(pos)).alias("_a"), at(F.ceil(pos)).alias("_b"),
+        (F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_cum"))), F.lit(0)) <= F.min(F.floor(pos))).alias("_above"),
+        (F.max("_cum") > F.max(F.ceil(pos))).alias("_below"),
+    )
     val = F.col("_a") + (pos - F.floor(pos)) * (F.col("_b") - F.col("_a"))
-    out = out.withColumn("_x", val)
+    missed = F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")
+    out = out.withColumn("_x", F.when(F.col("_above") & F.col("_below"), val).otherwise(missed))
     return out.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(n) for i, n in enumerate(names)])

@@ -27,7 +27,7 @@ from weightloom.functions.scalars import asset_cost
 from weightloom.session import fan_out
 
 LEDGER_SCHEMA = """seq int, t int, w array<double>, drifted array<double>, target array<double>,
-turnover_before_cap double, turnover_after_cap double, fee double, gross_before_fee double"""
+turnover_before_cap double, turnover_after_cap double, fee double, gross_before_fee double, gross_return_before_fee double"""
 
 
 def fold_rows(grid: DataFrame, folds: DataFrame) -> DataFrame:
@@ -98,13 +98,13 @@ def _walk(group: pd.DataFrame) -> pd.DataFrame:
     cap, tau = float(head["max_weight"]), float(head["turnover_cap"])
     cost = np.abs(np.asarray(head["cost"], dtype=float))
     rows, held, held_lvl = [], None, None
-    for seq, (t, target, lvl) in enumerate(zip(g["t"], g["target"], g["lvl"])):
+    for seq, (t, target, lvl, eve) in enumerate(zip(g["t"], g["target"], g["lvl"], g["lvl_eve"])):
         lvl = np.asarray(lvl, dtype=float)
         wanted = _capped(np.asarray(target, dtype=float), cap)
         if held is None:
             now, drifted = wanted, np.zeros_like(wanted)
             before = after = None
-            fee = gross = 0.0
+            fee = gross = day = 0.0
         else:
             grown = held * lvl / held_lvl
             value = grown.sum()
@@ -121,11 +121,12 @@ def _walk(group: pd.DataFrame) -> pd.DataFrame:
             charge = float((np.abs(now - drifted) * cost).sum())
             fee = -charge if charge > 1e-12 else 0.0
             gross = float(value - 1.0)
+            day = float(value / (held * np.asarray(eve, dtype=float) / held_lvl).sum() - 1.0)
             before, after = float(np.abs(wanted - drifted).sum()), float(np.abs(now - drifted).sum())
-        rows.append((seq, int(t), now, drifted, wanted, before, after, fee, gross))
+        rows.append((seq, int(t), now, drifted, wanted, before, after, fee, gross, day))
         held, held_lvl = now, lvl
     return pd.DataFrame(rows, columns=["seq", "t", "w", "drifted", "target", "turnover_before_cap",
-                                       "turnover_after_cap", "fee", "gross_before_fee"])
+                                       "turnover_after_cap", "fee", "gross_before_fee", "gross_return_before_fee"])
 
 
 def rebalance_ledger(decisions: DataFrame, levels: DataFrame, params: DataFrame) -> DataFrame:
@@ -136,14 +137,15 @@ def rebalance_ledger(decisions: DataFrame, levels: DataFrame, params: DataFrame)
     point.  A decision takes part in a run if it falls on the run's schedule (or,
     with a NULL ``rebalance``, always: the decisions are an explicit calendar), so
     one job values a whole sensitivity grid.  ``gross_before_fee`` is the growth
-    since the previous rebalance.
+    since the previous rebalance, ``gross_return_before_fee`` that of the day itself.
     """
-    marked = decisions.join(levels, ["fold", "t"])
+    eve = levels.select("fold", (F.col("t") + 1).alias("t"), F.col("lvl").alias("lvl_eve"))
+    marked = decisions.join(levels, ["fold", "t"]).join(eve, ["fold", "t"], "left")
     p = F.broadcast(params)  # the parameter grid: a few rows by construction
     step = F.greatest(F.coalesce("rebalance", F.lit(1)), F.lit(1))
     runs = marked.join(p, F.col("rebalance").isNull() | ((F.col("t") - F.col("test_start")) % step == 0))
     keys = ["run", "series", "fold"]
-    need = runs.select(*keys, "t", "target", "lvl", "max_weight", "turnover_cap", "cost")
+    need = runs.select(*keys, "t", "target", "lvl", "lvl_eve", "max_weight", "turnover_cap", "cost")
 
     def walk(key, group):
         out = _walk(group)
@@ -200,13 +202,17 @@ def daily_valuation(ledger: DataFrame, levels: DataFrame) -> DataFrame:
     )
 
 
-def rebalance_diagnostics(ledger: DataFrame, cal: DataFrame, params: DataFrame) -> DataFrame:
-    """One diagnostic row per rebalance."""
+def rebalance_diagnostics(ledger: DataFrame, cal: DataFrame, params: DataFrame, folds: DataFrame) -> DataFrame:
+    """One diagnostic row per rebalance.  ``effective_from`` is the next day of the
+    fold, ``END`` where the fold has none."""
     p = F.broadcast(params.select("run", "max_weight", F.col("turnover_cap").alias("turnover_cap")))
     c = cal.select("t", F.col("dt").alias("decision_date"), F.lead("dt").over(Window.orderBy("t")).alias("effective_from"))
     w, tgt = F.col("w"), F.col("target")
-    return ledger.join(p, "run").join(F.broadcast(c), "t").select(
-        "run", "series", "fold", "seq", "decision_date", "effective_from",
+    ends = F.broadcast(folds.select("fold", "test_end"))  # one row per fold
+    inside = F.col("t") + 1 < F.col("test_end")
+    return ledger.join(p, "run").join(F.broadcast(c), "t").join(ends, "fold").select(
+        "run", "series", "fold", "seq", "decision_date",
+        F.when(inside & F.col("effective_from").isNotNull(), F.col("effective_from").cast("string")).otherwise("END").alias("effective_from"),
         F.lit(1).alias("execution_lag_days"), F.lit(0).alias("uses_same_day_return"), F.lit(1).alias("weight_drift_applied"),
         "turnover_before_cap", "turnover_after_cap",
         V.l1(tgt, w).alias("projection_l1_target_to_final"),
@@ -215,7 +221,7 @@ def rebalance_diagnostics(ledger: DataFrame, cal: DataFrame, params: DataFrame)
         (F.abs(V.total(w) - 1.0) <= 1e-6).cast("int").alias("feasible_budget"),
         (F.array_min(w) >= -1e-10).cast("int").alias("feasible_nonnegative"),
         (F.array_max(w) <= F.col("max_weight") + 1e-8).cast("int").alias("feasible_cap"),
-        "turnover_cap", F.col("max_weight").alias("max_weight_cap"), "fee",
+        "turnover_cap", F.col("max_weight").alias("max_weight_cap"), "fee", "gross_return_before_fee",
     )
 
 

@@ -35,14 +35,17 @@ def experiment_plan(
     """Calls of the five experiments: one row per model, condition and date.
 
     Dimensions are expanded onto the dates by generators.  ``max_calls`` keeps
-    the first calls of each experiment in the defined order.
+    the first calls of each experiment: models as given, variants by their
+    ``ordinal`` (policy and variant id where that is absent), labels real, masked,
+    shuffled, reminded before blind, then dates.
     """
+    ordinal = F.col("ordinal") if "ordinal" in variants.columns else F.lit(0)
     parts = []
     for experiment, kind in EXPERIMENTS.items():
         v = variants.where(F.col("variant_set") == kind)
         if policies and kind in ("base", "paraphrase"):
             v = v.where(F.col("policy_id").isin(*policies))
-        v = v.agg(F.collect_list(F.struct("policy_id", "variant_id", "template")).alias("v"))  # a literal dimension
+        v = v.agg(F.collect_list(F.struct("policy_id", "variant_id", "template", ordinal.alias("_ordinal"))).alias("v"))  # a literal dimension
         x = dates.select(F.col("dt").alias("decision_date"), "t").join(F.broadcast(v)).select("decision_date", "t", F.inline("v"))
         x = _with(x, _literals(models), "model_id")
         mask, remind, cond = F.lit("real_ticker"), F.lit(True), F.col("policy_id")
@@ -58,14 +61,16 @@ def experiment_plan(
         parts.append(
             x.select(
                 F.lit(experiment).alias("experiment_id"), cond.alias("condition_id"), "model_id", "policy_id", "variant_id",
-                mask.alias("mask_condition"), remind.alias("reminder"), "decision_date", "t", "template",
+                mask.alias("mask_condition"), remind.alias("reminder"), "decision_date", "t", "template", "_ordinal",
             )
         )
     plan = reduce(DataFrame.unionByName, parts)
     if max_calls is not None:
-        order = Window.partitionBy("experiment_id").orderBy("model_id", "condition_id", "t")
+        order = Window.partitionBy("experiment_id").orderBy(
+            F.array_position(_literals(models), F.col("model_id")), "_ordinal", "policy_id", "variant_id",
+            F.array_position(_literals(MASKS), F.col("mask_condition")), F.col("reminder").desc(), "t")
         plan = plan.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= max_calls).drop("_k")
-    return with_call_id(plan, seed)
+    return with_call_id(plan.drop("_ordinal"), seed)
 
 
 def with_call_id(plan: DataFrame, seed: int = 42) -> DataFrame:

@@ -55,4 +55,6 @@ def templates() -> list[tuple[str, str, str, str]]:
 
 
 def policy_variants(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(templates(), "variant_set string, policy_id string, variant_id string, template string")
+    """The texts; ``ordinal`` is their order, by which a capped plan keeps its first calls."""
+    rows = [(*row, i) for i, row in enumerate(templates())]
+    return spark.createDataFrame(rows, "variant_set string, policy_id string, variant_id string, template string, ordinal int")

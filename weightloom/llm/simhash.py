@@ -118,5 +118,10 @@ def keep_one(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     keyed = docs.select(F.struct(F.col("doc_id").alias("id"), same.alias("hash")).alias("__key"), F.col("text"))
     near = near_duplicates(keyed, radius, width, key="__key")
     keep = materialize(near.filter("__key = component_id").select("component_id.*").distinct(), "simhash-kept")
-    best = docs.groupBy(F.col("doc_id").alias("__id"), same.alias("__hash")).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row"))
+    return one_row(docs, keep)
+
+
+def one_row(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``keep`` names by ``id`` and text ``hash``, of rows equal in both the least."""
+    best = docs.groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash")).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row"))
     return best.join(keep, F.col("__id").eqNullSafe(keep["id"]) & (F.col("__hash") == keep["hash"]), "left_semi").select("__row.*")

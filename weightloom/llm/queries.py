@@ -1,10 +1,10 @@
-"""The ten operators over their whole tables, as registered queries, and SQL where SQL can say it."""
+"""The operators over their whole tables, as registered queries, and SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weightloom.llm import decontaminate, hmm, packing, quality, simhash, substrings, tokencount, toxicity, urlfilter, warc
+from weightloom.llm import decontaminate, hmm, langid, negatives, packing, quality, runs, simhash, substrings, tokencount, toxicity, urlfilter, warc
 from weightloom.session import shared_dir
 
 RULES = [
@@ -61,13 +61,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.run_digest(runs.word_runs(docs.withColumn("text", runs.tiled())))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-Q = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_packing, op4_warc, op5_lm_scoring, op6_url_filters, op7_token_counts, op8_simhash, op9_substring_dedup, op10_quality_rules, pipeline)}
+Q = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_packing, op4_warc, op5_lm_scoring, op6_url_filters, op7_token_counts, op8_simhash, op9_substring_dedup, op10_quality_rules, op11_hard_negatives, op12_word_runs, op13_language_id, pipeline)}
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 SPACED = r"'[^\x20\x09-\x0D]+'"
@@ -98,4 +111,34 @@ each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FRO
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
 counted AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)""",
+    "op11_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.*, other AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS k
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, k::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3""",
+    # equal windows of 16 words at a distance q lie side by side within a run of period q
+    "op12_word_runs": f"""
+WITH RECURSIVE steps AS (SELECT i, 0 AS k, i AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END) FROM steps WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS crc FROM steps WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {SPACED}) AS w,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])), 4294967295) AS h
+    FROM documents, tab),
+g AS (SELECT *, len(w)::BIGINT AS n, h // 10 AS g FROM d),
+a AS (SELECT *, g % n AS a FROM g WHERE h % 10 = 0 AND n > 0),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT doc_id, list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) AS w FROM p
+    UNION ALL SELECT doc_id, w FROM g WHERE NOT (h % 10 = 0 AND n > 0)),
+windows AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 16], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 15)) AS i FROM t WHERE len(w) >= 24)),
+met AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM windows x JOIN windows y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i),
+islands AS (SELECT doc_id, q, min(i) AS start, max(i) + 16 + q - min(i) AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM met) GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM islands WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS k FROM runs) WHERE k = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS s FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM t) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(listed.s, '')) AS runs_sha256, sha256(coalesce(kept.s, '')) AS collapsed_sha256
+FROM t LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }

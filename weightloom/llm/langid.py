@@ -55,7 +55,7 @@ class Model:
 def build(languages: list[str], which: np.ndarray, gram: np.ndarray, times: np.ndarray, order: int = ORDER) -> Model:
     """The trees from counts of the longest sequences: language number, sequence, how often."""
     n = len(languages)
-    if not len(gram):
+    if n and not len(gram):
         which, gram, times = np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1, np.int64)
     model = Model(languages, [], [], [], [])
     below: np.ndarray | None = None
@@ -129,11 +129,12 @@ def sample(docs: DataFrame, most: int = DOCUMENTS) -> DataFrame:
     """text, lang of about ``most`` documents of each language: all that come below the language's share of the hashes.
 
     Only counts per language are gathered; a language with a third of all rows is spread like the others.
+    Rows with one id and text have one hash, and are one row of the sample.
     """
     found = docs.filter(F.col("lang").isNotNull() & has_letter())
     share = materialize(found.groupBy(F.col("lang").alias("__lang")).agg((F.lit(float(most)) / F.count(F.lit(1))).alias("__share")), "languages")
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    return found.join(share, F.col("lang") == F.col("__lang")).filter(chance < F.col("__share")).select("text", "lang")
+    return found.join(share, F.col("lang") == F.col("__lang")).filter(chance < F.col("__share")).select("doc_id", "text", "lang").distinct().select("text", "lang")
 
 
 def train(docs: DataFrame, most: int = DOCUMENTS, order: int = ORDER, costs: int = MAX_COSTS) -> Model:

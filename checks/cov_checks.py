@@ -35,7 +35,7 @@ O["correlation_distance"] = f"""WITH {WIN}, v AS (SELECT dt_, i, xx AS v FROM pr
 Q["correlation_distance_of_columns"] = lambda s, d: r6(M.correlation_distance(grid_ret(s, d), decisions(s, d), of_columns=True))
 O["correlation_distance_of_columns"] = f"""WITH {WIN}, k AS (SELECT a.dt_, a.i, b.i AS j, corr(a.xx, b.xx) AS rho FROM pr a JOIN pr b ON a.dt_ = b.dt_ AND a.j = b.j AND a.i <= b.i GROUP BY ALL)
  SELECT dt_ AS t, i, j, round(CASE WHEN i = j THEN 0 ELSE sqrt(greatest(0.5 * (1 - rho), 0)) END, 6) AS dist FROM k"""
-Q["inverse_variance_weights"] = lambda s, d: r6(M.covariance_rule(grid_ret(s, d), decisions(s, d), M.inverse_variance, "sample").select("t", "asset", "w"))
+Q["inverse_variance_weights"] = lambda s, d: r6(M.inverse_risk(grid_ret(s, d), decisions(s, d)).select("t", "asset", "w"))
 O["inverse_variance_weights"] = f"WITH {WIN} SELECT dt_ AS t, asset, round((1 / xx) / sum(1 / xx) OVER (PARTITION BY dt_), 6) AS w FROM pr JOIN uni ON ord = i WHERE i = j"
 Q["rule_risk_parity"] = lambda s, d: r6(M.risk_parity(grid_ret(s, d), decisions(s, d)).select("t", "asset", "w"))
 O["rule_risk_parity"] = f"WITH {LW} SELECT t, asset, round((1 / sqrt(cov + 1e-6)) / sum(1 / sqrt(cov + 1e-6)) OVER (PARTITION BY t), 6) AS w FROM lw JOIN uni ON ord = i WHERE i = j"

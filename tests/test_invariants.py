@@ -166,7 +166,7 @@ def test_minimum_variance_and_views_against_numpy(spark):
     w = np.linalg.solve(s, np.ones(5))
     got = [r["w"] for r in M.min_variance(g, dec).orderBy("ord").collect()]
     assert np.allclose(got, np.clip(w / w.sum(), 0, None), atol=1e-9)
-    w = np.clip(np.linalg.solve(M.ridge_cov(win), np.ones(5)), 0, None)
+    w = np.clip(np.linalg.solve(shrunk(win) + 1e-6 * np.eye(5), np.ones(5)), 0, None)
     got = [r["w"] for r in M.min_variance(g, dec, "ridge").orderBy("ord").collect()]
     assert np.allclose(got, w / w.sum(), atol=1e-9)
     # a short position: cut, and normalised only in the ridge form
@@ -180,14 +180,61 @@ def test_minimum_variance_and_views_against_numpy(spark):
     mu = np.linalg.solve(np.linalg.inv(ts) + p.T @ np.linalg.inv(om) @ p, np.linalg.inv(ts) @ pi + p.T @ np.linalg.inv(om) @ q)
     got = [r["w"] for r in M.bl_rule(g, dec, "sample", p=p.tolist(), q=q.tolist()).orderBy("ord").collect()]
     assert np.allclose(got, np.clip(np.linalg.solve(s, mu), 0, None), rtol=1e-6)
-    # the shrunk matrix lies between the sample matrix and the scaled identity
-    n = len(win)
-    s0 = np.cov(win, rowvar=False, ddof=0)
-    lam = M.shrunk_cov(win)
-    share = 1 - lam[0, 1] / s0[0, 1]
-    assert 0 <= share <= 1
-    assert np.allclose(lam, (1 - share) * s0 + share * np.trace(s0) / 5 * np.eye(5))
-    assert n == 60
+
+
+def shrunk(x):
+    """The published shrinkage, observation by observation."""
+    n, p = x.shape
+    x = x - x.mean(axis=0)
+    s = x.T @ x / n
+    m = np.trace(s) / p
+    d2 = np.square(s - m * np.eye(p)).sum() / p
+    b2 = sum(np.square(np.outer(r, r) - s).sum() for r in x) / p / n**2
+    share = min(b2, d2) / d2 if d2 > 0 else 0.0
+    return (1 - share) * s + share * m * np.eye(p)
+
+
+def matrices(df, p, value="cov"):
+    out = {}
+    for r in df.collect():
+        c = out.setdefault(r["t"], np.full((p, p), np.nan))
+        c[r["i"] - 1, r["j"] - 1] = c[r["j"] - 1, r["i"] - 1] = r[value]
+    return out
+
+
+@pytest.mark.parametrize("lookback", [20, 60])
+def test_moments_against_numpy(spark, lookback):
+    rng = np.random.default_rng(lookback)
+    x = rng.normal(0.001, 0.02, (150, 6)) @ rng.normal(0, 1, (6, 6))
+    x[30] = 1e4  # long gone for the later windows, and without a trace
+    g = spark.createDataFrame([(t, f"A{i}", i + 1, float(x[t, i])) for t in range(150) for i in range(6)], "t int, asset string, ord int, ret double")
+    at = sorted({lookback - 1, lookback, lookback + 1, 2 * lookback, 91, 120, 149, 150})
+    dec = spark.createDataFrame([(t,) for t in at], "t int")
+    full = {t: x[t - lookback : t] for t in at if t >= lookback}
+    forms = {"sample": lambda w: np.cov(w, rowvar=False), "shrunk": shrunk, "ridge": lambda w: shrunk(w) + 1e-6 * np.eye(6) if lookback >= 60 else np.eye(6)}
+    for method, plain in forms.items():
+        got = matrices(M.covariance(g, dec, lookback, method), 6)
+        assert got.keys() == full.keys()
+        for t, w in full.items():
+            assert np.allclose(got[t], plain(w), rtol=1e-7, atol=1e-12 if t > 30 + lookback else 1e-3), (method, t)
+    got = matrices(M.correlation_distance(g, dec, lookback), 6, "dist")
+    columns = matrices(M.correlation_distance(g, dec, lookback, of_columns=True), 6, "dist")
+    for t, w in full.items():
+        if t > 30 + lookback:
+            assert np.allclose(got[t], np.sqrt(np.clip(0.5 * (1 - np.corrcoef(w, rowvar=False)), 0, None)), atol=1e-7)
+            assert np.allclose(columns[t], np.sqrt(np.clip(0.5 * (1 - np.corrcoef(np.cov(w, rowvar=False))), 0, None)), atol=1e-7)
+    parity = M.inverse_risk(g, dec, "sample", lookback, volatility=True).collect()
+    for t in at:
+        w = 1 / x[t - lookback : t].std(axis=0) if t >= lookback else np.ones(6)
+        assert np.allclose([r["w"] for r in sorted(parity, key=lambda r: r["ord"]) if r["t"] == t], w / w.sum(), rtol=1e-6)
+
+
+def test_moments_need_no_python(spark):
+    g = spark.createDataFrame([(t, f"A{i}", i, 0.01 * t * i) for t in range(8) for i in (1, 2)], "t int, asset string, ord int, ret double")
+    dec = spark.createDataFrame([(6,)], "t int")
+    for df in (M.covariance(g, dec, 4), M.covariance(g, dec, 4, "shrunk"), M.correlation_distance(g, dec, 4), M.inverse_risk(g, dec, "shrunk", 4)):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Pandas" not in plan
 
 
 def test_clustered_logit_against_newton(spark):

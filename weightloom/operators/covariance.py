@@ -1,10 +1,14 @@
-"""Rolling covariance per decision date and the rules built on it.
+"""Rolling second moments per decision date and the rules built on them.
 
-Window rows travel as one return vector per day (universe order).  A decision's
-group is ``lookback`` vectors, whatever the number of source records, so the
-small dense algebra (Gram matrix, pseudo-inverse) runs inside the group; days
-reach their decisions by a bucketed range join and decisions spread over the
-cluster.  No asset pairs are ever shuffled.
+The moments of all decisions come from one pass. Days are cut into blocks of ``lookback``
+days; within its block, a day gets the sums up to itself and the sums behind itself. The
+window that ends on a day is the sum up to it plus what lay behind the day one block
+earlier: two disjoint parts, so nothing is subtracted and a far outlier leaves no trace.
+A row of the pair table is one product of one day, keyed by the pair, so a wide universe
+spreads over its pairs. Returns are centred on the asset's own median first.
+
+Covariance, shrinkage, distances and the diagonal rules are column expressions over these
+sums. Only the rules that invert a matrix take it, p x p, into a group per decision.
 """
 
 from __future__ import annotations
@@ -13,101 +17,154 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weightloom.operators.dates import window_members
+from weightloom.functions import vectors as V
 from weightloom.operators.panel import simple_returns
 from weightloom.operators.rules import register
+from weightloom.session import materialize
+
+RIDGE = 1e-6
+MIN_OBS = 60
 
 
-def return_vectors(grid: DataFrame) -> DataFrame:
-    """(t, r): zero-filled daily returns of the universe as one array."""
+def return_vectors(grid: DataFrame, centre: bool = False) -> DataFrame:
+    """(t, r): zero-filled daily returns of the universe as one array, less the asset's median if ``centre``."""
     g = grid.withColumn("ret", F.coalesce("ret", F.lit(0.0))) if "ret" in grid.columns else simple_returns(grid, zero_fill=True)
+    if centre:
+        g = g.withColumn("ret", F.col("ret") - F.median("ret").over(Window.partitionBy("ord")))
     packed = g.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("ord", "ret"))).alias("v"))
     return packed.select("t", F.transform("v", lambda e: e["ret"]).alias("r"))
 
 
-def sample_cov(x: np.ndarray) -> np.ndarray:
-    return np.atleast_2d(np.cov(x, rowvar=False, ddof=1))
-
-
-def shrunk_cov(x: np.ndarray) -> np.ndarray:
-    """Ledoit-Wolf shrinkage towards a scaled identity (published closed form).
+def window_sums(rows: DataFrame, keys: list[str], values: list[str], lookback: int) -> DataFrame:
+    """(keys, t, values): sums of the ``lookback`` days before each t, for keys with a row on every day.
 
-    With centred rows x_t, S = X'X/n and m = tr(S)/p, the squared distance of S
-    to mI is d2 and the averaged squared distance of x_t x_t' to S is b2.
+    The first t of a result row is ``lookback``.
     """
-    n, p = x.shape
-    x = x - x.mean(axis=0)
-    s = x.T @ x / n
-    m = np.trace(s) / p
-    d2 = (np.square(s).sum() - p * m * m) / p
-    b2 = (np.square(np.square(x).sum(axis=1)).sum() / n - np.square(s).sum()) / (p * n)
-    share = 0.0 if d2 <= 0 else min(max(b2, 0.0), d2) / d2
-    return (1.0 - share) * s + share * m * np.eye(p)
-
-
-def ridge_cov(x: np.ndarray, min_obs: int = 60, ridge: float = 1e-6) -> np.ndarray:
-    """Shrunk covariance plus a ridge; too few rows give the identity."""
-    if x.shape[0] < max(2, min_obs):
-        return np.eye(x.shape[1])
-    return shrunk_cov(x) + ridge * np.eye(x.shape[1])
-
-
-ESTIMATORS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
-    "sample": sample_cov, "shrunk": shrunk_cov, "ridge": ridge_cov,
-}
-
-
-def _windows(grid: DataFrame, decisions: DataFrame, lookback: int) -> DataFrame:
-    """(decision_t, t, r) for the decisions with a full history."""
-    full = decisions.where(F.col("t") >= lookback)
-    return window_members(return_vectors(grid), full, lookback)
-
-
-def _matrix(group: pd.DataFrame) -> np.ndarray:
-    return np.stack(group.sort_values("t")["r"].to_numpy()).astype(float)
+    block = [*keys, "_block"]
+    upto = Window.partitionBy(*block).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(*block).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys).orderBy("t")
+    x = rows.withColumn("_block", F.floor(F.col("t") / lookback))
+    x = x.withColumns({f"_u_{v}": F.sum(v).over(upto) for v in values} | {f"_b_{v}": F.sum(v).over(behind) for v in values})
+    both = [(F.col(f"_u_{v}") + F.coalesce(F.lag(f"_b_{v}", lookback).over(whole), F.lit(0.0))).alias(v) for v in values]
+    return x.select(*keys, (F.col("t") + 1).cast("int").alias("t"), *both).where(F.col("t") >= lookback)
+
+
+def moments(grid: DataFrame, decisions: DataFrame, lookback: int = 60) -> DataFrame:
+    """(t, i, j, p, sxy, sx, sy) for i <= j, 1-based: sums over the window of each decision with a full history."""
+    r = return_vectors(grid, centre=True)
+    first = r.select("t", "r", F.size("r").alias("p"), F.explode(F.sequence(F.lit(1), F.size("r"))).alias("i"))
+    others = F.slice("r", F.col("i"), F.col("p") - F.col("i") + 1)
+    pairs = first.select("t", "p", "i", F.get("r", F.col("i") - 1).alias("sx"), F.posexplode(others).alias("k", "sy"))
+    pairs = pairs.select("t", "p", "i", (F.col("i") + F.col("k")).alias("j"), (F.col("sx") * F.col("sy")).alias("sxy"), "sx", "sy")
+    return window_sums(pairs, ["i", "j", "p"], ["sxy", "sx", "sy"], lookback).join(decisions.select("t").distinct(), "t")
+
+
+def comoment(n: int) -> Column:
+    """Sum of products of the deviations from the window's means."""
+    return F.col("sxy") - F.col("sx") * F.col("sy") / float(n)
+
+
+def shrinkage(grid: DataFrame, moved: DataFrame, lookback: int) -> DataFrame:
+    """(t, share, target) of the Ledoit-Wolf shrinkage towards a scaled identity (published closed form).
+
+    With deviations x_t from the window's means, S = X'X/n and m = tr(S)/p, the squared
+    distance of S to mI is d2 and the averaged squared distance of x_t x_t' to S is b2.
+    sum |x_t|^4 is expanded into window sums of a_t = |z_t|^2, a_t^2, a_t z_t and z_t z_t'
+    of the centred returns z.
+    """
+    n = float(lookback)
+    r = return_vectors(grid, centre=True).select("t", F.posexplode("r").alias("i", "z"), V.dot(F.col("r"), F.col("r")).alias("a"))
+    r = r.select("t", (F.col("i") + 1).alias("i"), (F.col("a") * F.col("z")).alias("az"), "a", (F.col("a") * F.col("a")).alias("a2"))
+    lone = window_sums(r, ["i"], ["az", "a", "a2"], lookback)
+    both = moved.join(lone.withColumn("j", F.col("i")), ["t", "i", "j"], "left")
+    twice, diagonal = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0), F.col("i") == F.col("j")
+    s, mx, my = comoment(lookback) / n, F.col("sx") / n, F.col("sy") / n
+    a = both.groupBy("t").agg(
+        F.first("p").cast("double").alias("p"), F.sum(F.when(diagonal, s)).alias("tr"), F.sum(twice * s * s).alias("fro"),
+        F.sum(twice * mx * my * F.col("sxy")).alias("quad"), F.sum(F.when(diagonal, mx * mx)).alias("mm"),
+        F.sum(mx * F.col("az")).alias("maz"), F.max("a").alias("a"), F.max("a2").alias("a2"),
+    )
+    fourth = F.col("a2") + 4 * F.col("quad") - 4 * F.col("maz") + 2 * F.col("mm") * F.col("a") - 3 * n * F.col("mm") * F.col("mm")
+    p, m = F.col("p"), F.col("tr") / F.col("p")
+    d2 = (F.col("fro") - p * m * m) / p
+    b2 = (fourth / n - F.col("fro")) / (p * n)
+    share = F.when(d2 <= 0, 0.0).otherwise(F.least(F.greatest(b2, F.lit(0.0)), d2) / d2)
+    return a.select("t", share.alias("share"), m.alias("target"))
 
 
 def covariance(grid: DataFrame, decisions: DataFrame, lookback: int = 60, method: str = "sample") -> DataFrame:
-    """(t, i, j, cov) for i <= j, 1-based positions in the universe."""
-    estimate = ESTIMATORS[method]
+    """(t, i, j, cov) for i <= j, 1-based positions in the universe.
 
-    def run(key, group):
-        c = estimate(_matrix(group))
-        i, j = np.triu_indices(c.shape[0])
-        return pd.DataFrame({"t": key[0], "i": i + 1, "j": j + 1, "cov": c[i, j]})
+    ``sample``: divisor n - 1. ``shrunk``: divisor n, shrunk towards a scaled identity.
+    ``ridge``: the shrunk form plus a ridge; windows below ``MIN_OBS`` rows give the identity.
+    """
+    if method not in ("sample", "shrunk", "ridge"):
+        raise ValueError(f"unknown covariance: {method}")
+    m = moments(grid, decisions, lookback)
+    unit = F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
+    if method == "sample":
+        return m.select("t", "i", "j", F.try_divide(comoment(lookback), F.lit(lookback - 1.0)).alias("cov"))
+    if method == "ridge" and lookback < max(2, MIN_OBS):
+        return m.select("t", "i", "j", unit.alias("cov"))
+    m = materialize(m, "moments")
+    shrunk = (1.0 - F.col("share")) * comoment(lookback) / float(lookback) + F.col("share") * F.col("target") * unit
+    return m.join(shrinkage(grid, m, lookback), "t").select("t", "i", "j", (shrunk + (RIDGE * unit if method == "ridge" else 0.0)).alias("cov"))
 
-    return _windows(grid, decisions, lookback).groupBy("decision_t").applyInPandas(run, "t int, i int, j int, cov double")
+
+def _distance(rho: Column) -> Column:
+    """sqrt((1 - rho) / 2), 0 on the diagonal."""
+    d = F.sqrt(F.greatest(0.5 * (1.0 - rho), F.lit(0.0)))
+    return F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.when(rho.isNull(), F.lit(float("nan"))).otherwise(d))
 
 
 def correlation_distance(grid: DataFrame, decisions: DataFrame, lookback: int = 60, of_columns: bool = False) -> DataFrame:
-    """(t, i, j, dist) with dist = sqrt((1 - rho) / 2), 0 on the diagonal.
+    """(t, i, j, dist) with dist = sqrt((1 - rho) / 2), 0 on the diagonal; NaN without variance.
 
     ``of_columns`` correlates the columns of the covariance matrix instead of
     the returns.
     """
-    def run(key, group):
-        x = _matrix(group)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            rho = np.atleast_2d(np.corrcoef(sample_cov(x) if of_columns else x, rowvar=False))
-        d = np.sqrt(np.clip(0.5 * (1.0 - rho), 0.0, None))
-        np.fill_diagonal(d, 0.0)
-        i, j = np.triu_indices(d.shape[0])
-        return pd.DataFrame({"t": key[0], "i": i + 1, "j": j + 1, "dist": d[i, j]})
-
-    return _windows(grid, decisions, lookback).groupBy("decision_t").applyInPandas(run, "t int, i int, j int, dist double")
+    if of_columns:
+        c = materialize(covariance(grid, decisions, lookback), "covariance")
+        mirrored = c.unionByName(c.where("i < j").select("t", F.col("j").alias("i"), F.col("i").alias("j"), "cov"))
+        column = mirrored.groupBy("t", "i").agg(F.array_sort(F.collect_list(F.struct("j", "cov"))).alias("v"))
+        column = column.select("t", "i", F.transform("v", lambda e: e["cov"]).alias("v")).withColumn("mean", F.try_divide(V.total(F.col("v")), F.size("v")))
+        column = column.select("t", "i", V.bind(F.col("mean"), lambda m: F.transform("v", lambda x: x - m)).alias("v"))
+        column = materialize(column.withColumn("norm", F.sqrt(V.dot(F.col("v"), F.col("v")))), "covariance-columns")
+        other = column.select("t", F.col("i").alias("j"), F.col("v").alias("v2"), F.col("norm").alias("norm2"))
+        both = column.join(other, "t").where("i <= j")
+        rho = F.try_divide(V.dot(F.col("v"), F.col("v2")), F.col("norm") * F.col("norm2"))
+        return both.select("t", "i", "j", _distance(rho).alias("dist"))
+    m = materialize(moments(grid, decisions, lookback).select("t", "i", "j", comoment(lookback).alias("s")), "comoments")
+    spread = m.where("i = j").select("t", "i", F.sqrt("s").alias("d"))
+    x = m.join(spread, ["t", "i"]).join(spread.select("t", F.col("i").alias("j"), F.col("d").alias("d2")), ["t", "j"])
+    return x.select("t", "i", "j", _distance(F.try_divide(F.col("s"), F.col("d") * F.col("d2"))).alias("dist"))
+
+
+def universe_cells(grid: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(t, pos, asset, ord, n): the universe at each decision; one small row of assets for all."""
+    n = grid.select("asset", "ord").distinct().agg(F.array_sort(F.collect_list(F.struct("ord", "asset"))).alias("u"))
+    cells = decisions.select("t").join(F.broadcast(n)).select("t", F.posexplode("u").alias("p", "e"), F.size("u").alias("n"))
+    return cells.select("t", (F.col("p") + 1).alias("pos"), F.col("e.asset").alias("asset"), F.col("e.ord").alias("ord"), "n")
 
 
-def inverse_variance(c: np.ndarray) -> np.ndarray:
-    v = 1.0 / np.diag(c)
-    return v / v.sum()
+def _weights(grid: DataFrame, decisions: DataFrame, done: DataFrame) -> DataFrame:
+    """(t, asset, ord, w) of weights by position; short histories stay equal."""
+    return universe_cells(grid, decisions).join(done, ["t", "pos"], "left").select(
+        "t", "asset", "ord", F.coalesce("w", F.lit(1.0) / F.col("n")).alias("w")
+    )
 
 
-def inverse_volatility(c: np.ndarray) -> np.ndarray:
-    v = 1.0 / np.clip(np.sqrt(np.diag(c)), 1e-12, None)
-    return v / v.sum()
+def inverse_risk(grid: DataFrame, decisions: DataFrame, method: str = "sample", lookback: int = 60, volatility: bool = False) -> DataFrame:
+    """(t, asset, ord, w): weights by the inverse of the variance, or of the volatility; from the diagonal alone."""
+    c = covariance(grid, decisions, lookback, method).where("i = j")
+    risk = F.greatest(F.sqrt("cov"), F.lit(1e-12)) if volatility else F.col("cov")
+    v = c.select("t", F.col("i").alias("pos"), F.try_divide(F.lit(1.0), risk).alias("v"))
+    share = F.try_divide(F.col("v"), F.sum("v").over(Window.partitionBy("t")))
+    return _weights(grid, decisions, v.select("t", "pos", share.alias("w")))
 
 
 def minimum_variance(c: np.ndarray) -> np.ndarray:
@@ -143,25 +200,19 @@ def covariance_rule(
     grid: DataFrame, decisions: DataFrame, weigh: Callable[[np.ndarray], np.ndarray], method: str, lookback: int = 60
 ) -> DataFrame:
     """(t, asset, ord, w) of a rule that maps a covariance matrix to weights."""
-    estimate = ESTIMATORS[method]
 
     def run(key, group):
-        w = weigh(estimate(_matrix(group)))
+        c = np.zeros((group["j"].max(),) * 2)
+        i, j = group["i"].to_numpy() - 1, group["j"].to_numpy() - 1
+        c[i, j] = c[j, i] = group["cov"].to_numpy()
+        w = weigh(c)
         return pd.DataFrame({"t": key[0], "pos": np.arange(1, len(w) + 1), "w": w})
 
-    done = _windows(grid, decisions, lookback).groupBy("decision_t").applyInPandas(run, "t int, pos int, w double")
-    # positions follow the universe order of the grid; short histories stay equal
-    uni = grid.select("asset", "ord").distinct()
-    n = uni.agg(F.array_sort(F.collect_list(F.struct("ord", "asset"))).alias("u"))
-    cells = decisions.select("t").join(F.broadcast(n)).select("t", F.posexplode("u").alias("p", "e"), F.size("u").alias("n"))
-    cells = cells.select("t", (F.col("p") + 1).alias("pos"), F.col("e.asset").alias("asset"), F.col("e.ord").alias("ord"), "n")
-    return cells.join(done, ["t", "pos"], "left").select(
-        "t", "asset", "ord", F.coalesce("w", F.lit(1.0) / F.col("n")).alias("w")
-    )
+    return _weights(grid, decisions, covariance(grid, decisions, lookback, method).groupBy("t").applyInPandas(run, "t int, pos int, w double"))
 
 
 def risk_parity(grid: DataFrame, decisions: DataFrame, lookback: int = 60) -> DataFrame:
-    return covariance_rule(grid, decisions, inverse_volatility, "ridge", lookback)
+    return inverse_risk(grid, decisions, "ridge", lookback, volatility=True)
 
 
 def min_variance(grid: DataFrame, decisions: DataFrame, method: str = "sample", lookback: int = 60) -> DataFrame:

@@ -143,19 +143,3 @@ def sensitivity_grid(spark: SparkSession, base: dict, axes: dict[str, list[float
     return spark.createDataFrame(
         rows, "axis string, value double, tcost double, max_weight double, turnover_cap double, rebalance int"
     )
-
-
-def window_members(rows: DataFrame, decisions: DataFrame, length: int) -> DataFrame:
-    """Rows ``t`` in [T-length, T) for every decision row T, as (decision_t, ...).
-
-    A bucketed range join: the range of a decision touches at most two buckets of
-    ``length`` rows, so both sides meet on an equality.  The decision side has at
-    most two rows per trading day and is broadcast: the panel is not reshuffled
-    onto the few bucket keys.
-    """
-    d = decisions.select(F.col("t").alias("decision_t"))
-    lo, hi = F.floor((F.col("decision_t") - length) / length), F.floor((F.col("decision_t") - 1) / length)
-    d = d.select("decision_t", F.explode(F.array_distinct(F.array(lo, hi))).alias("_b"))
-    r = rows.withColumn("_b", F.floor(F.col("t") / length))
-    inside = (F.col("t") >= F.col("decision_t") - length) & (F.col("t") < F.col("decision_t"))
-    return r.join(F.broadcast(d), "_b").where(inside).drop("_b")

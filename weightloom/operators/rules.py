@@ -14,8 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weightloom.functions import vectors as V
 from weightloom.functions.scalars import INF, finite
-from weightloom.operators.dates import window_members
 from weightloom.operators.panel import by_asset, simple_returns
 
 
@@ -237,18 +237,17 @@ def ratio_weighted(grid: DataFrame, decisions: DataFrame, lookback: int = 60, do
 def min_cvar(grid: DataFrame, decisions: DataFrame, lookback: int = 126, alpha: float = 0.05) -> DataFrame:
     """Inverse historical CVaR of the trailing losses.
 
-    Each (decision, asset) group holds at most ``lookback`` rows.
+    The trailing losses travel as one array of at most ``lookback`` values along the rows.
     """
-    g = _zero_filled(grid).select("t", "asset", "ord", (-F.col("ret")).alias("loss"))
-    members = window_members(g, decisions, lookback)
-    group = Window.partitionBy("decision_t", "asset")
-    tail = members.withColumn("q", F.percentile("loss", F.lit(1.0 - alpha)).over(group))
-    cvar = tail.groupBy("decision_t", "asset", "ord").agg(
-        F.avg(F.when(F.col("loss") >= F.col("q"), F.col("loss"))).alias("cvar"), F.count("*").alias("rows")
-    )
+    losses = F.sort_array(F.collect_list(-F.col("ret")).over(by_asset().rowsBetween(-lookback, -1)))
+    x = _decided(_zero_filled(grid).withColumn("losses", losses), decisions)
+    # between the two ranks around the percentile, as usual
+    place = (F.size("losses") - 1) * (1.0 - alpha)
+    low = F.get("losses", F.floor(place).cast("int"))
+    cut = low + (place - F.floor(place)) * (F.get("losses", F.ceil(place).cast("int")) - low)
+    x = x.withColumn("rows", F.size("losses")).select("t", "asset", "ord", "rows", V.bind(cut, lambda q: F.filter("losses", lambda y: y >= q)).alias("tail"))
     # a decision on the first row has no window at all, and every asset its equal share
-    every = _decided(grid, decisions).select("t", "asset", "ord")
-    x = every.join(cvar.withColumnRenamed("decision_t", "t").drop("ord"), ["t", "asset"], "left").withColumn("inv", 1.0 / F.greatest("cvar", F.lit(1e-6)))
+    x = x.withColumn("inv", 1.0 / F.greatest(F.try_divide(V.total(F.col("tail")), F.size("tail")), F.lit(1e-6)))
     w = F.when(F.coalesce("rows", F.lit(0)) < 20, equal_weight()).otherwise(normalised(F.col("inv")))
     return x.select("t", "asset", "ord", w.alias("w"))
 

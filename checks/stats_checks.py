@@ -57,14 +57,14 @@ SELECT {', '.join('sz.' + k for k in scope) + ', ' if scope else ''}round(estima
 FROM sz LEFT JOIN q ON {' AND '.join(f'sz.{k} = q.{k}' for k in scope) if scope else 'true'}"""
 
 
-Q["cluster_bootstrap"] = lambda s, d: r6(B.cluster_bootstrap(outcome_calls(s, d), ["lang"], ["lang", "source"][1:], "quality", 400))
-O["cluster_bootstrap"] = boot_sql(["lang"], ["source"], "quality", 400)
-Q["cluster_bootstrap_overall"] = lambda s, d: r6(B.cluster_bootstrap(outcome_calls(s, d), [], ["lang", "source"], "quality", 400))
-O["cluster_bootstrap_overall"] = boot_sql([], ["lang", "source"], "quality", 400)
-Q["date_block_bootstrap"] = lambda s, d: r6(B.cluster_bootstrap(outcome_calls(s, d), ["lang"], ["decision"], "toxic", 300))
-O["date_block_bootstrap"] = boot_sql(["lang"], ["decision"], "toxic", 300)
-Q["iid_mean_interval"] = lambda s, d: r6(B.mean_interval(outcome_calls(s, d), ["lang"], ["doc_id"], "quality", 200))
-O["iid_mean_interval"] = boot_sql(["lang"], ["doc_id"], "quality", 200)
+Q["cluster_bootstrap"] = lambda s, d: r6(B.cluster_bootstrap(outcome_calls(s, d), ["lang"], ["lang", "source"][1:], "quality"))
+O["cluster_bootstrap"] = boot_sql(["lang"], ["source"], "quality", 10_000)
+Q["cluster_bootstrap_overall"] = lambda s, d: r6(B.cluster_bootstrap(outcome_calls(s, d), [], ["lang", "source"], "quality"))
+O["cluster_bootstrap_overall"] = boot_sql([], ["lang", "source"], "quality", 10_000)
+Q["date_block_bootstrap"] = lambda s, d: r6(B.cluster_bootstrap(outcome_calls(s, d), ["lang"], ["decision"], "toxic"))
+O["date_block_bootstrap"] = boot_sql(["lang"], ["decision"], "toxic", 10_000)
+Q["iid_mean_interval"] = lambda s, d: r6(B.mean_interval(outcome_calls(s, d), ["lang"], ["doc_id"], "quality"))
+O["iid_mean_interval"] = boot_sql(["lang"], ["doc_id"], "quality", 2000)
 
 # ---- T1, T2, T11 ---------------------------------------------------------------
 
@@ -132,11 +132,13 @@ ix AS (SELECT dr.n, rep, (draw + k) % dr.n AS pos FROM dr, range(0, {block}) b(k
 bs AS (SELECT series, rep, pos.n, avg(x) AS mu, stddev_samp(x) AS sd FROM ix JOIN pos ON pos.n = ix.n AND pos.pos = ix.pos GROUP BY ALL)"""
 
 
-Q["moving_block_bootstrap"] = lambda s, d: r6(B.block_bootstrap_p(diffs(s, d), 7, 60))
-O["moving_block_bootstrap"] = f"""WITH {DIFFS}, {pos_sql('diffs')}, {block_rows(7, 60)}, m AS (SELECT series, avg(x) AS mu0 FROM pos GROUP BY 1)
+Q["moving_block_bootstrap"] = lambda s, d: r6(B.block_bootstrap_p(diffs(s, d)))
+O["moving_block_bootstrap"] = f"""WITH {DIFFS}, {pos_sql('diffs')}, {block_rows(7, 2000)}, m AS (SELECT series, avg(x) AS mu0 FROM pos GROUP BY 1)
 SELECT series, n, round(avg(CASE WHEN abs(mu - mu0) >= abs(mu0) THEN 1e0 ELSE 0 END), 6) AS mbb_p FROM bs JOIN m USING (series) GROUP BY series, n"""
-Q["block_sharpe_interval"] = lambda s, d: r6(B.block_sharpe_interval(diffs(s, d), 20, 60))
-O["block_sharpe_interval"] = f"""WITH {DIFFS}, {pos_sql('diffs')}, {block_rows(20, 60)}, e AS (SELECT series, count(*) AS n, avg(x) / stddev_samp(x) * sqrt(252e0) AS est FROM pos GROUP BY 1),
+Q["moving_block_bootstrap_greater"] = lambda s, d: r6(B.block_bootstrap_p(diffs(s, d), two_sided=False))
+O["moving_block_bootstrap_greater"] = O["moving_block_bootstrap"].replace("abs(mu - mu0) >= abs(mu0)", "mu - mu0 >= mu0")
+Q["block_sharpe_interval"] = lambda s, d: r6(B.block_sharpe_interval(diffs(s, d)))
+O["block_sharpe_interval"] = f"""WITH {DIFFS}, {pos_sql('diffs')}, {block_rows(20, 2000)}, e AS (SELECT series, count(*) AS n, avg(x) / stddev_samp(x) * sqrt(252e0) AS est FROM pos GROUP BY 1),
 q AS (SELECT series, quantile_cont(mu / sd * sqrt(252e0), 0.025) AS lo, quantile_cont(mu / sd * sqrt(252e0), 0.975) AS hi FROM bs GROUP BY 1)
 SELECT series, n, round(est, 6) AS estimate, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high FROM e JOIN q USING (series)"""
 
@@ -145,48 +147,38 @@ def lengths(s, d):
     return B.positions(diffs(s, d), "diff").select("n").distinct()
 
 
-Q["stationary_bootstrap_index"] = lambda s, d: B.stationary_index(lengths(s, d), 8).select("rep", "t", "idx")
+def index_digest(x):
+    """What one resample draws, as one row: a sum that depends on the order."""
+    return x.groupBy("n", "rep").agg(F.countDistinct("idx").alias("distinct_days"), F.sum((F.col("t") + 1) * F.col("idx").cast("bigint")).alias("weighted"))
+
+
+Q["stationary_bootstrap_index"] = lambda s, d: index_digest(B.stationary_index(lengths(s, d), 2000)).withColumn("n", F.col("n").cast("bigint"))
 STAT = """sz AS (SELECT DISTINCT n FROM pos),
 st0 AS (SELECT n, rep, t, md5('42|' || rep || '|' || t) AS h FROM sz, range(1, {R}) r(rep), range(0, 100000) g(t) WHERE t < n),
 st1 AS (SELECT n, rep, t, CASE WHEN t = 0 OR """ + lane("h", 0) + """ / 4294967296e0 < 0.1e0 THEN """ + lane("h", 1) + """ % n END AS start FROM st0),
 st AS (SELECT n, rep, t, (last_value(start IGNORE NULLS) OVER w + t - last_value(CASE WHEN start IS NOT NULL THEN t END IGNORE NULLS) OVER w) % n AS idx FROM st1
   WINDOW w AS (PARTITION BY n, rep ORDER BY t ROWS UNBOUNDED PRECEDING))"""
-# the index is checked against the sequential definition
-O["stationary_bootstrap_index"] = f"""WITH RECURSIVE {DIFFS}, {pos_sql('diffs')}, {STAT.format(R=9)},
+# the index is checked against the sequential definition, all resamples a step at a time
+O["stationary_bootstrap_index"] = f"""WITH RECURSIVE {DIFFS}, {pos_sql('diffs')}, {STAT.format(R=2001)},
 walk AS (SELECT rep, t, start AS idx, n FROM st1 WHERE t = 0
-  UNION ALL SELECT w.rep, s.t, coalesce(s.start, (w.idx + 1) % w.n), w.n FROM walk w JOIN st1 s ON s.rep = w.rep AND s.t = w.t + 1)
-SELECT rep, t, idx FROM walk"""
-
-
-def snoop_sql(spa, reps):
-    g = lambda e: f"greatest({e}, 0e0)" if spa else e
-    lagc = ", ".join(f"lag(x, {k}) OVER w AS l{k}" for k in range(1, 6))
-    var = "sum(x * x) / count(*)" + "".join(f" + 2 * (1 - {k}e0 / 6) * coalesce(sum(x * l{k}), 0) / count(*)" for k in range(1, 6))
-    return f"""WITH {DIFFS}, {pos_sql('diffs')}, {hac_sql('diffs')}, {STAT.format(R=reps + 1)},
-cx AS (SELECT series, pos, n, x - avg(x) OVER (PARTITION BY series) AS x FROM pos),
-br AS (SELECT rep, t, series, x FROM st JOIN cx ON cx.n = st.n AND cx.pos = st.idx),
-bc AS (SELECT rep, t, series, x - avg(x) OVER (PARTITION BY rep, series) AS x, avg(x) OVER (PARTITION BY rep, series) AS mu FROM br),
-bl AS (SELECT rep, series, x, mu, {lagc} FROM bc WINDOW w AS (PARTITION BY rep, series ORDER BY t)),
-bv AS (SELECT rep, series, count(*) AS n, first(mu) AS mu, {var} AS v FROM bl GROUP BY rep, series),
-mx AS (SELECT rep, max({g('CASE WHEN v > 0 THEN mu / sqrt(v / n) ELSE 0 END')}) AS m FROM bv GROUP BY rep),
-ob AS (SELECT series, mu, {g(T_SQL)} AS tl FROM hac),
-pp AS (SELECT series, any_value(mu) AS mu, any_value(tl) AS tl, avg(CASE WHEN m >= tl THEN 1e0 ELSE 0 END) AS p FROM ob, mx GROUP BY series)
-SELECT series, round(mu, 6) AS mean_diff, round(tl, 6) AS t_like, round(p, 6) AS p, CASE WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.1 THEN '*' ELSE '' END AS stars FROM pp"""
-
-
-Q["reality_check"] = lambda s, d: r6(T.reality_check(diffs(s, d), 25))
-O["reality_check"] = snoop_sql(False, 25)
-Q["spa_test"] = lambda s, d: r6(T.reality_check(diffs(s, d), 25, spa=True))
-O["spa_test"] = snoop_sql(True, 25)
+  UNION ALL SELECT w.rep, s.t, coalesce(s.start, (w.idx + 1) % w.n), w.n FROM walk w JOIN st1 s ON s.rep = w.rep AND s.n = w.n AND s.t = w.t + 1)
+SELECT n, rep, count(DISTINCT idx) AS distinct_days, CAST(sum((t + 1) * idx) AS BIGINT) AS weighted FROM walk GROUP BY n, rep"""
+
+
+# 2,000 resamples of every series, day by day, are too much for SQL: tests compare a small table with brute force
+Q["reality_check"] = lambda s, d: r6(T.reality_check(diffs(s, d)))
+Q["reality_check_plain"] = lambda s, d: r6(T.reality_check(diffs(s, d), studentise=False))
+Q["spa_test"] = lambda s, d: r6(T.reality_check(diffs(s, d), spa=True))
+Q["spa_test_plain"] = lambda s, d: r6(T.reality_check(diffs(s, d), spa=True, studentise=False))
 
 Q["comparison_table"] = lambda s, d: r6(T.comparison_table(
-    series_returns(s, d).withColumn("ret", F.round("ret", 9)), "EQUAL", "brands", "panel", reps=40))
+    series_returns(s, d).withColumn("ret", F.round("ret", 9)), "EQUAL", "brands", "panel"))
 RD = DIFFS.replace("a.ret - b.ret AS diff", "round(a.ret, 9) - round(b.ret, 9) AS diff")
 O["comparison_table"] = f"""WITH {RD}, {hac_sql('diffs')}, {rank_sql('diffs', ['series'], True)},
 m AS (SELECT series, count(*) AS n, sum(diff) AS s1, sum(diff * diff) AS s2, avg(diff) AS mu, stddev_samp(diff) AS sd FROM diffs GROUP BY series),
 l AS (SELECT series, ((s1 - diff) / (n - 1)) / sqrt(((s2 - diff * diff) - (s1 - diff) * (s1 - diff) / (n - 1)) / (n - 2)) * sqrt(252e0) AS th FROM diffs JOIN m USING (series)),
 v AS (SELECT series, var_pop(th) AS v FROM l GROUP BY series),
-{pos_sql('diffs')}, {block_rows(7, 40)}, m0 AS (SELECT series, avg(x) AS mu0 FROM pos GROUP BY 1),
+{pos_sql('diffs')}, {block_rows(7, 2000)}, m0 AS (SELECT series, avg(x) AS mu0 FROM pos GROUP BY 1),
 mb AS (SELECT series, avg(CASE WHEN abs(bs.mu - mu0) >= abs(mu0) THEN 1e0 ELSE 0 END) AS mbb FROM bs JOIN m0 USING (series) GROUP BY series),
 f AS (SELECT hac.series, hac.n, hac.mu, hac.mu / sqrt(hac.v / hac.n) AS th, m.mu / m.sd * sqrt(252e0) / sqrt((m.n - 1) * v.v) AS jk, mbb, zs FROM hac JOIN wz USING (series) JOIN m USING (series) JOIN v USING (series) JOIN mb USING (series)),
 pf AS (SELECT *, {p_of('th')} AS ph FROM f)
@@ -239,9 +231,9 @@ POSTH = (FRIED + PAIRS[len(SCORES):].replace("round(x.score - y.score, 9)", "x.s
 O["posthoc_after_omnibus"] = f"""WITH {POSTH}{HOLM}, ok AS (SELECT policy FROM fr WHERE {CHI2.format(x='chi2', d='(k - 1e0)')} < 0.05)
 SELECT policy, a, b, n, round(p, 6) AS p, round(least(max(h) OVER (PARTITION BY policy ORDER BY p, a, b ROWS UNBOUNDED PRECEDING), 1e0), 6) AS p_holm FROM ho WHERE policy IN (SELECT policy FROM ok)"""
 
-Q["score_descriptives"] = lambda s, d: r6(T.descriptives(scores(s, d), ["policy", "model"], ["dt"], "score", 100))
+Q["score_descriptives"] = lambda s, d: r6(T.descriptives(scores(s, d), ["policy", "model"], ["dt"], "score"))
 O["score_descriptives"] = f"""WITH {SCORES}, g AS (SELECT *, score AS s, 1 AS c, row_number() OVER (PARTITION BY policy, model ORDER BY substr(md5(CAST(dt AS VARCHAR)), 1, 2), dt) - 1 AS idx FROM sc),
-sz AS (SELECT policy, model, count(*) AS clusters FROM g GROUP BY 1, 2), {draws_sql('d', 'sz', 'clusters', 'clusters', 100)},
+sz AS (SELECT policy, model, count(*) AS clusters FROM g GROUP BY 1, 2), {draws_sql('d', 'sz', 'clusters', 'clusters', 2000)},
 v AS (SELECT d.policy, d.model, rep, avg(s) AS v FROM d JOIN g ON d.policy = g.policy AND d.model = g.model AND d.draw = g.idx GROUP BY 1, 2, 3),
 q AS (SELECT policy, model, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM v GROUP BY 1, 2)
 SELECT policy, model, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, round(median(score), 6) AS median, round(any_value(lo), 6) AS ci95_lower, round(any_value(hi), 6) AS ci95_upper

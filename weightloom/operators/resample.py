@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weightloom.functions import draws as R
+from weightloom.functions.vectors import bind, total
 from weightloom.session import fan_out, materialize
 
 CHUNK = 1024  # digests per generator row
@@ -127,16 +128,22 @@ def block_replicates(pos: DataFrame, block: int, reps: int, seed: int, key: str
     return j.groupBy(key, "n", "rep").agg(pick("s1", "p1").alias("s1"), pick("s2", "p2").alias("s2"))
 
 
-def block_bootstrap_p(diffs: DataFrame, block: int = 7, reps: int = 2000, seed: int = 42, key: str = "series", value: str = "diff") -> DataFrame:
-    """Two-sided p of mean zero from centred circular-block resamples."""
+def block_bootstrap_p(
+    diffs: DataFrame, block: int = 7, reps: int = 2000, seed: int = 42, key: str = "series", value: str = "diff", two_sided: bool = True,
+) -> DataFrame:
+    """p of mean zero from centred circular-block resamples, two-sided or against a greater mean.
+
+    NULL for fewer than 5 values, fewer than 200 draws or blocks of one value.
+    """
     pos = positions(diffs, value, key)
     w = Window.partitionBy(key)
     c = pos.withColumn("mu", F.avg("x").over(w)).withColumn("x", F.col("x") - F.col("mu"))
     mu = pos.groupBy(key).agg(F.avg("x").alias("mu"))
     boot = block_replicates(c.drop("mu"), block, reps, seed, key)
     j = boot.join(mu, key)
-    hit = (F.abs(F.col("s1") / F.col("n")) >= F.abs("mu")).cast("double")
-    ok = (F.col("n") >= 5) & F.lit(block >= 2)
+    mean = F.col("s1") / F.col("n")
+    hit = ((F.abs(mean) >= F.abs("mu")) if two_sided else (mean >= F.col("mu"))).cast("double")
+    ok = (F.col("n") >= 5) & F.lit(block >= 2 and reps >= 200)
     return j.groupBy(key, "n").agg(F.avg(hit).alias("p")).select(key, "n", F.when(ok, F.col("p")).alias("mbb_p"))
 
 
@@ -170,3 +177,88 @@ def stationary_index(sizes: DataFrame, reps: int, p: float = 0.1, seed: int = 42
     w = Window.partitionBy("n", "rep").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     start, at = F.last("_start", ignorenulls=True).over(w), F.last("_at", ignorenulls=True).over(w)
     return r.select("n", "rep", "t", F.pmod(start + F.col("t") - at, F.col("n")).cast("int").alias("idx"))
+
+
+def stationary_runs(sizes: DataFrame, reps: int, p: float = 0.1, seed: int = 42, lags: int = 0) -> DataFrame:
+    """(n, rep, start, len, head, tail, here, before): the stationary bootstrap as its runs.
+
+    The same draws as ``stationary_index``, but a replicate is one row with about n * p runs:
+    source position and length of each, in order. ``head`` and ``tail`` are the first and last
+    ``lags`` resampled source positions; ``here[k - 1]`` and ``before[k - 1]`` the pairs of
+    source positions that lie k apart in the resample with a restart between them.
+    """
+    r = sizes.select(F.col("n").cast("int").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    r = r.repartition(fan_out(sizes.sparkSession), "n", "rep")
+    r = r.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at")).withColumn("_h", R.digest(F.lit(seed), "rep", "at"))
+    fresh = r.where((F.col("at") == 0) | (R.uniform(F.col("_h"), 0) < p))
+    fresh = fresh.select("n", "rep", "at", F.pmod(R.lane(F.col("_h"), 1), F.col("n")).cast("int").alias("start"))
+    v = fresh.groupBy("n", "rep").agg(F.array_sort(F.collect_list(F.struct("at", "start"))).alias("v"))
+    v = v.select("n", "rep", F.transform("v", lambda e: e["at"]).alias("at"), F.transform("v", lambda e: e["start"]).alias("start"))
+    after = F.concat(F.slice("at", 2, F.size("at")), F.array("n"))
+    v = v.withColumn("len", F.zip_with("at", after, lambda a, b: b - a))
+    index = F.flatten(F.zip_with("start", "len", lambda s, m: F.transform(F.sequence(F.lit(0), m - 1), lambda o: F.pmod(s + o, F.col("n")))))
+
+    def crossing(ix: Column, k: int, back: int) -> Column:
+        inner = lambda e: F.filter(F.sequence(F.lit(0), F.least(F.lit(k), e["len"]) - 1), lambda o: e["at"] + o >= k)
+        runs = F.filter(F.arrays_zip("at", "len"), lambda e: e["at"] > 0)
+        return F.flatten(F.transform(runs, lambda e: F.transform(inner(e), lambda o: F.get(ix, e["at"] + o - back))))
+
+    def parts(ix: Column) -> Column:
+        none = F.array().cast("array<array<int>>")
+        return F.struct(
+            F.slice(ix, 1, max(lags, 1)).alias("head"), F.reverse(F.slice(F.reverse(ix), 1, max(lags, 1))).alias("tail"),
+            (F.array(*[crossing(ix, k, 0) for k in range(1, lags + 1)]) if lags else none).alias("here"),
+            (F.array(*[crossing(ix, k, k) for k in range(1, lags + 1)]) if lags else none).alias("before"),
+        )
+
+    return v.withColumn("_p", bind(index, parts)).select("n", "rep", "start", "len", "_p.*")
+
+
+def prefix_vectors(pos: DataFrame, lags: int, key: str = "series") -> DataFrame:
+    """(key, n, x, total, cross): a series as an array, and prefix sums over two rounds of it of the
+    values and, in ``cross[k]``, of the products with the value k positions before (around the end)."""
+    before = pos.where(F.col("pos") >= F.col("n") - lags).withColumn("pos", F.col("pos") - F.col("n"))
+    again = pos.withColumn("pos", F.col("pos") + F.col("n"))
+    w = Window.partitionBy(key, "n").orderBy("pos")
+    ext = before.unionByName(pos).unionByName(again)
+    ext = ext.withColumns({f"q{k}": F.col("x") * (F.lag("x", k).over(w) if k else F.col("x")) for k in range(lags + 1)}).where("pos >= 0")
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    names = ["s", *[f"p{k}" for k in range(lags + 1)]]
+    sums = [F.sum(F.coalesce(c, F.lit(0.0))).over(up) for c in ("x", *[f"q{k}" for k in range(lags + 1)])]
+    ext = ext.select(key, "n", "pos", "x", *[c.alias(name) for name, c in zip(names, sums)])
+    a = ext.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("pos", "x", *names))).alias("v"))
+    column = lambda name: F.transform("v", lambda e: e[name])
+    prefix = lambda name: F.concat(F.array(F.lit(0.0)), column(name))
+    return a.select(key, F.col("n").cast("int").alias("n"), F.slice(column("x"), F.lit(1), F.col("n").cast("int")).alias("x"), prefix("s").alias("total"), F.array(*[prefix(name) for name in names[1:]]).alias("cross"))
+
+
+def run_replicates(pos: DataFrame, reps: int, p: float = 0.1, lags: int = 5, seed: int = 42, key: str = "series") -> DataFrame:
+    """(key, n, rep, s, c0 .. c<lags>, head1 .., tail1 ..): sums of stationary resamples of (key, pos, n, x).
+
+    ``c<k>`` sums the products of values k apart; ``head<k>`` and ``tail<k>`` the first and last k
+    values. A replicate of a series costs its runs and their borders, not its days, and nothing
+    is sorted. Replicates meet the series of their length in blocks: a block of series is a salt
+    of the replicates, so that one length, which all series may share, is no single key.
+    """
+    spark = pos.sparkSession
+    blocks, rounds = fan_out(spark), 4
+    series = materialize(prefix_vectors(pos, lags, key), "prefix-sums")
+    series = series.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    runs = materialize(stationary_runs(pos.select("n").distinct(), reps, p, seed, lags), "stationary-runs")
+    runs = runs.withColumn("_r", F.col("rep") % rounds).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    j = series.join(runs, ["n", "_b", "_r"])
+
+    def within(k: int) -> Column:
+        q = F.get("cross", F.lit(k))
+        return bind(q, lambda c: total(F.zip_with("start", "len", lambda s, m: F.when(m > k, F.get(c, s + m) - F.get(c, s + k)).otherwise(0.0))))
+
+    def across(k: int) -> Column:
+        return total(F.zip_with(F.get("here", F.lit(k - 1)), F.get("before", F.lit(k - 1)), lambda a, b: F.get("x", a) * F.get("x", b)))
+
+    pick = lambda at: total(F.transform(at, lambda i: F.get("x", i)))
+    back = lambda k: F.slice(F.reverse("tail"), 1, k)
+    s = total(F.zip_with("start", "len", lambda a, m: F.get("total", a + m) - F.get("total", a)))
+    return j.select(
+        key, "n", "rep", s.alias("s"), *[(within(k) + across(k) if k else within(0)).alias(f"c{k}") for k in range(lags + 1)],
+        *[pick(F.slice("head", 1, k)).alias(f"head{k}") for k in range(1, lags + 1)], *[pick(back(k)).alias(f"tail{k}") for k in range(1, lags + 1)],
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weightloom.functions.scalars import chi2_upper_p, finite, safe_t, stars, two_sided_p
-from weightloom.operators.resample import block_bootstrap_p, mean_interval, positions, stationary_index
+from weightloom.operators.resample import block_bootstrap_p, mean_interval, positions, run_replicates
 from weightloom.session import materialize
 
 
@@ -172,43 +172,40 @@ def comparison_table(
     )
 
 
-def reality_check(diffs: DataFrame, reps: int = 500, p: float = 0.1, lags: int = 5, seed: int = 42, spa: bool = False) -> DataFrame:
-    """Data-snooping test: max studentised mean over strategies per replicate.
+def reality_check(
+    diffs: DataFrame, reps: int = 2000, p: float = 0.1, lags: int = 5, seed: int = 42, spa: bool = False, studentise: bool = True,
+) -> DataFrame:
+    """Data-snooping test: the largest t-like mean over strategies per stationary resample.
 
-    ``spa`` clips the statistics at 0.  The strategies of one day travel as one
-    array, so only replicate x day rows are sorted; the per-strategy terms are
-    expanded straight into the aggregation. Series of one length share a resample,
-    and positions in the arrays count within that length.
+    ``spa`` clips the statistics at 0. Without ``studentise`` the spread is the plain standard
+    error instead of the autocorrelation-robust one. Series of one length share a resample.
     """
     d = materialize(diffs.select("series", "t", "diff"), "diffs")
-    obs = hac_test(d, lags)
-    sd = F.when(F.col("hac_var") > 0, F.sqrt(F.col("hac_var") / F.col("n")))
-    stat = safe_t("mean", sd)
+    lags = lags if studentise else 0
+    n = F.col("n").cast("double")
+    if studentise:
+        obs = hac_test(d, lags).withColumn("sd", F.when(F.col("hac_var") > 0, F.sqrt(F.col("hac_var") / n)))
+    else:
+        obs = positions(d, "diff").groupBy("series").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+        obs = obs.withColumn("sd", F.col("sd") / F.sqrt(n))
+    stat = safe_t("mean", "sd")
     obs = obs.select("series", F.col("mean").alias("mean_diff"), (F.greatest(stat, F.lit(0.0)) if spa else stat).alias("t_like"))
     pos = positions(d, "diff").withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("series")))
-    vec = pos.groupBy("pos", "n").agg(F.array_sort(F.collect_list(F.struct("series", "x"))).alias("v"))
-    vec = materialize(vec.select("pos", "n", F.transform("v", lambda e: e["x"]).alias("x")), "daily-vectors")
-    idx = stationary_index(vec.select("n").distinct(), reps, p, seed)
-    b = idx.join(vec.withColumnRenamed("pos", "idx"), ["n", "idx"])
-    w = Window.partitionBy("n", "rep").orderBy("t")
-    b = b.withColumns({f"l{k}": F.lag("x", k).over(w) for k in range(1, lags + 1)})
-    names = ["x", *[f"l{k}" for k in range(1, lags + 1)]]
-    filled = [F.coalesce(F.col(c), F.transform("x", lambda v: F.lit(None).cast("double"))).alias(c) for c in names]
-    e = b.select("rep", "t", "n", F.posexplode(F.arrays_zip(*filled)).alias("k", "z")).select(
-        "rep", "t", "n", "k", *[F.col("z")[c].alias(c) for c in names]
-    )
-    g = _autocovariances("x", F.count("*"), names[1:], "t", lags)
-    a = e.groupBy("n", "rep", "k").agg(F.avg("x").alias("mu"), *[c.alias(f"g{i}") for i, c in enumerate(g)])
-    var = _bartlett([F.col(f"g{i}") for i in range(lags + 1)], F.col("n"), lags)
-    tb = F.when(var > 0, F.try_divide("mu", F.sqrt(var / F.col("n")))).otherwise(0.0)
-    a = a.withColumn("tb", F.greatest(tb, F.lit(0.0)) if spa else tb)
-    top = a.groupBy("rep").agg(F.max("tb").alias("top"))
-    # one sorted array of replicate maxima: its length is the number of replicates
+    b = run_replicates(pos, reps, p, lags, seed).withColumn("mu", F.col("s") / n)
+    mu, g0 = F.col("mu"), F.col("c0") / n - F.col("mu") * F.col("mu")
+    if studentise:
+        inner = lambda k: (F.col("s") - F.col(f"tail{k}")) + (F.col("s") - F.col(f"head{k}"))
+        gammas = [g0, *[(F.col(f"c{k}") - mu * inner(k) + (n - k) * mu * mu) / n for k in range(1, lags + 1)]]
+        var = _bartlett(gammas, n, lags)
+    else:
+        var = F.greatest(g0, F.lit(0.0)) * n / (n - 1)
+    tb = F.when(var > 0, F.try_divide("mu", F.sqrt(var / n))).otherwise(0.0)
+    top = b.select("rep", (F.greatest(tb, F.lit(0.0)) if spa else tb).alias("tb")).groupBy("rep").agg(F.max("tb").alias("top"))
+    # one array of replicate maxima: its length is the number of replicates
     tops = top.agg(F.collect_list("top").alias("tops"))
     j = obs.join(F.broadcast(tops))
     pv = F.size(F.filter("tops", lambda v: v >= F.col("t_like"))) / F.size("tops")
-    j = j.withColumn("p", pv)
-    return j.select("series", "mean_diff", "t_like", "p", stars("p").alias("stars"))
+    return j.withColumn("p", pv).select("series", "mean_diff", "t_like", "p", stars("p").alias("stars"))
 
 
 # ------------------------------------------------------- blocked comparisons --

@@ -7,27 +7,28 @@ the rebalance-to-rebalance step is recursive (the turnover cap depends on the
 drifted weights), so a run is
 
   marks    price-level vectors per (fold, t)                 Spark windows
-  ledger   one short fold per (series, fold, parameters)     grouped Arrow map
+  ledger   one short fold per (series, fold, parameters)     aggregate over an array
   daily    value, return and weights of every day            join + one window
 
-Vectors are arrays in universe order: a row holds one universe, a ledger group
-one series' rebalances of one fold.  Parallelism and data volume come from the
+Vectors are arrays in universe order: a row holds one universe, a ledger row
+one series' rebalances of one fold while they are folded.  Parallelism and data volume come from the
 number of series, folds and grid points.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weightloom.functions import vectors as V
 from weightloom.functions.scalars import asset_cost
+from weightloom.operators.projection import turnover_capped
 from weightloom.session import fan_out
 
-LEDGER_SCHEMA = """seq int, t int, w array<double>, drifted array<double>, target array<double>,
-turnover_before_cap double, turnover_after_cap double, fee double, gross_before_fee double, gross_return_before_fee double"""
+#: What the fold carries: the vector held, the levels it was bought at, and the ledger rows so far.
+ROW = """struct<seq: int, t: int, w: array<double>, drifted: array<double>, target: array<double>,
+turnover_before_cap: double, turnover_after_cap: double, fee: double, gross_before_fee: double, gross_return_before_fee: double>"""
+CARRIED = f"struct<held: array<double>, held_lvl: array<double>, rows: array<{ROW}>>"
 
 
 def fold_rows(grid: DataFrame, folds: DataFrame) -> DataFrame:
@@ -70,63 +71,51 @@ def run_params(grid_points: DataFrame, universe: DataFrame, by_asset_class: bool
     )
 
 
-def _capped(a: np.ndarray, cap: float) -> np.ndarray:
-    """Projection on {sum = 1, 0 <= w <= cap}; same kink walk as the column form."""
-    a = np.where(np.isfinite(a), a, 0.0)
-    n = a.size
-    if cap * n < 1.0 - 1e-12:
-        return np.full(n, 1.0 / n)
-    u = np.concatenate([-a, cap - a])
-    s = np.concatenate([np.ones(n), -np.ones(n)])
-    order = np.lexsort((s, u))
-    u, s = u[order], s[order]
-    slope = np.concatenate([[0.0], np.cumsum(s)[:-1]])
-    g = np.cumsum(slope * np.diff(u, prepend=u[0]))
-    k = int(np.argmax(g >= 1.0))
-    if g[k] >= 1.0 and slope[k] > 0:
-        shift = u[k] - (g[k] - 1.0) / slope[k]
-    else:
-        shift = u[-1]
-    w = np.clip(a + shift, 0.0, cap)
-    return w / w.sum()
-
-
-def _walk(group: pd.DataFrame) -> pd.DataFrame:
-    """One series' rebalances in time order: drift, project, cap, charge."""
-    g = group.sort_values("t")
-    head = g.iloc[0]
-    cap, tau = float(head["max_weight"]), float(head["turnover_cap"])
-    cost = np.abs(np.asarray(head["cost"], dtype=float))
-    rows, held, held_lvl = [], None, None
-    for seq, (t, target, lvl, eve) in enumerate(zip(g["t"], g["target"], g["lvl"], g["lvl_eve"])):
-        lvl = np.asarray(lvl, dtype=float)
-        wanted = _capped(np.asarray(target, dtype=float), cap)
-        if held is None:
-            now, drifted = wanted, np.zeros_like(wanted)
-            before = after = None
-            fee = gross = day = 0.0
-        else:
-            grown = held * lvl / held_lvl
-            value = grown.sum()
-            drifted = grown / value if value > 1e-12 else held
-            prev = _capped(drifted, cap)
-            gap = np.abs(wanted - prev).sum()
-            if tau <= 0:
-                now = prev
-            elif gap <= tau or gap <= 1e-12:
-                now = wanted
-            else:
-                now = prev + tau / gap * (wanted - prev)
-            # the cap is measured between projected ends, the cost on drifted weights
-            charge = float((np.abs(now - drifted) * cost).sum())
-            fee = -charge if charge > 1e-12 else 0.0
-            gross = float(value - 1.0)
-            day = float(value / (held * np.asarray(eve, dtype=float) / held_lvl).sum() - 1.0)
-            before, after = float(np.abs(wanted - drifted).sum()), float(np.abs(now - drifted).sum())
-        rows.append((seq, int(t), now, drifted, wanted, before, after, fee, gross, day))
-        held, held_lvl = now, lvl
-    return pd.DataFrame(rows, columns=["seq", "t", "w", "drifted", "target", "turnover_before_cap",
-                                       "turnover_after_cap", "fee", "gross_before_fee", "gross_return_before_fee"])
+def _grown(held: Column, lvl: Column, held_lvl: Column) -> Column:
+    return F.zip_with(held, F.zip_with(lvl, held_lvl, lambda x, y: F.try_divide(x, y)), lambda w, g: w * g)
+
+
+def _entry(acc: Column, r: Column) -> Column:
+    """The first rebalance: nothing is held before, and the entry is free."""
+    none = F.lit(None).cast("double")
+    return F.struct(
+        F.size(acc["rows"]).alias("seq"), r["t"].alias("t"), r["wanted"].alias("w"), F.transform(r["wanted"], lambda x: F.lit(0.0)).alias("drifted"),
+        r["wanted"].alias("target"), none.alias("turnover_before_cap"), none.alias("turnover_after_cap"),
+        F.lit(0.0).alias("fee"), F.lit(0.0).alias("gross_before_fee"), F.lit(0.0).alias("gross_return_before_fee"),
+    )
+
+
+def _rebalance(acc: Column, r: Column, cap: Column, tau: Column, cost: Column) -> Column:
+    """Drift, project, cap, charge. The cap is measured between projected ends, the cost on drifted weights."""
+    def charged(value: Column, drifted: Column, now: Column) -> Column:
+        fee = V.total(F.zip_with(F.zip_with(now, drifted, lambda x, y: F.abs(x - y)), cost, lambda d, c: d * F.abs(c)))
+        day = F.try_divide(value, V.total(_grown(acc["held"], r["lvl_eve"], acc["held_lvl"]))) - 1.0
+        return F.struct(
+            F.size(acc["rows"]).alias("seq"), r["t"].alias("t"), now.alias("w"), drifted.alias("drifted"), r["wanted"].alias("target"),
+            V.l1(r["wanted"], drifted).alias("turnover_before_cap"), V.l1(now, drifted).alias("turnover_after_cap"),
+            V.bind(fee, lambda f: F.when(f > 1e-12, -f).otherwise(0.0)).alias("fee"), (value - 1.0).alias("gross_before_fee"), day.alias("gross_return_before_fee"),
+        )
+
+    def moved(value: Column, drifted: Column) -> Column:
+        now = V.bind(V.project_capped(drifted, cap), lambda prev: turnover_capped(prev, r["wanted"], tau))
+        return V.bind(now, lambda w: charged(value, drifted, w))
+
+    def drift(grown: Column, value: Column) -> Column:
+        drifted = F.when(value > 1e-12, F.transform(grown, lambda x: x / value)).otherwise(acc["held"])
+        return V.bind(drifted, lambda d: moved(value, d))
+
+    return V.bind(_grown(acc["held"], r["lvl"], acc["held_lvl"]), lambda g: V.bind(V.total(g), lambda value: drift(g, value)))
+
+
+def walk(steps: Column, cap: Column, tau: Column, cost: Column) -> Column:
+    """Ledger rows of one run from its rebalances in time order: structs (t, wanted, lvl, lvl_eve)."""
+    start = F.struct(F.lit(None).alias("held"), F.lit(None).alias("held_lvl"), F.array().alias("rows")).cast(CARRIED)
+
+    def step(acc: Column, r: Column) -> Column:
+        row = F.when(acc["held"].isNull(), _entry(acc, r)).otherwise(_rebalance(acc, r, cap, tau, cost)).cast(ROW)
+        return V.bind(row, lambda x: F.struct(x["w"].alias("held"), r["lvl"].alias("held_lvl"), F.concat(acc["rows"], F.array(x)).alias("rows")).cast(CARRIED))
+
+    return F.aggregate(steps, start, step, lambda acc: acc["rows"])
 
 
 def rebalance_ledger(decisions: DataFrame, levels: DataFrame, params: DataFrame) -> DataFrame:
@@ -145,19 +134,14 @@ def rebalance_ledger(decisions: DataFrame, levels: DataFrame, params: DataFrame)
     step = F.greatest(F.coalesce("rebalance", F.lit(1)), F.lit(1))
     runs = marked.join(p, F.col("rebalance").isNull() | ((F.col("t") - F.col("test_start")) % step == 0))
     keys = ["run", "series", "fold"]
-    need = runs.select(*keys, "t", "target", "lvl", "lvl_eve", "max_weight", "turnover_cap", "cost")
-
-    def walk(key, group):
-        out = _walk(group)
-        for name, value in zip(reversed(keys), reversed(key)):
-            out.insert(0, name, value)
-        return out
-
+    step = F.struct(F.col("t").cast("int").alias("t"), V.project_capped(F.col("target"), F.col("max_weight")).alias("wanted"), "lvl", "lvl_eve")
+    need = runs.select(*keys, step.alias("step"), "max_weight", "turnover_cap", "cost")
     # explicit count: a segment expands to one row per day right after this step
     need = need.repartition(fan_out(need.sparkSession), *keys)
-    types = dict(need.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + LEDGER_SCHEMA
-    return need.groupBy(*keys).applyInPandas(walk, schema)
+    each = need.groupBy(*keys).agg(
+        F.array_sort(F.collect_list("step")).alias("steps"), F.first("max_weight").alias("cap"), F.first("turnover_cap").alias("tau"), F.first("cost").alias("cost"))
+    rows = walk(F.col("steps"), F.col("cap"), F.col("tau"), F.col("cost"))
+    return each.select(*keys, F.inline(rows))
 
 
 def daily_valuation(ledger: DataFrame, levels: DataFrame) -> DataFrame:

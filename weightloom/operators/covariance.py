@@ -14,6 +14,7 @@ sums. Only the rules that invert a matrix take it, p x p, into a group per decis
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from weightloom.functions import vectors as V
 from weightloom.operators.panel import simple_returns
-from weightloom.operators.rules import register
+from weightloom.operators.rules import register, register_family
 from weightloom.session import materialize
 
 RIDGE = 1e-6
@@ -46,21 +47,40 @@ def window_sums(rows: DataFrame, keys: list[str], values: list[str], lookback: i
     block = [*keys, "_block"]
     upto = Window.partitionBy(*block).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     behind = Window.partitionBy(*block).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys).orderBy("t")
+    whole = Window.partitionBy(*keys).orderBy("_block", "t")  # the order that ``upto`` left
     x = rows.withColumn("_block", F.floor(F.col("t") / lookback))
-    x = x.withColumns({f"_u_{v}": F.sum(v).over(upto) for v in values} | {f"_b_{v}": F.sum(v).over(behind) for v in values})
+    x = x.withColumns({f"_b_{v}": F.sum(v).over(behind) for v in values})
+    x = x.withColumns({f"_u_{v}": F.sum(v).over(upto) for v in values})
     both = [(F.col(f"_u_{v}") + F.coalesce(F.lag(f"_b_{v}", lookback).over(whole), F.lit(0.0))).alias(v) for v in values]
     return x.select(*keys, (F.col("t") + 1).cast("int").alias("t"), *both).where(F.col("t") >= lookback)
 
 
-def moments(grid: DataFrame, decisions: DataFrame, lookback: int = 60) -> DataFrame:
-    """(t, i, j, p, sxy, sx, sy) for i <= j, 1-based: sums over the window of each decision with a full history."""
+@dataclass
+class Moments:
+    """Window sums of every decision with a full history, written once.
+
+    ``pairs``: (t, i, j, p, sxy, sx, sy) for i <= j, 1-based; ``lone``: (t, i, sx, az, a, a2) with
+    a = |z|^2 of the day's centred vector z.
+    """
+
+    lookback: int
+    pairs: DataFrame
+    lone: DataFrame
+
+
+def moments(grid: DataFrame, decisions: DataFrame, lookback: int = 60) -> Moments:
+    at = decisions.select("t").distinct()
     r = return_vectors(grid, centre=True)
     first = r.select("t", "r", F.size("r").alias("p"), F.explode(F.sequence(F.lit(1), F.size("r"))).alias("i"))
     others = F.slice("r", F.col("i"), F.col("p") - F.col("i") + 1)
-    pairs = first.select("t", "p", "i", F.get("r", F.col("i") - 1).alias("sx"), F.posexplode(others).alias("k", "sy"))
-    pairs = pairs.select("t", "p", "i", (F.col("i") + F.col("k")).alias("j"), (F.col("sx") * F.col("sy")).alias("sxy"), "sx", "sy")
-    return window_sums(pairs, ["i", "j", "p"], ["sxy", "sx", "sy"], lookback).join(decisions.select("t").distinct(), "t")
+    pairs = first.select("t", "p", "i", F.get("r", F.col("i") - 1).alias("x"), F.posexplode(others).alias("k", "y"))
+    pairs = pairs.select("t", "p", "i", (F.col("i") + F.col("k")).alias("j"), (F.col("x") * F.col("y")).alias("sxy"))
+    z = r.select("t", F.posexplode("r").alias("k", "sx"), V.dot(F.col("r"), F.col("r")).alias("a"))
+    z = z.select("t", (F.col("k") + 1).alias("i"), "sx", (F.col("a") * F.col("sx")).alias("az"), "a", (F.col("a") * F.col("a")).alias("a2"))
+    lone = materialize(window_sums(z, ["i"], ["sx", "az", "a", "a2"], lookback).join(at, "t"), "moments-of-one")
+    both = window_sums(pairs, ["i", "j", "p"], ["sxy"], lookback).join(at, "t")
+    both = both.join(lone.select("t", "i", "sx"), ["t", "i"]).join(lone.select("t", F.col("i").alias("j"), F.col("sx").alias("sy")), ["t", "j"])
+    return Moments(lookback, materialize(both, "moments-of-two"), lone)
 
 
 def comoment(n: int) -> Column:
@@ -68,7 +88,7 @@ def comoment(n: int) -> Column:
     return F.col("sxy") - F.col("sx") * F.col("sy") / float(n)
 
 
-def shrinkage(grid: DataFrame, moved: DataFrame, lookback: int) -> DataFrame:
+def shrinkage(m: Moments) -> DataFrame:
     """(t, share, target) of the Ledoit-Wolf shrinkage towards a scaled identity (published closed form).
 
     With deviations x_t from the window's means, S = X'X/n and m = tr(S)/p, the squared
@@ -76,27 +96,24 @@ def shrinkage(grid: DataFrame, moved: DataFrame, lookback: int) -> DataFrame:
     sum |x_t|^4 is expanded into window sums of a_t = |z_t|^2, a_t^2, a_t z_t and z_t z_t'
     of the centred returns z.
     """
-    n = float(lookback)
-    r = return_vectors(grid, centre=True).select("t", F.posexplode("r").alias("i", "z"), V.dot(F.col("r"), F.col("r")).alias("a"))
-    r = r.select("t", (F.col("i") + 1).alias("i"), (F.col("a") * F.col("z")).alias("az"), "a", (F.col("a") * F.col("a")).alias("a2"))
-    lone = window_sums(r, ["i"], ["az", "a", "a2"], lookback)
-    both = moved.join(lone.withColumn("j", F.col("i")), ["t", "i", "j"], "left")
+    n = float(m.lookback)
+    both = m.pairs.join(m.lone.drop("sx").withColumn("j", F.col("i")), ["t", "i", "j"], "left")
     twice, diagonal = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0), F.col("i") == F.col("j")
-    s, mx, my = comoment(lookback) / n, F.col("sx") / n, F.col("sy") / n
+    s, mx, my = comoment(m.lookback) / n, F.col("sx") / n, F.col("sy") / n
     a = both.groupBy("t").agg(
         F.first("p").cast("double").alias("p"), F.sum(F.when(diagonal, s)).alias("tr"), F.sum(twice * s * s).alias("fro"),
         F.sum(twice * mx * my * F.col("sxy")).alias("quad"), F.sum(F.when(diagonal, mx * mx)).alias("mm"),
         F.sum(mx * F.col("az")).alias("maz"), F.max("a").alias("a"), F.max("a2").alias("a2"),
     )
     fourth = F.col("a2") + 4 * F.col("quad") - 4 * F.col("maz") + 2 * F.col("mm") * F.col("a") - 3 * n * F.col("mm") * F.col("mm")
-    p, m = F.col("p"), F.col("tr") / F.col("p")
-    d2 = (F.col("fro") - p * m * m) / p
+    p, mean = F.col("p"), F.col("tr") / F.col("p")
+    d2 = (F.col("fro") - p * mean * mean) / p
     b2 = (fourth / n - F.col("fro")) / (p * n)
     share = F.when(d2 <= 0, 0.0).otherwise(F.least(F.greatest(b2, F.lit(0.0)), d2) / d2)
-    return a.select("t", share.alias("share"), m.alias("target"))
+    return a.select("t", share.alias("share"), mean.alias("target"))
 
 
-def covariance(grid: DataFrame, decisions: DataFrame, lookback: int = 60, method: str = "sample") -> DataFrame:
+def estimate(m: Moments, method: str = "sample") -> DataFrame:
     """(t, i, j, cov) for i <= j, 1-based positions in the universe.
 
     ``sample``: divisor n - 1. ``shrunk``: divisor n, shrunk towards a scaled identity.
@@ -104,15 +121,18 @@ def covariance(grid: DataFrame, decisions: DataFrame, lookback: int = 60, method
     """
     if method not in ("sample", "shrunk", "ridge"):
         raise ValueError(f"unknown covariance: {method}")
-    m = moments(grid, decisions, lookback)
     unit = F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
     if method == "sample":
-        return m.select("t", "i", "j", F.try_divide(comoment(lookback), F.lit(lookback - 1.0)).alias("cov"))
-    if method == "ridge" and lookback < max(2, MIN_OBS):
-        return m.select("t", "i", "j", unit.alias("cov"))
-    m = materialize(m, "moments")
-    shrunk = (1.0 - F.col("share")) * comoment(lookback) / float(lookback) + F.col("share") * F.col("target") * unit
-    return m.join(shrinkage(grid, m, lookback), "t").select("t", "i", "j", (shrunk + (RIDGE * unit if method == "ridge" else 0.0)).alias("cov"))
+        return m.pairs.select("t", "i", "j", F.try_divide(comoment(m.lookback), F.lit(m.lookback - 1.0)).alias("cov"))
+    if method == "ridge" and m.lookback < max(2, MIN_OBS):
+        return m.pairs.select("t", "i", "j", unit.alias("cov"))
+    shrunk = (1.0 - F.col("share")) * comoment(m.lookback) / float(m.lookback) + F.col("share") * F.col("target") * unit
+    return m.pairs.join(shrinkage(m), "t").select("t", "i", "j", (shrunk + (RIDGE * unit if method == "ridge" else 0.0)).alias("cov"))
+
+
+def covariance(grid: DataFrame, decisions: DataFrame, lookback: int = 60, method: str = "sample") -> DataFrame:
+    """(t, i, j, cov) of each decision with a full history; see ``estimate``."""
+    return estimate(moments(grid, decisions, lookback), method)
 
 
 def _distance(rho: Column) -> Column:
@@ -138,7 +158,7 @@ def correlation_distance(grid: DataFrame, decisions: DataFrame, lookback: int =
         both = column.join(other, "t").where("i <= j")
         rho = F.try_divide(V.dot(F.col("v"), F.col("v2")), F.col("norm") * F.col("norm2"))
         return both.select("t", "i", "j", _distance(rho).alias("dist"))
-    m = materialize(moments(grid, decisions, lookback).select("t", "i", "j", comoment(lookback).alias("s")), "comoments")
+    m = moments(grid, decisions, lookback).pairs.select("t", "i", "j", comoment(lookback).alias("s"))
     spread = m.where("i = j").select("t", "i", F.sqrt("s").alias("d"))
     x = m.join(spread, ["t", "i"]).join(spread.select("t", F.col("i").alias("j"), F.col("d").alias("d2")), ["t", "j"])
     return x.select("t", "i", "j", _distance(F.try_divide(F.col("s"), F.col("d") * F.col("d2"))).alias("dist"))
@@ -158,9 +178,11 @@ def _weights(grid: DataFrame, decisions: DataFrame, done: DataFrame) -> DataFram
     )
 
 
-def inverse_risk(grid: DataFrame, decisions: DataFrame, method: str = "sample", lookback: int = 60, volatility: bool = False) -> DataFrame:
+def inverse_risk(
+    grid: DataFrame, decisions: DataFrame, method: str = "sample", lookback: int = 60, volatility: bool = False, known: Moments | None = None,
+) -> DataFrame:
     """(t, asset, ord, w): weights by the inverse of the variance, or of the volatility; from the diagonal alone."""
-    c = covariance(grid, decisions, lookback, method).where("i = j")
+    c = estimate(known or moments(grid, decisions, lookback), method).where("i = j")
     risk = F.greatest(F.sqrt("cov"), F.lit(1e-12)) if volatility else F.col("cov")
     v = c.select("t", F.col("i").alias("pos"), F.try_divide(F.lit(1.0), risk).alias("v"))
     share = F.try_divide(F.col("v"), F.sum("v").over(Window.partitionBy("t")))
@@ -197,7 +219,7 @@ def black_litterman(
 
 
 def covariance_rule(
-    grid: DataFrame, decisions: DataFrame, weigh: Callable[[np.ndarray], np.ndarray], method: str, lookback: int = 60
+    grid: DataFrame, decisions: DataFrame, weigh: Callable[[np.ndarray], np.ndarray], method: str, lookback: int = 60, known: Moments | None = None,
 ) -> DataFrame:
     """(t, asset, ord, w) of a rule that maps a covariance matrix to weights."""
 
@@ -208,30 +230,39 @@ def covariance_rule(
         w = weigh(c)
         return pd.DataFrame({"t": key[0], "pos": np.arange(1, len(w) + 1), "w": w})
 
-    return _weights(grid, decisions, covariance(grid, decisions, lookback, method).groupBy("t").applyInPandas(run, "t int, pos int, w double"))
+    return _weights(grid, decisions, estimate(known or moments(grid, decisions, lookback), method).groupBy("t").applyInPandas(run, "t int, pos int, w double"))
 
 
-def risk_parity(grid: DataFrame, decisions: DataFrame, lookback: int = 60) -> DataFrame:
-    return inverse_risk(grid, decisions, "ridge", lookback, volatility=True)
+def risk_parity(grid: DataFrame, decisions: DataFrame, lookback: int = 60, known: Moments | None = None) -> DataFrame:
+    return inverse_risk(grid, decisions, "ridge", lookback, volatility=True, known=known)
 
 
-def min_variance(grid: DataFrame, decisions: DataFrame, method: str = "sample", lookback: int = 60) -> DataFrame:
+def min_variance(grid: DataFrame, decisions: DataFrame, method: str = "sample", lookback: int = 60, known: Moments | None = None) -> DataFrame:
     """The ridge form normalises what is left after the cut; the sample and the shrunk form do not."""
-    return covariance_rule(grid, decisions, minimum_variance if method == "ridge" else budget_minimum_variance, method, lookback)
+    return covariance_rule(grid, decisions, minimum_variance if method == "ridge" else budget_minimum_variance, method, lookback, known)
 
 
 def bl_rule(
     grid: DataFrame, decisions: DataFrame, method: str = "shrunk", lookback: int = 60,
-    market: Sequence[float] | None = None, p: Sequence[Sequence[float]] | None = None, q: Sequence[float] | None = None, **kw,
+    market: Sequence[float] | None = None, p: Sequence[Sequence[float]] | None = None, q: Sequence[float] | None = None, known: Moments | None = None, **kw,
 ) -> DataFrame:
     m = None if market is None else np.asarray(market, dtype=float)
     views = None if p is None or q is None else (np.atleast_2d(np.asarray(p, dtype=float)), np.asarray(q, dtype=float))
-    return covariance_rule(grid, decisions, lambda c: black_litterman(c, m, views, **kw), method, lookback)
+    return covariance_rule(grid, decisions, lambda c: black_litterman(c, m, views, **kw), method, lookback, known)
+
+
+#: Rules over the moments of one window length; built together, they share them.
+BY_MOMENTS: dict[str, Callable[..., DataFrame]] = {
+    "RiskParity": risk_parity, "ERC": risk_parity, "MVP": min_variance, "BL": bl_rule,
+    "MVP-ridge": lambda g, d, **kw: min_variance(g, d, "ridge", **kw), "LW-MVP": lambda g, d, **kw: min_variance(g, d, "shrunk", **kw),
+}
+
+
+def build_by_moments(names: list[str], grid: DataFrame, decisions: DataFrame) -> list[DataFrame]:
+    m = moments(grid, decisions)
+    return [BY_MOMENTS[n](grid, decisions, known=m).withColumn("series", F.lit(n)) for n in names]
 
 
-register("RiskParity", risk_parity)
-register("ERC", risk_parity)
-register("MVP", min_variance)
-register("MVP-ridge", lambda g, d: min_variance(g, d, "ridge"))
-register("LW-MVP", lambda g, d: min_variance(g, d, "shrunk"))
-register("BL", bl_rule)
+for _name, _rule in BY_MOMENTS.items():
+    register(_name, _rule)
+register_family(list(BY_MOMENTS), build_by_moments)

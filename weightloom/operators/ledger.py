@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from weightloom.functions import vectors as V
 from weightloom.functions.scalars import asset_cost
 from weightloom.operators.projection import turnover_capped
-from weightloom.session import fan_out
+from weightloom.session import fan_out, materialize
 
 #: What the fold carries: the vector held, the levels it was bought at, and the ledger rows so far.
 ROW = """struct<seq: int, t: int, w: array<double>, drifted: array<double>, target: array<double>,
@@ -151,6 +151,8 @@ def daily_valuation(ledger: DataFrame, levels: DataFrame) -> DataFrame:
     the last rebalance strictly before it; a rebalance day closes its segment.
     """
     keys = ["run", "series", "fold"]
+    # both are read several times: folds and vectors are made once
+    ledger, levels = materialize(ledger, "ledger"), materialize(levels, "levels")
     seg = Window.partitionBy(*keys).orderBy("t")
     spans = ledger.withColumn("next_t", F.lead("t").over(seg)).select(
         *keys, F.col("t").alias("s"), "next_t", F.col("w").alias("w0"), "seq"

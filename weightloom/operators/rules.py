@@ -307,17 +307,31 @@ def register(name: str, rule: Rule) -> None:
     REGISTRY[name] = rule
 
 
+Family = Callable[[list[str], DataFrame, DataFrame], list[DataFrame]]
+FAMILIES: list[tuple[set[str], Family]] = []
+
+
+def register_family(names: list[str], build: Family) -> None:
+    """Rules that share work when they are built together: ``build`` returns tables with a ``series`` column."""
+    FAMILIES.append((set(names), build))
+
+
+def _build_coded(names: list[str], feats: DataFrame, decisions: DataFrame) -> list[DataFrame]:
+    c = coded_policies(feats, decisions, [n.removeprefix("CODED_") for n in names])
+    return [c.withColumn("series", F.concat(F.lit("CODED_"), "policy")).drop("policy")]
+
+
+register_family([f"CODED_P{k}" for k in range(1, 6)], _build_coded)
+
+
 def build_targets(names: list[str], feats: DataFrame, decisions: DataFrame) -> DataFrame:
     """(series, t, asset, ord, w) of several rules; unknown names are skipped."""
-    coded = {f"CODED_P{k}": f"P{k}" for k in range(1, 6)}
-    one_pass = [n for n in names if n in coded]
-    parts = [
-        REGISTRY[n](feats, decisions).withColumn("series", F.lit(n))
-        for n in names if n in REGISTRY and n not in one_pass
-    ]
-    if one_pass:
-        c = coded_policies(feats, decisions, [coded[n] for n in one_pass])
-        parts.append(c.withColumn("series", F.concat(F.lit("CODED_"), "policy")).drop("policy"))
+    parts, left = [], [n for n in names if n in REGISTRY]
+    for members, build in FAMILIES:
+        if shared := [n for n in left if n in members]:
+            parts += build(shared, feats, decisions)
+            left = [n for n in left if n not in members]
+    parts += [REGISTRY[n](feats, decisions).withColumn("series", F.lit(n)) for n in left]
     if not parts:
         raise ValueError("no known rule among " + ", ".join(names))
     out = parts[0]

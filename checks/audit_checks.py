@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import sqlparts as S
-from checks.ledger_checks import WF, daily, proj_sql
+from checks.ledger_checks import WF, daily
+from checks.sqlparts import proj_sql
 from checks.panel_checks import SERIES, r6, series_returns
 from checks.rule_checks import decided
 from weightloom.functions import quantiles as QT

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from checks import sqlparts as S
 from checks.panel_checks import PERIODS, PERIOD_SQL, cal, feats, grid, r6
 from checks.rule_checks import POLICY_SQL
+from checks.rule_targets import ALL_RULES, TARGETS
 from weightloom.functions import vectors as V
 from weightloom.operators import dates as D
 from weightloom.operators import ledger as L
@@ -32,24 +33,6 @@ def projected(s, d, cap=0.15):
     return C.project_vectors(raw_vectors(s, d), "raw", cap)
 
 
-def lam(v, body):
-    return f"lambda {v}: {body}"
-
-
-def proj_sql(src: str, v: str, out: str, cap: str) -> str:
-    """Nested selects adding ``out`` = projection of list column ``v``."""
-    clip = lambda u: f"list_transform({v}, lambda x: least(greatest(x + {u}, 0e0), {cap}))"
-    s1 = f"SELECT *, list_concat(list_transform({v}, lambda x: -x), list_transform({v}, lambda x: {cap} - x)) AS kk_ FROM ({src})"
-    s2 = f"SELECT *, list_transform(kk_, lambda u: list_sum({clip('u')})) AS gg_ FROM ({s1})"
-    s3 = (f"SELECT *, list_max(list_filter(kk_, lambda u, i: gg_[i] <= 1e0)) AS lo_, "
-          f"coalesce(list_min(list_filter(kk_, lambda u, i: gg_[i] >= 1e0)), list_max(kk_)) AS hi_ FROM ({s2})")
-    s4 = f"SELECT *, list_sum({clip('lo_')}) AS gl_, list_sum({clip('hi_')}) AS gh_ FROM ({s3})"
-    s5 = f"SELECT *, CASE WHEN gh_ - gl_ < 1e-14 THEN lo_ ELSE lo_ + (1e0 - gl_) * (hi_ - lo_) / (gh_ - gl_) END AS u_ FROM ({s4})"
-    s6 = f"SELECT *, {clip('u_')} AS c_ FROM ({s5})"
-    return (f"SELECT * EXCLUDE (kk_, gg_, lo_, hi_, gl_, gh_, u_, c_), "
-            f"list_transform(c_, lambda x: x / list_sum(c_)) AS {out} FROM ({s6})")
-
-
 RAW = """raw AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(list_transform(v, lambda y: abs(y)))) AS raw FROM
   (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings))"""
 # the oracle bisects like the textbook form: independent of the kink walk
@@ -99,11 +82,10 @@ Q["turnover_cap_vectors"] = lambda s, d: r6(
         "vec_id", V.l1(F.col("w"), F.col("tgt")).alias("gap"),
         V.l1(F.col("w"), C.turnover_capped(F.col("w"), F.col("tgt"), 0.05)).alias("moved")))
 
-O["turnover_cap_vectors"] = f"""WITH {RAW}, p AS ({proj_sql(proj_sql("SELECT * FROM raw", "raw", "w", "0.15e0"), "raw", "tg", "0.3e0")}),
+O["turnover_cap_vectors"] = f"""WITH {RAW}, p AS ({S.proj_sql(S.proj_sql("SELECT * FROM raw", "raw", "w", "0.15e0"), "raw", "tg", "0.3e0")}),
 g AS (SELECT vec_id, list_sum(list_transform(w, lambda x, i: abs(x - tg[i]))) AS gap FROM p) SELECT vec_id, round(gap, 6) AS gap, round(least(gap, 0.05e0), 6) AS moved FROM g"""
 
 # --- ledger -------------------------------------------------------------------
-RULES = ["EQUAL", "CODED_P1", "CODED_P2", "CODED_P5"]
 
 
 def wf(s, d):
@@ -121,7 +103,7 @@ def base_params(s, d):
 def ledger(s, d):
     g, f, lv = wf(s, d)
     dates = lv.where((F.col("t") - F.col("test_start")) % 42 == 0).select("t", "fold")
-    tg = L.target_vectors(W.build_targets(RULES, feats(s, d), dates.select("t").distinct()))
+    tg = L.target_vectors(W.build_targets(ALL_RULES, feats(s, d), dates.select("t").distinct()))
     dec = tg.join(dates, "t").select("series", "fold", "t", "target")
     return L.rebalance_ledger(dec, lv, base_params(s, d)), lv
 
@@ -152,13 +134,13 @@ def daily_sql(targets: str, params: str) -> str:
         coalesce(dy.target, rec.w) AS tgt0
       FROM rec JOIN dt_ dy ON dy.series = rec.series AND dy.fold = rec.fold AND dy.i = rec.i + 1"""
     step = f"SELECT *, list_transform(pw, lambda x, k: x * (1 + r[k]) / (1 + gross)) AS dr FROM ({step})"
-    step = proj_sql(proj_sql(step, "dr", "pd", "cap"), "tgt0", "pt", "cap")
+    step = S.proj_sql(S.proj_sql(step, "dr", "pd", "cap"), "tgt0", "pt", "cap")
     step = f"SELECT *, list_sum(list_transform(pd, lambda x, k: abs(pt[k] - x))) AS gap FROM ({step})"
     step = f"""SELECT *, CASE WHEN NOT is_reb THEN dr WHEN gap <= tau OR gap <= 1e-12 THEN pt
         ELSE list_transform(pd, lambda x, k: x + tau / gap * (pt[k] - x)) END AS nw FROM ({step})"""
     step = f"""SELECT run, series, fold, i, t, dt, reb, cap, tau, c, nw AS w, dr, pt, gross,
         CASE WHEN is_reb THEN -c * list_sum(list_transform(nw, lambda x, k: abs(x - dr[k]))) ELSE 0e0 END AS fee FROM ({step})"""
-    base = proj_sql("SELECT pr.*, dy.series, dy.fold, dy.i, dy.t, dy.dt, dy.target FROM dt_ dy, pr WHERE dy.i = 0", "target", "w", "cap")
+    base = S.proj_sql("SELECT pr.*, dy.series, dy.fold, dy.i, dy.t, dy.dt, dy.target FROM dt_ dy, pr WHERE dy.i = 0", "target", "w", "cap")
     return f""",
 {targets}, {params},
 dt_ AS MATERIALIZED (SELECT tg0.series, days.*, tg.target FROM (SELECT DISTINCT series FROM tg) tg0, days LEFT JOIN tg ON tg.series = tg0.series AND tg.t = days.t),
@@ -169,12 +151,11 @@ rec AS (
 ledger_days AS MATERIALIZED (SELECT *, gross + fee AS ret FROM rec)"""
 
 
-TG = """tg AS MATERIALIZED (SELECT CASE policy WHEN 'P4' THEN 'EQUAL' ELSE 'CODED_' || policy END AS series, t, list(w ORDER BY ord) AS target FROM pw
-  WHERE policy IN ('P1', 'P2', 'P4', 'P5') GROUP BY 1, 2)"""
+TG = "tg AS MATERIALIZED (SELECT series, t, list(w ORDER BY ord) AS target FROM rt GROUP BY 1, 2)"
 PR = "pr AS (SELECT 'base' AS run, 42 AS reb, 0.6e0 AS cap, 0.25e0 AS tau, 0.001e0 AS c)"
 FOLD_POLICY = POLICY_SQL.replace(S.DECIDE, S.FOLDS + """,
 decisions AS (SELECT DISTINCT t FROM cal JOIN folds ON t >= test_start AND t < test_end AND (t - test_start) % 42 = 0)""")
-WF = "WITH RECURSIVE " + FOLD_POLICY + FOLD_DAYS + daily_sql(TG, PR)
+WF = "WITH RECURSIVE " + FOLD_POLICY + TARGETS + FOLD_DAYS + daily_sql(TG, PR)
 
 Q["rebalance_ledger"] = lambda s, d: r6(ledger(s, d)[0].select(
     "run", "series", "fold", "t", "turnover_before_cap", "turnover_after_cap", "fee",
@@ -264,7 +245,7 @@ def holdout(s, d):
 
 def q_sensitivity(s, d):
     pts = grid_points(s)
-    day = run_study(s, d, holdout(s, d), ["EQUAL", "CODED_P5"], pts)
+    day = run_study(s, d, holdout(s, d), ALL_RULES, pts)
     keys = ["run", "series"]
     out = K.summary(day.drop("w"), keys)
     return r6(out.select("run", "series", "sharpe", "mdd", "cagr", F.col("avg_turnover").alias("turnover")))
@@ -278,7 +259,6 @@ GRID_SQL = "pr AS (SELECT * FROM (VALUES " + ", ".join(
     "('{}={:.4f}', {}, {}e0, {}e0, {}e0)".format(ax, v, int({**BASE, ax: v}["rebalance"]), {**BASE, ax: v}["max_weight"],
                                                   {**BASE, ax: v}["turnover_cap"], {**BASE, ax: v}["tcost"])
     for ax, vs in AXES.items() for v in vs) + ") v(run, reb, cap, tau, c))"
-TG2 = TG.replace("('P1', 'P2', 'P4', 'P5')", "('P4', 'P5')")
 MET2 = """,
 to_ AS (SELECT run, series, t, ret, coalesce(list_sum(list_transform(w, lambda x, k: abs(x - lw[k]))), 0e0) AS turnover FROM
   (SELECT *, lag(w) OVER (PARTITION BY run, series, fold ORDER BY t) AS lw FROM ledger_days)),
@@ -286,7 +266,7 @@ e0 AS (SELECT *, product(1e0 + ret) OVER (PARTITION BY run, series ORDER BY t RO
 e1 AS (SELECT *, eq / max(eq) OVER (PARTITION BY run, series ORDER BY t ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e0)
 SELECT run, series, round(CASE WHEN stddev_samp(ret) > 0 THEN sqrt(252e0) * avg(ret) / stddev_samp(ret) ELSE 0 END, 6) AS sharpe,
  round(min(dd), 6) AS mdd, round(pow(arg_max(eq, t) / arg_min(eq, t), 252e0 / count(*)) - 1, 6) AS cagr, round(avg(turnover), 6) AS turnover FROM e1 GROUP BY run, series"""
-O["sensitivity_table"] = "WITH RECURSIVE " + POLICY_SQL.replace(S.DECIDE, HOLD) + FOLD_DAYS + daily_sql(TG2, GRID_SQL) + MET2
+O["sensitivity_table"] = "WITH RECURSIVE " + POLICY_SQL.replace(S.DECIDE, HOLD) + TARGETS + FOLD_DAYS + daily_sql(TG, GRID_SQL) + MET2
 
 
 def stress_folds(s, d):
@@ -297,7 +277,7 @@ def stress_folds(s, d):
 
 def q_stress(s, d):
     pts = s.createDataFrame([("base", 0.001, 42, 0.6, 0.25)], "run string, tcost double, rebalance int, max_weight double, turnover_cap double")
-    day = run_study(s, d, stress_folds(s, d), ["EQUAL", "CODED_P1", "CODED_P5"], pts)
+    day = run_study(s, d, stress_folds(s, d), ALL_RULES, pts)
     out = K.summary(day.drop("w"), ["fold", "series"])
     return r6(out.select(F.col("fold").alias("period"), "series", "n", "sharpe", "cagr", "mdd", F.col("avg_turnover").alias("turnover")))
 
@@ -306,7 +286,6 @@ Q["stress_suite"] = q_stress
 STRESS = PERIOD_SQL + """,
 folds AS (SELECT period AS fold, min(t) AS test_start, max(t) + 1 AS test_end FROM cal JOIN periods ON dt BETWEEN ps AND pe GROUP BY 1 HAVING count(*) >= 30),
 decisions AS (SELECT DISTINCT t FROM cal JOIN folds ON t >= test_start AND t < test_end AND (t - test_start) % 42 = 0)"""
-TG3 = TG.replace("('P1', 'P2', 'P4', 'P5')", "('P1', 'P4', 'P5')")
 MET3 = MET2.replace("SELECT run, series, t, ret, coalesce", "SELECT fold AS run, series, t, ret, coalesce").replace(
     "SELECT run, series, round(CASE", "SELECT run AS period, series, count(*) AS n, round(CASE")
-O["stress_suite"] = "WITH RECURSIVE " + POLICY_SQL.replace(S.DECIDE, STRESS) + FOLD_DAYS + daily_sql(TG3, PR) + MET3
+O["stress_suite"] = "WITH RECURSIVE " + POLICY_SQL.replace(S.DECIDE, STRESS) + TARGETS + FOLD_DAYS + daily_sql(TG, PR) + MET3

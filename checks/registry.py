@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("panel_checks", "rule_checks", "ledger_checks", "audit_checks", "stats_checks", "cov_checks", "text_checks")
+MODULES = ("panel_checks", "rule_checks", "rule_targets", "ledger_checks", "audit_checks", "stats_checks", "cov_checks", "text_checks")
 
 
 def _gather(attr: str) -> dict:

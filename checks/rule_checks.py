@@ -93,7 +93,7 @@ for name, down in (("rule_sharpe_weighted", False), ("rule_sortino_weighted", Tr
     SELECT t, asset, round(CASE WHEN s > 0 THEN sc / s ELSE 1e0 / n END, 6) AS w FROM k"""
 
 Q["rule_min_cvar"] = lambda s, d: r6(W.min_cvar(grid(s, d).withColumn("ret", F.col("r")), decisions(s, d)).select("t", "asset", "w"))
-O["rule_min_cvar"] = f"""WITH {ZRET}, m AS (SELECT d.t, z.asset, -z.r AS loss FROM decisions d JOIN zr z ON z.t >= d.t - 126 AND z.t < d.t),
+O["rule_min_cvar"] = f"""WITH {ZRET}, m AS (SELECT d.t, z.asset, round(-z.r, 12) AS loss FROM decisions d JOIN zr z ON z.t >= d.t - 126 AND z.t < d.t),
 q AS (SELECT t, asset, quantile_cont(loss, 0.95) AS q FROM m GROUP BY 1, 2),
 c AS (SELECT t, asset, 1e0 / greatest(avg(loss), 1e-6) AS inv FROM m JOIN q USING (t, asset) WHERE loss >= q GROUP BY 1, 2)
 SELECT t, asset, round(inv / sum(inv) OVER (PARTITION BY t), 6) AS w FROM c"""
@@ -104,11 +104,3 @@ O["rule_vol_scaled_trend"] = f"""WITH {ZRET}, g AS (SELECT *, product(1e0 + ret)
 k AS (SELECT *, CASE WHEN gain > 0 AND vol > 0 THEN 1e0 / greatest(vol, 1e-6) ELSE 0 END AS sc FROM g JOIN decisions USING (t)),
 z AS (SELECT *, sum(sc) OVER (PARTITION BY t) AS s, count(*) OVER (PARTITION BY t) AS n FROM k)
 SELECT t, asset, round(CASE WHEN s > 1e-12 THEN sc / s ELSE 1e0 / n END, 6) AS w FROM z"""
-
-Q["rule_registry"] = lambda s, d: r6(W.build_targets(
-    ["EQUAL", "CODED_P1", "CODED_P2", "CODED_P3", "CODED_P5", "no_such_rule"], feats(s, d), decisions(s, d)
-).groupBy("series", "t").agg(F.count("*").alias("n"), F.sum("w").alias("total"), F.max("w").alias("top"),
-                             F.max_by("asset", F.struct("w", -F.col("ord"))).alias("core")))
-O["rule_registry"] = f"""WITH {POLICY_SQL}, x AS (SELECT CASE policy WHEN 'P4' THEN 'EQUAL' ELSE 'CODED_' || policy END AS series, t, asset, ord, w FROM pw
-  WHERE policy IN ('P1', 'P2', 'P3', 'P4', 'P5'))
-SELECT series, t, count(*) AS n, round(sum(w), 6) AS total, round(max(w), 6) AS top, first(asset ORDER BY w DESC, ord) AS core FROM x GROUP BY 1, 2"""

@@ -237,9 +237,11 @@ def ratio_weighted(grid: DataFrame, decisions: DataFrame, lookback: int = 60, do
 def min_cvar(grid: DataFrame, decisions: DataFrame, lookback: int = 126, alpha: float = 0.05) -> DataFrame:
     """Inverse historical CVaR of the trailing losses.
 
-    The trailing losses travel as one array of at most ``lookback`` values along the rows.
+    The trailing losses travel as one array of at most ``lookback`` values along the rows. They
+    are rounded to 12 digits: equal returns stay equal, however their prices came about, and
+    the percentile does not fall between them.
     """
-    losses = F.sort_array(F.collect_list(-F.col("ret")).over(by_asset().rowsBetween(-lookback, -1)))
+    losses = F.sort_array(F.collect_list(F.round(-F.col("ret"), 12)).over(by_asset().rowsBetween(-lookback, -1)))
     x = _decided(_zero_filled(grid).withColumn("losses", losses), decisions)
     # between the two ranks around the percentile, as usual
     place = (F.size("losses") - 1) * (1.0 - alpha)

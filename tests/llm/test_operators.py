@@ -56,20 +56,44 @@ def test_quality_counts_and_verdict(docs, empty):
         want.append((r.doc_id, *n, n[0] < 10 or 100 * n[4] > 20 * n[0]))
     same([r[:7] for r in found], want)
     assert not any(r.kept and r.base_failed for r in found) and any(r.kept for r in found)
+    assert all(r.n_dup_lines < r.n_lines or r.n_lines == 0 for r in found)
     assert quality.quality_rules(empty).count() == 0
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in found)
 
 
+def plain_fence(values, name):
+    low, high = np.quantile(values, [0.25, 0.75], method="inverted_cdf")
+    spread = max(high - low, quality.FEATURES[name][2])
+    return low - 3 * spread, high + 3 * spread
+
+
 def test_quality_fences_follow_exact_quartiles(spark):
-    rows = [(i, " ".join(["abc" + "d" * (i % 5)] * 0 + [chr(97 + (i * j) % 26) * (3 + i % 3) for j in range(1, 40)]), "en", "s") for i in range(300)]
+    """Groups of 1 to 300 documents: their own quartiles, leaning on the language's and on those of all."""
+    rows = []
+    for lang, source, n, least in (("en", "a", 300, 3), ("en", "b", 99, 5), ("en", "c", 101, 5), ("de", "a", 1, 9), (None, None, 20, 4)):
+        for i in range(n):
+            words = [chr(97 + (i * j) % 26) * (least + i % 3) for j in range(1, 40)]
+            lines = [" ".join(words[k : k + 5]) for k in range(0, 40, 5)] + ["again and again"] * (i % 4)
+            rows.append((len(rows), "\n".join(lines), lang, source))
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     counts = quality.with_counts(frame).drop("text").cache()
-    got = quality.fences(counts).first()
-    length = np.array([r.word_chars / r.n_words for r in counts.collect()])
-    low, high = np.quantile(length, [0.25, 0.75], method="inverted_cdf")
-    spread = max(high - low, quality.FEATURES["word_length"][2])
-    assert math.isclose(got.word_length_low, round(low - 3 * spread, 2), abs_tol=0.02) and math.isclose(got.word_length_high, round(high + 3 * spread, 2), abs_tol=0.02)
+    ratios = {
+        "word_length": lambda r: r.word_chars / r.n_words, "dup_line_share": lambda r: r.n_dup_lines / r.n_lines,
+        "repeat_share": lambda r: r.n_repeat_words / r.n_words,
+    }
+    seen, lean = counts.collect(), quality.LEAN
+    got = quality.fences(counts).collect()
+    assert len(got) == 5
+    for f in got:
+        own = [r for r in seen if (r.lang, r.source) == (f.lang, f.source)]
+        wide = [r for r in seen if r.lang == f.lang]
+        for name, of in ratios.items():
+            three = [plain_fence([of(r) for r in x], name) for x in (own, wide, seen)]
+            for end, k in (("low", 0), ("high", 1)):
+                wider = (len(wide) * three[1][k] + lean * three[2][k]) / (len(wide) + lean)
+                want = (len(own) * three[0][k] + lean * wider) / (len(own) + lean)
+                assert math.isclose(f[f"{name}_{end}"], want, abs_tol=0.02), (f.lang, f.source, name, end)
 
 
 def plain_fingerprint(text):

@@ -1,8 +1,9 @@
 """Quality rules with adaptive thresholds.
 
 Each feature gets its fences from mergeable KLL sketches of the documents of one
-language and source; small groups take the merged sketch of the language, and
-small languages that of all documents. Documents join their group's fences.
+language and source. The fewer documents a group has, the more its fences lean on those
+of its language, and these on those of all documents: a group of n takes n parts of its
+own and ``LEAN`` parts of the wider one. Documents join their group's fences.
 """
 
 from __future__ import annotations
@@ -19,19 +20,19 @@ from weightloom.session import materialize
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\r\x0b\x0c"
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Sketch size (rank error about 1 / SKETCH), rows below which a group takes its parent's fences.
+#: Sketch size (rank error about 1 / SKETCH), and the weight, in documents, of the wider group's fences.
 SKETCH = 2048
-MIN_GROUP = 100
+LEAN = 100.0
 #: Fences lie FENCE spreads beyond the quartiles; a spread is the quartile distance, at least the feature's own least.
 FENCE = 3.0
 #: Feature: (is there a lower fence, is there an upper fence, least spread).
 FEATURES = {
     "word_length": (True, True, 0.5),
     "symbol_share": (False, True, 0.02),
-    "dup_line_share": (False, True, 0.02),
+    "dup_line_share": (False, True, 0.1),
     "repeat_share": (False, True, 0.06),
 }
 
@@ -61,21 +62,22 @@ def repeated_words(hashes: np.ndarray, rows: np.ndarray, width: int) -> np.ndarr
 
 
 def counted(part: pa.RecordBatch, text: str, width: int = 5) -> dict[str, list]:
-    """The five counts of each row."""
+    """The counts of each row."""
     data, offsets = flat(part, text)
     starts, ends, rows = words(data, offsets, SPACE_SEPARATED)
     letters = np.concatenate([[0], np.cumsum((data & 0xC0 != 0x80) & SPACE_SEPARATED[data])])
     symbols = np.concatenate([[0], np.cumsum(np.isin(data, np.frombuffer(SYMBOLS, np.uint8)))])
-    dup = []
+    dup, filled = [], []
     for raw in column_bytes(part, text):
         lines = [x for x in raw.split(b"\n") if x.strip(WHITE)]
         dup.append(len(lines) - len(set(lines)))
+        filled.append(len(lines))
     a, b = offsets[:-1], offsets[1:]
-    return dict(zip(COUNTS, (np.diff(rows), letters[b] - letters[a], symbols[b] - symbols[a], dup, repeated_words(word_hashes(data, starts, ends), rows, width))))
+    return dict(zip(COUNTS, (np.diff(rows), letters[b] - letters[a], symbols[b] - symbols[a], dup, repeated_words(word_hashes(data, starts, ends), rows, width), filled)))
 
 
 def with_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with the five counts as long columns, named behind ``prefix``."""
+    """``docs`` with the counts as long columns, named behind ``prefix``."""
     bounded_batches(docs.sparkSession)
     source = docs.withColumn("__text", F.col(f"`{text}`"))
 
@@ -95,7 +97,7 @@ def _ratios(prefix: str) -> dict[str, Column]:
     return {
         "word_length": per_word(n["word_chars"]),
         "symbol_share": F.when(n["word_chars"] > 0, n["n_symbols"] / n["word_chars"]).otherwise(0.0),
-        "dup_line_share": per_word(n["n_dup_lines"]),
+        "dup_line_share": F.when(n["n_lines"] > 0, n["n_dup_lines"] / n["n_lines"]).otherwise(0.0),
         "repeat_share": per_word(n["n_repeat_words"]),
     }
 
@@ -116,19 +118,23 @@ def fences(counts: DataFrame, prefix: str = "") -> DataFrame:
     def merged(*keys: str) -> DataFrame:
         return groups.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(k, F.lit(SKETCH)).alias(k) for k in FEATURES))
 
-    own = groups.alias("g")
-    lang = merged("lang").alias("l")
-    everything = merged().alias("a")
-    chosen = own.join(lang, F.col("g.lang").eqNullSafe(F.col("l.lang")), "left").join(everything, F.lit(True), "left").select(
-        F.col("g.lang").alias("lang"), F.col("g.source").alias("source"),
-        *(F.when(F.col("g.n") >= MIN_GROUP, F.col(f"g.{k}")).when(F.col("l.n") >= MIN_GROUP, F.col(f"l.{k}")).otherwise(F.col(f"a.{k}")).alias(k) for k in FEATURES),
-    )
     quartile = lambda k, p: F.kll_sketch_get_quantile_double(k, F.lit(p))
-    spread = lambda k: F.greatest(quartile(k, 0.75) - quartile(k, 0.25), F.lit(FEATURES[k][2]))
-    return materialize(chosen.select(
-        "lang", "source",
-        *(F.round(quartile(k, 0.25) - FENCE * spread(k), 2).alias(f"{k}_low") for k in FEATURES),
-        *(F.round(quartile(k, 0.75) + FENCE * spread(k), 2).alias(f"{k}_high") for k in FEATURES),
+
+    def fenced(level: DataFrame, keys: list[str], mark: str) -> DataFrame:
+        """The fences that a level's own quartiles give, and its size."""
+        ends = {}
+        for k, (_, _, least) in FEATURES.items():
+            spread = F.greatest(quartile(k, 0.75) - quartile(k, 0.25), F.lit(least))
+            ends |= {f"{k}_low": quartile(k, 0.25) - FENCE * spread, f"{k}_high": quartile(k, 0.75) + FENCE * spread}
+        return level.select(*(F.col(x).alias(f"{mark}_{x}") for x in keys), F.col("n").cast("double").alias(f"{mark}_n"), *(v.alias(f"{mark}_{x}") for x, v in ends.items()))
+
+    g, l, a = fenced(groups, ["lang", "source"], "g"), fenced(merged("lang"), ["lang"], "l"), fenced(merged(), [], "a")
+    lean = lambda n, own, wider: (n * own + LEAN * wider) / (n + LEAN)
+    joined = g.join(l, F.col("g_lang").eqNullSafe(F.col("l_lang")), "left").withColumn("one", F.lit(1)).join(a.withColumn("one", F.lit(1)), "one", "left")
+    names = [f"{k}_{end}" for k in FEATURES for end in ("low", "high")]
+    return materialize(joined.select(
+        F.col("g_lang").alias("lang"), F.col("g_source").alias("source"),
+        *(F.round(lean(F.col("g_n"), F.col(f"g_{x}"), lean(F.col("l_n"), F.col(f"l_{x}"), F.col(f"a_{x}"))), 2).alias(x) for x in names),
     ), "quality-fences")
 
 
@@ -152,18 +158,23 @@ def judged(counts: DataFrame, limits: DataFrame, prefix: str = "", verdict: str
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, the five counts, ``base_failed``, ``kept``; one row per row of ``docs``.
+    """doc_id, the five counts, ``base_failed``, ``kept``, ``n_lines`` (those with a word); one row per row of ``docs``.
 
     A null text has no words, so it fails the base rule. Null lang or source form
     groups of their own; repeated rows and ids are judged row by row; ties at a
     fence are kept; an empty table gives an empty table. Other columns are not read.
     """
     counts = materialize(with_counts(docs.select("doc_id", "lang", "source", "text")).drop("text"), "quality-counts")
-    return judged(counts, fences(counts)).select("doc_id", *COUNTS, base_failed().alias("base_failed"), "kept")
+    return judged(counts, fences(counts)).select("doc_id", *COUNTS[:5], base_failed().alias("base_failed"), "kept", "n_lines")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they are."""
+    """The rows of ``docs`` that the rules keep, all columns as they are.
+
+    Nulls, ties, repeated rows and empty tables as in ``quality_rules``. Texts are counted twice,
+    slice by slice, so that no text, however long, is written or shuffled; columns that are named
+    like a count stay, as the counts have a prefix here.
+    """
     prefix = "__quality_"
     narrow = materialize(with_counts(docs.select("lang", "source", "text"), prefix=prefix).drop("text"), "quality-counts")
     return judged(with_counts(docs, prefix=prefix), fences(narrow, prefix), prefix, "__kept").filter("__kept").select(*(f"`{c}`" for c in docs.columns))

@@ -116,7 +116,7 @@ def hot_anchors(docs: DataFrame, window: int, anchor: int, share: float) -> list
 
     counts = materialize(docs.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchor-counts")
     total = counts.filter("anchor IS NULL").first()
-    return [r.anchor for r in counts.filter(F.col("anchor").isNotNull() & (F.col("n") > share * total.n)).select("anchor").collect()] if total else []
+    return [r.anchor for r in counts.filter(F.col("anchor").isNotNull() & (F.col("n") > share * total.n)).select("anchor").toLocalIterator()] if total else []
 
 
 def piece_rows(docs: DataFrame, window: int, anchor: int, share: float = HOT_SHARE) -> DataFrame:

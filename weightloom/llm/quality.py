@@ -126,7 +126,8 @@ def fences(counts: DataFrame, prefix: str = "") -> DataFrame:
         for k, (_, _, least) in FEATURES.items():
             spread = F.greatest(quartile(k, 0.75) - quartile(k, 0.25), F.lit(least))
             ends |= {f"{k}_low": quartile(k, 0.25) - FENCE * spread, f"{k}_high": quartile(k, 0.75) + FENCE * spread}
-        return level.select(*(F.col(x).alias(f"{mark}_{x}") for x in keys), F.col("n").cast("double").alias(f"{mark}_n"), *(v.alias(f"{mark}_{x}") for x, v in ends.items()))
+        # no documents at all: no sketch
+        return level.filter("n > 0").select(*(F.col(x).alias(f"{mark}_{x}") for x in keys), F.col("n").cast("double").alias(f"{mark}_n"), *(v.alias(f"{mark}_{x}") for x, v in ends.items()))
 
     g, l, a = fenced(groups, ["lang", "source"], "g"), fenced(merged("lang"), ["lang"], "l"), fenced(merged(), [], "a")
     lean = lambda n, own, wider: (n * own + LEAN * wider) / (n + LEAN)

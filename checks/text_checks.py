@@ -1,5 +1,8 @@
 """Registered queries: text, plans, progress and streams."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import sqlparts as S
@@ -122,38 +125,83 @@ SELECT tx.id, coalesce(policy, 'P6') AS policy, round(coalesce(score, 0), 6) AS
 # ---- R4, F8, F9, E11 ----------------------------------------------------------------
 
 
-def blocks(s, d, condition="real_ticker"):
-    lab = R.mask_labels(TB.universe(s, d).withColumn("asset", F.regexp_replace("asset", "#", "")), condition)
+MODELS = ["m0", "m1"]
+
+
+def labels(s, d):
+    """(mask_condition, asset, ord, label) for every mask of the plan."""
+    u = TB.universe(s, d).withColumn("asset", F.regexp_replace("asset", "#", ""))
+    return reduce(DataFrame.unionByName, [R.mask_labels(u, c).withColumn("mask_condition", F.lit(c)) for c in PL.MASKS])
+
+
+def blocks(s, d):
     f = decided(s, d).withColumn("asset", F.regexp_replace("asset", "#", "")).withColumns(
         {c: F.round(c, 6) for c in ("r1m", "r3m", "r12m", "vol3m", "mdd", "cross_vol")})
-    return R.feature_blocks(f, lab, ["t"])
+    lab = labels(s, d)
+    each = [R.feature_blocks(f, lab.where(F.col("mask_condition") == c), ["t"]).withColumn("mask_condition", F.lit(c)) for c in PL.MASKS]
+    return reduce(DataFrame.unionByName, each)
 
 
 def prompts(s, d):
-    var = VR.policy_variants(s).where("variant_set = 'base'")
-    plan = PL.experiment_plan(decisions(s, d), var, ["m0"]).where("experiment_id = 'model_family_generalization'")
-    return R.render_prompts(plan.select("call_id", "policy_id", "reminder", "t", "template"), blocks(s, d), ["t"])
+    """Every call of the five experiments, all models, variants and masks."""
+    plan = PL.experiment_plan(decisions(s, d), VR.policy_variants(s), MODELS).drop("decision_date", "prompt_hash", "seed")
+    return R.render_prompts(plan, blocks(s, d), ["t", "mask_condition"])
+
+
+def _planned():
+    """(experiment, condition, policy, mask, reminded, template) of one model and date, as SQL rows."""
+    sets = {}
+    for kind, policy, variant, text in VR.templates():
+        sets.setdefault(kind, []).append((policy, variant, text))
+    rows = [("prompt_robustness", f"{p}_paraphrase_{v}", p, "real_ticker", 1, x) for p, v, x in sets["paraphrase"]]
+    rows += [("ticker_masking", f"{p}_{m}", p, m, 1, x) for p, v, x in sets["base"] for m in PL.MASKS]
+    rows += [("policy_complexity", p, p, "real_ticker", 1, x) for p, v, x in sets["complexity"]]
+    rows += [("constraint_conflict_stress", f"{v}_{'reminded' if r else 'blind'}", p, "real_ticker", r, x) for p, v, x in sets["conflict"] for r in (1, 0)]
+    rows += [("model_family_generalization", p, p, "real_ticker", 1, x) for p, v, x in sets["base"]]
+    q = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "plan AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows) + ") v(e, cond, p, m, r, template))"
+
+
+PLANNED = f"""{S.DFEAT},
+lab AS (SELECT 'real_ticker' AS m, asset, replace(asset, '#', '') AS label FROM uni UNION ALL SELECT 'masked_ticker', asset, printf('Asset_%02d', ord) FROM uni
+  UNION ALL SELECT 'shuffled_masked', asset, printf('Asset_%02d', row_number() OVER (ORDER BY md5('42|' || replace(asset, '#', '')))) FROM uni),
+fv AS (SELECT m, t, ord, df.asset, label, round(r1m, 6) + 0e0 AS r1m, round(r3m, 6) + 0e0 AS r3m, round(r12m, 6) + 0e0 AS r12m, round(vol3m, 6) + 0e0 AS vol3m, round(mdd, 6) + 0e0 AS mdd,
+  round(cross_vol, 6) + 0e0 AS cv FROM df JOIN lab ON lab.asset = df.asset),
+lo AS (UNPIVOT (SELECT m, t, label, r1m, r3m, r12m, vol3m, mdd FROM fv) ON r1m, r3m, r12m, vol3m, mdd INTO NAME feature VALUE value),
+models AS (SELECT unnest({MODELS}) AS model_id),
+{_planned()}"""
+LINES = " || chr(10) || ".join(f"'- ' || label || '_{f}: ' || printf('%.8f', {f})" for f in ("r1m", "r3m", "r12m", "vol3m", "mdd"))
 
+Q["prompt_rendering"] = lambda s, d: prompts(s, d).select(
+    "experiment_id", "condition_id", "model_id", "t", F.size(F.split("prompt_text", "\n")).alias("lines"), F.md5("prompt_text").alias("text_md5"))
+O["prompt_rendering"] = f"""WITH {PLANNED},
+bl AS (SELECT m, t, string_agg({LINES}, chr(10) ORDER BY ord) || chr(10) || '- cross_vol: ' || printf('%.8f', max(cv)) AS block, string_agg(label, ', ' ORDER BY ord) AS assets FROM fv GROUP BY m, t),
+tx AS (SELECT e, cond, model_id, t, replace(replace(template, '{{prompt_cap_pct}}', '60'), '{{max_weight}}', '0.60')
+  || CASE WHEN r = 1 THEN chr(10) || 'Execution limits: no short positions, weights add to one, at most 0.60 per asset, turnover at most 0.25; your proposal is projected onto them.' ELSE '' END
+  || chr(10) || chr(10) || 'Current Features:' || chr(10) || block || chr(10) || chr(10) || 'Assets: ' || assets AS x FROM plan JOIN bl USING (m), models)
+SELECT e AS experiment_id, cond AS condition_id, model_id, t, len(string_split(x, chr(10)))::INTEGER AS lines, md5(x) AS text_md5 FROM tx"""
 
-Q["prompt_feature_values"] = lambda s, d: r6(prompts(s, d).select("policy_id", "t", F.inline(R.parse_features(F.col("prompt_text")))))
-O["prompt_feature_values"] = f"""WITH {S.DFEAT}, lo AS (UNPIVOT (SELECT t, replace(asset, '#', '') AS asset, r1m, r3m, r12m, vol3m, mdd FROM df) ON r1m, r3m, r12m, vol3m, mdd INTO NAME feature VALUE value)
-SELECT 'P' || k AS policy_id, t, asset, feature, round(value, 6) AS value FROM lo, range(1, 7) r(k)"""
+# asset names are letters and digits only: masked labels, with their underscore, give no feature lines
+Q["prompt_feature_values"] = lambda s, d: r6(prompts(s, d).select("experiment_id", "mask_condition", "t", F.inline(R.parse_features(F.col("prompt_text")))).groupBy(
+    "experiment_id", "mask_condition", "t", "asset", "feature").agg(F.count("*").alias("calls"), F.min("value").alias("value"), F.max("value").alias("largest")))
+O["prompt_feature_values"] = f"""WITH {PLANNED} SELECT e AS experiment_id, m AS mask_condition, t, label AS asset, feature, n AS calls, value, value AS largest
+FROM (SELECT e, m, count(*) AS n FROM plan, models GROUP BY e, m) JOIN lo USING (m) WHERE m = 'real_ticker'"""
 
 
 def zero_calls(s, d):
-    core = W.intended_core(decided(s, d)).select(F.col("policy").alias("policy_id"), "t", F.regexp_replace("core", "#", "").alias("target_asset"))
-    return R.zero_feature_calls(prompts(s, d).join(core, ["policy_id", "t"], "left"))
+    core = W.intended_core(decided(s, d)).select(F.col("policy").alias("policy_id"), "t", F.regexp_replace("core", "#", "").alias("asset"))
+    named = core.join(labels(s, d), "asset").select("policy_id", "t", "mask_condition", F.col("label").alias("target_asset"))
+    return R.zero_feature_calls(prompts(s, d).join(named, ["policy_id", "t", "mask_condition"], "left"))
 
 
 Q["zero_feature_summary"] = lambda s, d: r6(R.zero_feature_summary(zero_calls(s, d)))
-O["zero_feature_summary"] = f"""WITH {S.DFEAT}, z AS (SELECT t, sum(CAST(round(r1m, 6) = 0 AS INT) + CAST(round(r3m, 6) = 0 AS INT) + CAST(round(r12m, 6) = 0 AS INT) + CAST(round(vol3m, 6) = 0 AS INT) + CAST(round(mdd, 6) = 0 AS INT)) AS z,
-  CAST(round(max(r12m), 6) = 0 AS INT) AS z1, CAST(round(min(vol3m), 6) = 0 AS INT) AS z2, CAST(round(min(r3m), 6) = 0 AS INT) AS z3 FROM df GROUP BY t)
-SELECT 'P' || k AS policy_id, count(*) AS calls, sum(CAST(z > 0 AS INT)) AS calls_with_any_exact_zero, round(avg(z), 6) AS mean_exact_zero_features,
- CASE k WHEN 1 THEN sum(z1) WHEN 2 THEN sum(z2) WHEN 3 THEN sum(z3) ELSE 0 END AS target_relevant_feature_zero,
- CASE k WHEN 1 THEN sum(z1) WHEN 2 THEN sum(z2) WHEN 3 THEN sum(z3) ELSE 0 END AS optimum_selected_from_zero FROM z, range(1, 7) r(k) GROUP BY k"""
-Q["zero_feature_detail"] = lambda s, d: R.zero_feature_detail(prompts(s, d), ["policy_id", "t"])
-O["zero_feature_detail"] = f"""WITH {S.DFEAT}, lo AS (UNPIVOT (SELECT t, replace(asset, '#', '') AS asset, r1m, r3m, r12m, vol3m, mdd FROM df) ON r1m, r3m, r12m, vol3m, mdd INTO NAME feature VALUE value)
-SELECT 'P' || k AS policy_id, t, asset, feature, 0e0 AS value FROM lo, range(1, 7) r(k) WHERE round(value, 6) = 0"""
+O["zero_feature_summary"] = f"""WITH {PLANNED}, z AS (SELECT t, sum(CAST(r1m = 0 AS INT) + CAST(r3m = 0 AS INT) + CAST(r12m = 0 AS INT) + CAST(vol3m = 0 AS INT) + CAST(mdd = 0 AS INT)) AS z,
+  CAST(max(r12m) = 0 AS INT) AS z1, CAST(min(vol3m) = 0 AS INT) AS z2, CAST(min(r3m) = 0 AS INT) AS z3 FROM fv WHERE m = 'real_ticker' GROUP BY t),
+c AS (SELECT p, t, CASE WHEN m <> 'real_ticker' THEN 0 WHEN p = 'P1' THEN z1 WHEN p = 'P2' THEN z2 WHEN p = 'P3' THEN z3 ELSE 0 END AS hit, CASE WHEN m = 'real_ticker' THEN z ELSE 0 END AS z FROM plan, models, z)
+SELECT p AS policy_id, count(*) AS calls, sum(CAST(z > 0 AS INT)) AS calls_with_any_exact_zero, round(avg(z), 6) AS mean_exact_zero_features,
+ sum(hit) AS target_relevant_feature_zero, sum(hit) AS optimum_selected_from_zero FROM c GROUP BY p"""
+Q["zero_feature_detail"] = lambda s, d: R.zero_feature_detail(prompts(s, d), ["experiment_id", "condition_id", "model_id", "t"])
+O["zero_feature_detail"] = f"WITH {PLANNED} SELECT e AS experiment_id, cond AS condition_id, model_id, t, label AS asset, feature, value FROM plan JOIN lo USING (m), models WHERE value = 0 AND m = 'real_ticker'"
 
 
 def q_masks(s, d):
@@ -171,10 +219,6 @@ UNION ALL SELECT asset, ord, printf('Asset_%02d', row_number() OVER (ORDER BY md
 Q["unmask_weights"] = lambda s, d: R.unmask(
     TB.table(s, d, "part").select("p_partkey", F.format_string("Asset_%02d", F.col("p_partkey") % 30).alias("label")), R.mask_labels(TB.universe(s, d), "masked_ticker"))
 O["unmask_weights"] = f"WITH {S.BRAND} SELECT p_partkey, asset, ord FROM part JOIN uni ON p_partkey % 30 = ord"
-Q["prompt_rendering"] = lambda s, d: prompts(s, d).select(
-    "policy_id", "t", F.size(F.split("prompt_text", "\n")).alias("lines"), F.col("prompt_text").contains("turnover at most 0.25").cast("int").alias("reminded"))
-O["prompt_rendering"] = f"WITH {S.BRAND}{S.DECIDE} SELECT 'P' || k AS policy_id, t, (SELECT count(*) FROM uni) * 5 + 7 AS lines, 1 AS reminded FROM decisions, range(1, 7) r(k)"
-
 # ---- D10, D11, A21 -------------------------------------------------------------------
 Q["fewshot_representatives"] = lambda s, d: r6(FS.representatives(feats(s, d).where("t >= 252"), 8))
 Q["fewshot_examples"] = lambda s, d: r6(FS.labelled_examples(feats(s, d), FS.representatives(feats(s, d).where("t >= 252"), 8), "P2"))
@@ -198,7 +242,6 @@ Q["baseline_summary"] = q_baselines
 O["baseline_summary"] = f"""WITH {S.BRAND}{S.DECIDE} SELECT unnest(['rule', 'tfidf']) AS method, 6 * count(*) AS n, 1e0 AS accuracy, 0e0 AS mean_l1 FROM decisions"""
 
 # ---- X1-X5, X8, X9, R8, S8 --------------------------------------------------------------
-MODELS = ["m0", "m1"]
 Q["experiment_plan"] = lambda s, d: PL.experiment_plan(decisions(s, d), VR.policy_variants(s), MODELS).groupBy("experiment_id", "model_id", "policy_id").agg(
     F.count("*").alias("calls"), F.countDistinct("call_id").alias("ids"), F.countDistinct("condition_id").alias("conditions"))
 O["experiment_plan"] = f"""WITH {S.BRAND}{S.DECIDE}, n AS (SELECT count(*) AS n FROM decisions),
@@ -297,6 +340,9 @@ Q["stream_sliding_latency"] = lambda s, d: r6(ST.run_available(ST.sliding_latenc
     stream(s, d).withWatermark("ts", "1 hour"), "ts", ["event_type"], "value", "12 hours", "6 hours"), "sliding-latency"))
 O["stream_sliding_latency"] = """WITH x AS (SELECT time_bucket(INTERVAL 6 HOURS, ts) - k * INTERVAL 6 HOURS AS start, event_type, value FROM events, range(0, 2) r(k))
 SELECT start, event_type, round(avg(value), 6) AS mean_latency, max(value) AS max_latency, count(*) AS n FROM x GROUP BY 1, 2 HAVING start + INTERVAL 12 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
-Q["stream_stale_gaps"] = lambda s, d: r6(ST.run_available(ST.stale_gaps(stream(s, d), "user_id", "ts", 36000.0), "stale").where("kind = 'gap'").select(
-    F.col("key").cast("bigint").alias("user_id"), "gap_sec"))
-O["stream_stale_gaps"] = """WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events) SELECT user_id, round(gap / 1e6, 6) AS gap_sec FROM g WHERE gap / 1e6 > 36000"""
+Q["stream_stale_gaps"] = lambda s, d: r6(ST.run_available(ST.stale_gaps(stream(s, d), "user_id", "ts", 36000.0), "stale").select(
+    F.col("key").cast("bigint").alias("user_id"), "kind", "gap_sec"))
+O["stream_stale_gaps"] = """WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
+last_ AS (SELECT user_id, max(epoch_ms(ts)) AS seen FROM events GROUP BY 1)
+SELECT user_id, 'gap' AS kind, round(gap / 1e6, 6) AS gap_sec FROM g WHERE gap / 1e6 > 36000
+UNION ALL SELECT user_id, 'silent', NULL FROM last_ WHERE seen + 36000000 < (SELECT max(seen) FROM last_)"""

@@ -19,7 +19,7 @@ TRAILING_COMMA = r",\s*([}\]])"
 BARE_KEY = r"([{,]\s*)([A-Za-z_][A-Za-z0-9_\-]*)(\s*:\s*)"
 NOT_TICKER = r"[^A-Za-z0-9._\-]"
 TOKEN = r"[a-z0-9_]+"
-# asset letters and digits only: tickers with a hyphen never match
+# asset letters and digits only: tickers with a hyphen and masked labels never match
 FEATURE_LINE = r"(?m)^-\s*([A-Za-z0-9]+)_(r1m|r3m|r12m|vol3m|mdd):\s*([-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?)\s*$"
 STRICT = {"allowUnquotedFieldNames": "false", "allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 # ---- fixed values: keyword rules, in order of precedence -----------------------
@@ -237,13 +237,10 @@ def parse_features(text: Column) -> Column:
         F.regexp_extract_all(text, pat, F.lit(2)).alias("feature"),
         F.transform(F.regexp_extract_all(text, pat, F.lit(3)), lambda v: v.cast("double")).alias("value"),
     )
-    named = F.transform(parts, lambda e: F.struct(e["asset"].alias("asset"), e["feature"].alias("feature"), e["value"].alias("value")))
-
-    def add(seen: Column, e: Column) -> Column:
-        same = lambda o: (o["asset"] == e["asset"]) & (o["feature"] == e["feature"])
-        return F.concat(F.filter(seen, lambda o: ~same(o)), F.array(e))
-
-    return F.aggregate(named, F.array().cast("array<struct<asset:string,feature:string,value:double>>"), add)
+    named = F.transform(parts, lambda e, i: F.struct(e["asset"].alias("asset"), e["feature"].alias("feature"), (-i).alias("later"), e["value"].alias("value")))
+    # the last line of each name comes first among its own
+    last = V.bind(F.array_sort(named), lambda v: F.filter(v, lambda e, i: (i == 0) | (F.get(v, i - 1)["asset"] != e["asset"]) | (F.get(v, i - 1)["feature"] != e["feature"])))
+    return F.transform(last, lambda e: F.struct(e["asset"].alias("asset"), e["feature"].alias("feature"), e["value"].alias("value")))
 
 
 # feature on which a single-core policy decides, and in which direction

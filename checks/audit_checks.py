@@ -286,10 +286,11 @@ def diffs(s, d):
 
 
 DIFFS = SERIES + """, diffs AS (SELECT a.series, a.t, a.ret - b.ret AS diff FROM series a JOIN series b ON b.series = 'EQUAL' AND b.t = a.t WHERE a.series <> 'EQUAL')"""
-Q["pair_validity"] = lambda s, d: r6(A.pair_validity(diffs(s, d)))
+Q["pair_validity"] = lambda s, d: r6(A.pair_validity(diffs(s, d), diffs(s, d).select("series").distinct().union(s.sql("SELECT 'never'"))))
 O["pair_validity"] = f"""WITH {DIFFS} SELECT series, count(diff) AS n, {S.R('avg(diff)', 'mean_diff')}, {S.R('252 * avg(diff)', 'mean_diff_ann')}, {S.R('stddev_samp(diff)', 'std_diff')},
  CAST(max(abs(diff)) <= 1e-14 AS INT) AS zero_difference, CAST(stddev_samp(diff) <= 1e-14 AS INT) AS zero_variance,
- greatest(2, CAST(round_even(pow(count(diff), 1e0 / 3), 0) AS INT)) AS block_length, CAST(count(diff) >= 10 AND stddev_samp(diff) > 1e-14 AS INT) AS valid FROM diffs GROUP BY series"""
+ greatest(2, CAST(round_even(pow(count(diff), 1e0 / 3), 0) AS INT)) AS block_length, CAST(count(diff) >= 10 AND stddev_samp(diff) > 1e-14 AS INT) AS valid, NULL AS reason FROM diffs GROUP BY series
+UNION ALL SELECT 'never', 0, NULL, NULL, NULL, NULL, NULL, NULL, 0, 'no overlapping returns'"""
 
 # ---- S4-S9, E4-E13 -------------------------------------------------------------
 
@@ -386,23 +387,26 @@ SELECT series AS name, round(sqrt(252e0) * avg(ret) / stddev_samp(ret), 6) AS sh
  round(pow(arg_max(eq, t) / arg_min(eq, t), 252e0 / count(*)) - 1, 6) AS cagr, round(min(dd), 6) AS mdd, round(arg_max(eq, t) - 1, 6) AS cum, round(pow(arg_max(eq, t) / arg_min(eq, t), 252e0 / count(*)) - 1, 6) AS ann, round(avg(turnover), 6) AS "to" FROM e1 GROUP BY series"""
 Q["selected_comparison"] = lambda s, d: r6(K.select_series(K.robust_returns(series_returns(s, d), ["series"]), s.createDataFrame([("EQUAL",), ("Brand#21",), ("absent",)], "series string")))
 O["selected_comparison"] = f"WITH {SERIES} SELECT series, round(product(1e0 + ret) - 1, 6) AS cum_return, round(pow(product(1e0 + ret), 252e0 / count(*)) - 1, 6) AS ann_return FROM series WHERE series IN ('EQUAL', 'Brand#21') GROUP BY series"
-Q["record_ids"] = lambda s, d: TB.table(s, d, "benchmark").select("item_id", X.short_hash("text").alias("prompt_hash"), F.length(X.record_id("item_id", "text")).alias("id_length"))
-O["record_ids"] = "SELECT item_id, left(sha256(text), 16) AS prompt_hash, 24 AS id_length FROM benchmark"
+Q["record_ids"] = lambda s, d: TB.table(s, d, "benchmark").select("item_id", X.short_hash("text").alias("prompt_hash"), X.record_id("item_id", "text").alias("id"))
+O["record_ids"] = """SELECT item_id, left(sha256(text), 16) AS prompt_hash, left(sha256('{"item_id":' || to_json(item_id)::VARCHAR || ',"text":' || to_json(text)::VARCHAR || '}'), 24) AS id FROM benchmark"""
 
 
 def q_run_diag(s, d):
     c = vector_calls(s, d).withColumn("series", F.col("model_id"))
     steps = C.projection_diagnostics(c.select("series", "raw", "projected"), "raw", "projected", 0.15).unionByName(
         C.projection_diagnostics(c.select(F.lit("EQUAL").alias("series"), V.equal_like(F.col("raw")).alias("raw"), V.equal_like(F.col("raw")).alias("projected")), "raw", "projected", 0.15))
-    return r6(C.run_diagnostics(steps, c))
+    calls = c.withColumns({"invalid_weight_count": F.col("vec_id") % 4, "negative_weight_count": F.size(F.filter("raw", lambda x: x < 0)), "equal_fallback": (F.col("vec_id") % 25 == 0).cast("int")})
+    out = C.run_diagnostics(steps.withColumn("turnover_clip", (V.l1(F.col("projected"), V.equal_like(F.col("projected"))) > 0.25).cast("int")), calls)
+    return r6(out)
 
 
 Q["run_diagnostics"] = q_run_diag
 O["run_diagnostics"] = CALLS + """, st AS (SELECT model_id AS series, projection_l1 AS l1, projection_l2 AS l2, len(list_filter(raw, lambda x: x < 0)) AS ng, len(list_filter(raw, lambda x: x > 0.15e0)) AS ov,
-  -list_sum(list_transform(pj, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) AS en, list_sum(list_transform(pj, lambda x: x * x)) AS hh, CAST(ew_l1_distance < 1e-4 AS INT) AS eq FROM calls
-  UNION ALL SELECT 'EQUAL', 0, 0, 0, 0, ln(64e0), 1e0 / 64, 1 FROM calls),
-sa AS (SELECT series, count(*) AS n_steps, avg(l1) AS a, avg(l2) AS b, avg(CAST(ng + ov > 0 AS INT)) AS c, avg(en) AS e, avg(hh) AS h, avg(eq) AS q, avg(ng) AS g, avg(ov) AS o FROM st GROUP BY 1),
-ca AS (SELECT model_id AS series, count(*) AS n_calls, avg(json_valid) AS j, avg(repair_used) AS r, avg(parse_fail) AS p, avg(latency_sec) AS l FROM calls GROUP BY 1)
+  -list_sum(list_transform(pj, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) AS en, list_sum(list_transform(pj, lambda x: x * x)) AS hh, CAST(ew_l1_distance < 1e-4 AS INT) AS eq, CAST(ew_l1_distance > 0.25e0 AS INT) AS tc FROM calls
+  UNION ALL SELECT 'EQUAL', 0, 0, 0, 0, ln(64e0), 1e0 / 64, 1, 0 FROM calls),
+sa AS (SELECT series, count(*) AS n_steps, avg(l1) AS a, avg(l2) AS b, avg(CAST(ng + ov > 0 AS INT)) AS c, avg(en) AS e, avg(hh) AS h, avg(eq) AS q, avg(ng) AS g, avg(ov) AS o, avg(tc) AS tc FROM st GROUP BY 1),
+ca AS (SELECT model_id AS series, count(*) AS n_calls, avg(hallucinated_asset_count) AS ha, avg(missing_asset_count) AS ma, avg(vec_id % 4) AS iv, avg(len(list_filter(raw, lambda x: x < 0))) AS nw, avg(CAST(vec_id % 25 = 0 AS INT)) AS ef, avg(json_valid) AS j, avg(repair_used) AS r, avg(parse_fail) AS p, avg(latency_sec) AS l FROM calls GROUP BY 1)
 SELECT sa.series, n_steps, round(a, 6) AS avg_projection_l1, round(b, 6) AS avg_projection_l2, round(c, 6) AS cap_clip_freq, round(e, 6) AS avg_entropy, round(h, 6) AS avg_herfindahl, round(q, 6) AS equal_collapse_rate,
- round(g, 6) AS neg_weight_per_step, round(o, 6) AS over_cap_per_step, coalesce(n_calls, 0) AS n_calls, round(j, 6) AS json_valid_rate, round(r, 6) AS repair_rate, round(p, 6) AS parse_fail_rate, round(l, 6) AS avg_latency_sec
+ round(g, 6) AS neg_weight_per_step, round(o, 6) AS over_cap_per_step, coalesce(n_calls, 0) AS n_calls, round(j, 6) AS json_valid_rate, round(r, 6) AS repair_rate, round(p, 6) AS parse_fail_rate, round(l, 6) AS avg_latency_sec,
+ round(tc, 6) AS turnover_clip_freq, round(ha, 6) AS hallucinated_per_call, round(ma, 6) AS missing_per_call, round(iv, 6) AS invalid_weight_per_call, round(nw, 6) AS negative_weight_per_call, round(ef, 6) AS equal_fallback_rate
 FROM sa LEFT JOIN ca USING (series)"""

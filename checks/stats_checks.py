@@ -39,14 +39,14 @@ def outcome_calls(s, d):
         "doc_id", "lang", "source", "quality", "toxic", (F.col("doc_id") % 18).alias("decision"))
 
 
-def boot_sql(scope, keys, metric, reps):
+def boot_sql(scope, keys, metric, reps, src="SELECT doc_id, lang, source, quality, toxic, doc_id % 18 AS decision FROM labels JOIN documents USING (doc_id)"):
     sc = ", ".join(scope)
     cols = ", ".join([*scope, *keys])
     kk = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
     part = f"PARTITION BY {sc} " if scope else ""
     js = " AND ".join(["d.draw = g.idx", *[f"d.{k} = g.{k}" for k in scope]])
     grp = f"{sc}, " if scope else ""
-    return f"""WITH src AS (SELECT doc_id, lang, source, quality, toxic, doc_id % 18 AS decision FROM labels JOIN documents USING (doc_id)),
+    return f"""WITH src AS ({src}),
 g0 AS (SELECT {cols}, CAST(sum({metric}) AS DOUBLE) AS s, count({metric}) AS c FROM src GROUP BY {cols}),
 g AS (SELECT *, row_number() OVER ({part}ORDER BY substr(md5({kk}), 1, 2), {', '.join(keys)}) - 1 AS idx FROM g0),
 sz AS (SELECT {grp}count(*) AS clusters, sum(c) AS records, sum(s) / sum(c) AS estimate FROM g {'GROUP BY ' + sc if scope else ''}),
@@ -66,6 +66,13 @@ O["date_block_bootstrap"] = boot_sql(["lang"], ["decision"], "toxic", 10_000)
 Q["iid_mean_interval"] = lambda s, d: r6(B.mean_interval(outcome_calls(s, d), ["lang"], ["doc_id"], "quality"))
 O["iid_mean_interval"] = boot_sql(["lang"], ["doc_id"], "quality", 2000)
 
+Q["bootstrap_scopes"] = lambda s, d: r6(B.scoped_bootstrap(
+    outcome_calls(s, d), {"overall": F.lit(True), "src4_excluded": F.col("source") != "src4"}, "lang", ["source", "decision"], ["quality", "toxic"]))
+O["bootstrap_scopes"] = boot_sql(["scope", "metric"], ["source", "decision"], "value", 10_000, """
+  WITH o AS (SELECT lang, source, quality, toxic, doc_id % 18 AS decision FROM labels JOIN documents USING (doc_id)),
+  m AS (SELECT lang, source, decision, 'quality' AS metric, quality AS value FROM o UNION ALL SELECT lang, source, decision, 'toxic', toxic FROM o)
+  SELECT *, 'overall' AS scope FROM m UNION ALL SELECT *, 'src4_excluded' FROM m WHERE source <> 'src4' UNION ALL SELECT *, lang FROM m""")
+
 # ---- T1, T2, T11 ---------------------------------------------------------------
 
 

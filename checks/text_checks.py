@@ -15,6 +15,7 @@ from weightloom.operators import rules as W
 from weightloom.operators import textrules as R
 from weightloom.plans import study as PL
 from weightloom.plans import variants as VR
+from weightloom.session import shared_dir
 from weightloom.sources import calls as SC
 from weightloom.sources import testbed as TB
 from weightloom.streaming import calls as ST
@@ -346,3 +347,16 @@ O["stream_stale_gaps"] = """WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_
 last_ AS (SELECT user_id, max(epoch_ms(ts)) AS seen FROM events GROUP BY 1)
 SELECT user_id, 'gap' AS kind, round(gap / 1e6, 6) AS gap_sec FROM g WHERE gap / 1e6 > 36000
 UNION ALL SELECT user_id, 'silent', NULL FROM last_ WHERE seen + 36000000 < (SELECT max(seen) FROM last_)"""
+
+
+def replayed(s, d):
+    """All batches, and then all of them again, as after a lost checkpoint."""
+    path = shared_dir(s, "upserts")
+    for run in range(2):
+        SC.upsert_batches(stream(s, d).select("user_id", "ts", "event_id", "event_type", "value"), f"{path}/data", f"{path}/checkpoint-{run}")
+    return SC.upserted(s, f"{path}/data", "user_id long, ts timestamp, event_id long, event_type string, value double", "user_id", "ts")
+
+
+Q["replayed_upserts"] = lambda s, d: replayed(s, d).withColumn("ts", F.unix_micros("ts"))
+O["replayed_upserts"] = """SELECT user_id, epoch_us(ts) AS ts, event_id, event_type, value, n AS reports
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE k = 1"""

@@ -387,17 +387,25 @@ def missing_series(required: DataFrame, present: DataFrame, key: str = "series")
     return required.join(present.select(key).distinct(), key, "left_anti")
 
 
-def pair_validity(diffs: DataFrame) -> DataFrame:
+def pair_validity(diffs: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Validity of paired differences ``(series, diff)``: zero difference, zero
-    variance, suggested block length n^(1/3)."""
+    variance, suggested block length n^(1/3).
+
+    Series of ``expected`` without a common day get a row with n = 0 and the reason.
+    """
     a = diffs.groupBy("series").agg(
         F.count("diff").alias("n"), F.avg("diff").alias("mean_diff"), F.stddev_samp("diff").alias("std_diff"),
         F.max(F.abs("diff")).alias("worst"),
     )
     flat = F.col("std_diff").isNull() | F.isnan("std_diff") | (F.col("std_diff") <= 1e-14)
-    return a.select(
+    out = a.select(
         "series", "n", "mean_diff", (F.col("mean_diff") * 252.0).alias("mean_diff_ann"), "std_diff",
         (F.col("worst") <= 1e-14).cast("int").alias("zero_difference"), flat.cast("int").alias("zero_variance"),
         F.greatest(F.lit(2), F.bround(F.pow("n", F.lit(1.0 / 3.0))).cast("int")).alias("block_length"),
-        ((F.col("n") >= 10) & ~flat).cast("int").alias("valid"),
+        ((F.col("n") >= 10) & ~flat).cast("int").alias("valid"), F.lit(None).cast("string").alias("reason"),
     )
+    if expected is None:
+        return out
+    alone = expected.select("series").distinct().join(out.select("series"), "series", "left_anti")
+    nothing = [F.lit({"n": 0, "valid": 0, "reason": "no overlapping returns"}.get(f.name)).cast(f.dataType).alias(f.name) for f in out.schema.fields[1:]]
+    return out.unionByName(alone.select("series", *nothing))

@@ -108,6 +108,15 @@ def rebalance_flags(rows: DataFrame, every: int, start: str = "test_start") -> D
     return rows.withColumn("is_rebalance", ((F.col("t") - F.col(start)) % step == 0).cast("int"))
 
 
+def warm_start(folds: DataFrame, lookback: int) -> DataFrame:
+    """Folds whose first one starts behind the warm-up, if it would start with the first row.
+
+    A run from row 0 has no history to look back on; later folds see the whole panel before them.
+    """
+    start = F.when(F.col("test_start") == 0, F.least(F.col("test_end"), F.lit(max(0, lookback)))).otherwise(F.col("test_start"))
+    return folds.withColumn("test_start", start)
+
+
 def period_table(spark: SparkSession, periods: dict[str, tuple[str, str]]) -> DataFrame:
     """(period, period_start, period_end), inclusive at both ends; may overlap."""
     rows = [(k, a, b) for k, (a, b) in periods.items()]

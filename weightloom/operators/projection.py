@@ -142,11 +142,20 @@ def violation_rates(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: What a recorded call may count, and the name of its mean per call.
+CALL_COUNTS = {
+    "hallucinated_asset_count": "hallucinated_per_call", "missing_asset_count": "missing_per_call", "invalid_weight_count": "invalid_weight_per_call",
+    "negative_weight_count": "negative_weight_per_call", "equal_fallback": "equal_fallback_rate",
+}
+
+
 def run_diagnostics(steps: DataFrame, calls: DataFrame | None, key: str = "series") -> DataFrame:
     """Per-step projection averages and per-call parsing rates of a run.
 
-    Series without recorded calls get NULL parsing rates rather than 0.
+    Series without recorded calls get NULL parsing rates rather than 0. Counts that the steps or
+    calls do not carry (``turnover_clip``; ``CALL_COUNTS``) give no column.
     """
+    clipped = [F.avg("turnover_clip").alias("turnover_clip_freq")] if "turnover_clip" in steps.columns else []
     out = steps.groupBy(key).agg(
         F.count("*").alias("n_steps"),
         F.avg("proj_l1").alias("avg_projection_l1"),
@@ -157,6 +166,7 @@ def run_diagnostics(steps: DataFrame, calls: DataFrame | None, key: str = "serie
         F.avg("equal_collapse").alias("equal_collapse_rate"),
         F.avg("neg_weight_count").alias("neg_weight_per_step"),
         F.avg("over_cap_count").alias("over_cap_per_step"),
+        *clipped,
     )
     if calls is None:
         return out
@@ -166,5 +176,6 @@ def run_diagnostics(steps: DataFrame, calls: DataFrame | None, key: str = "serie
         F.avg("repair_used").alias("repair_rate"),
         F.avg("parse_fail").alias("parse_fail_rate"),
         F.avg("latency_sec").alias("avg_latency_sec"),
+        *[F.avg(c).alias(name) for c, name in CALL_COUNTS.items() if c in calls.columns],
     )
     return out.join(per_call, key, "left").fillna(0, ["n_calls"])

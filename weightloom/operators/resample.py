@@ -52,6 +52,17 @@ def slots(sizes: DataFrame, reps: int, seed: int, count: str | Column, modulus:
     return r.select(*keys, "rep", "slot", F.pmod(F.col("_u"), F.col(modulus)).alias("draw"))
 
 
+def with_size(g: DataFrame, sizes: DataFrame, scope: list[str]) -> DataFrame:
+    """``g`` with the number of clusters of its scope as ``_n``; a scope may be NULL."""
+    n = sizes.select(*[F.col(k).alias(f"_s_{k}") for k in scope], F.col("clusters").alias("_n"))
+    if not scope:
+        return g.join(F.broadcast(n))  # one row
+    cond = F.lit(True)
+    for k in scope:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
+    return g.join(n, cond).drop(*[f"_s_{k}" for k in scope])
+
+
 def cluster_bootstrap(
     df: DataFrame, scope: list[str], cluster_keys: list[str], metric: str, reps: int = 10_000, seed: int = 42
 ) -> DataFrame:
@@ -67,18 +78,31 @@ def cluster_bootstrap(
     sizes = g.groupBy(*scope).agg(
         F.count("*").alias("clusters"), F.sum("_cnt").alias("records"), (F.sum("_sum") / F.sum("_cnt")).alias("estimate")
     )
-    d = slots(sizes.where("clusters >= 2"), reps, seed, "clusters", "clusters", [*scope, "clusters"])
-    # renamed keys keep the self-join unambiguous; NULL-safe, as a scope may be NULL
-    right = g.select(*[F.col(k).alias(f"_g_{k}") for k in scope], "idx", "_sum", "_cnt")
-    cond = F.col("draw") == F.col("idx")
-    for k in scope:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
-    boot = d.join(right, cond).groupBy(*scope, "rep").agg((F.sum("_sum") / F.sum("_cnt")).alias("value"))
+    # draws depend on the number of clusters alone: scopes of one size share them
+    d = slots(sizes.where("clusters >= 2").select("clusters").distinct(), reps, seed, "clusters", "clusters", ["clusters"])
+    right = with_size(g, sizes, scope)
+    boot = d.join(right, (d["clusters"] == right["_n"]) & (d["draw"] == right["idx"])).groupBy(*scope, "rep").agg((F.sum("_sum") / F.sum("_cnt")).alias("value"))
     ci = boot.groupBy(*scope).agg(F.percentile("value", F.array(*[F.lit(p) for p in CI])).alias("q"))
     out = sizes.join(ci, scope, "left") if scope else sizes.join(F.broadcast(ci))
     return out.select(*scope, "estimate", F.col("q")[0].alias("ci95_lower"), F.col("q")[1].alias("ci95_upper"), "records", "clusters")
 
 
+def scoped_bootstrap(
+    df: DataFrame, scopes: dict[str, Column], each: str | None, cluster_keys: list[str], metrics: list[str], reps: int = 10_000, seed: int = 42,
+) -> DataFrame:
+    """Whole-cluster bootstrap of several metrics over several scopes in one job.
+
+    ``scopes`` names conditions on rows; ``each`` adds a scope for every value of a column. A row
+    counts once for each of its scopes; rows are reduced to cluster sums before anything is drawn.
+    """
+    named = [F.when(cond, F.lit(name)) for name, cond in scopes.items()]
+    own = [F.col(each).cast("string")] if each else []
+    x = df.withColumn("scope", F.explode(F.filter(F.array(*named, *own), lambda v: v.isNotNull())))
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    x = x.select("scope", *cluster_keys, F.inline(pairs))
+    return cluster_bootstrap(x, ["scope", "metric"], cluster_keys, "value", reps, seed)
+
+
 def mean_interval(df: DataFrame, scope: list[str], row_id: list[str], metric: str, reps: int = 2000, seed: int = 42) -> DataFrame:
     """IID bootstrap interval of a mean: every record is its own cluster."""
     return cluster_bootstrap(df, scope, row_id, metric, reps, seed)

@@ -95,6 +95,26 @@ def append_calls(calls: DataFrame, json_path: str, table_path: str) -> None:
     calls.write.mode("append").partitionBy("experiment_id").parquet(table_path)
 
 
+def upsert_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Write a stream of reports so that a replayed batch changes nothing.
+
+    Every batch owns the folder of its number and replaces it whole: a batch that is run again
+    after a failure, or after its checkpoint is lost, leaves the same files.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def upserted(spark: SparkSession, path: str, schema: str, key: str, order: str) -> DataFrame:
+    """The latest report of each call over all batches, and ``reports``, how many there are."""
+    rows = spark.read.schema(f"{schema}, batch long").parquet(path).drop("batch")
+    rest = [c for c in rows.columns if c != key]
+    last = rows.groupBy(key).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("_s"), F.count("*").alias("reports"))
+    return last.select(key, *[F.col(f"_s.{c}").alias(c) for c in rest], "reports")
+
+
 def rebuild_exports(status: DataFrame, schema: str = CALL_SCHEMA) -> DataFrame:
     """Completed results as rows, in completion order."""
     done = status.where("status = 'completed' AND result_json IS NOT NULL")

@@ -189,8 +189,9 @@ def tfidf_policy(df: DataFrame, key: str, text: str, corpus: dict[str, str] = PO
     """(key, policy, score): cosine best match against a small policy corpus.
 
     Document frequencies include the query itself, so a corpus word seen in the
-    query has df + 1.  Token counts are aggregated per document before anything
-    is joined; ties go to the larger id.
+    query has df + 1.  Everything happens inside the row: tokens are sorted, runs
+    of equal ones are counted, and the counts meet literal maps of the corpus, so
+    no token is shuffled.  Ties go to the larger id.
     """
     import math
     from collections import Counter
@@ -199,32 +200,34 @@ def tfidf_policy(df: DataFrame, key: str, text: str, corpus: dict[str, str] = PO
     total = len(corpus) + 1
     base_df = Counter(w for toks in split.values() for w in set(toks))
     idf = lambda d: math.log((1 + total) / (1 + d)) + 1.0
-    rows, norms = [], []
-    for p, toks in split.items():
-        tf = {w: c / len(toks) for w, c in Counter(toks).items()}
-        norms.append((p, sum((f * idf(base_df[w])) ** 2 for w, f in tf.items())))
-        rows += [(w, p, f, idf(base_df[w] + 1), (f * idf(base_df[w] + 1)) ** 2 - (f * idf(base_df[w])) ** 2) for w, f in tf.items()]
-    spark = df.sparkSession
-    # a vocabulary of a few dozen words: bounded by the literal corpus
-    words = F.broadcast(spark.createDataFrame(rows, "token string, policy string, ptf double, idf double, extra double"))
-    base = F.broadcast(spark.createDataFrame(norms, "policy string, norm2 double"))
-    docs = df.select(key, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0)).alias("toks"))
-    docs = docs.select(key, F.size("toks").alias("len"), "toks")
-    counts = docs.select(key, "len", F.explode("toks").alias("token")).groupBy(key, "len", "token").agg(F.count("*").alias("c"))
-    vocab = words.select("token", F.col("idf").alias("_idf")).distinct()
-    counts = counts.join(F.broadcast(vocab), "token", "left")
-    tf = F.col("c") / F.col("len")
-    counts = counts.withColumn("q", tf * F.coalesce("_idf", F.lit(idf(1))))
-    norm = counts.groupBy(key).agg(F.sum(F.col("q") * F.col("q")).alias("qn2"))
-    hits = counts.where("_idf IS NOT NULL").join(words, "token").groupBy(key, "policy").agg(
-        F.sum(F.col("q") * F.col("ptf") * F.col("idf")).alias("dot"), F.sum("extra").alias("extra")
-    )
-    cos = hits.join(norm, key).join(base, "policy")
-    cos = cos.withColumn("score", F.round(F.try_divide("dot", F.sqrt(F.col("qn2") * (F.col("norm2") + F.col("extra")))), 12))
-    best = cos.groupBy(key).agg(F.max(F.struct("score", "policy")).alias("m"))
-    return df.select(key).join(best, key, "left").select(
-        key, F.coalesce("m.policy", F.lit(max(corpus))).alias("policy"), F.coalesce("m.score", F.lit(0.0)).alias("score")
-    )
+    literal = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    seen = literal({w: idf(d + 1) for w, d in base_df.items()})
+
+    def run_lengths(toks: Column) -> Column:
+        """(token, c) of the sorted tokens: where a run begins, and where the next one does."""
+        begins = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: (i == 0) | (F.get(toks, i) != F.get(toks, i - 1)))
+        return V.bind(begins, lambda b: F.zip_with(b, F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(F.size(toks))), lambda x, y: F.struct(
+            F.get(toks, x).alias("token"), (y - x).cast("double").alias("c"))))
+
+    def scored(runs: Column, n: Column) -> Column:
+        weighed = F.transform(runs, lambda e: F.struct(e["token"].alias("token"), (e["c"] / n).alias("tf"), seen[e["token"]].alias("idf")))
+        return V.bind(weighed, lambda v: V.bind(V.total(F.transform(v, lambda e: F.pow(e["tf"] * F.coalesce(e["idf"], F.lit(idf(1))), F.lit(2.0)))), lambda norm: V.bind(
+            F.filter(v, lambda e: e["idf"].isNotNull()), lambda known: F.array(*[cosine(p, known, norm) for p in corpus]))))
+
+    def cosine(p: str, known: Column, norm: Column) -> Column:
+        tf = {w: c / len(split[p]) for w, c in Counter(split[p]).items()}
+        weight = literal({w: f * idf(base_df[w] + 1) for w, f in tf.items()})
+        extra = literal({w: (f * idf(base_df[w] + 1)) ** 2 - (f * idf(base_df[w])) ** 2 for w, f in tf.items()})
+        base = sum((f * idf(base_df[w])) ** 2 for w, f in tf.items())
+        dot = V.total(F.transform(known, lambda e: F.coalesce(weight[e["token"]], F.lit(0.0)) * e["tf"] * e["idf"]))
+        norm2 = F.lit(base) + V.total(F.transform(known, lambda e: F.coalesce(extra[e["token"]], F.lit(0.0))))
+        score = F.round(F.try_divide(dot, F.sqrt(norm * norm2)), 12)
+        return V.bind(dot, lambda d: F.when(d > 0, F.struct(score.alias("score"), F.lit(p).alias("policy"))))
+
+    toks = F.sort_array(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0)))
+    met = V.bind(toks, lambda t: F.when(F.size(t) > 0, scored(run_lengths(t), F.size(t).cast("double"))))
+    best = df.select(key, F.array_max(met).alias("m"))
+    return best.select(key, F.coalesce("m.policy", F.lit(max(corpus))).alias("policy"), F.coalesce("m.score", F.lit(0.0)).alias("score"))
 
 
 def parse_features(text: Column) -> Column:

@@ -238,3 +238,25 @@ def test_no_local_folder_off_local_mode(spark):
         except ValueError:
             failed = True
         assert failed == fails, master
+
+
+def test_tail_probabilities_without_python(spark):
+    ts = [0.0, 1e-9, 0.3, -1.0, 1.7, 1.96, 2.4, -3.3, 5.0, 8.0, 12.0, 37.0, float("inf")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ts)] + [(90, None), (91, float("nan"))], "i int, t double")
+    got = {r["i"]: r["p"] for r in df.select("i", X.two_sided_p("t").alias("p")).collect()}
+    for i, t in enumerate(ts):
+        assert math.isclose(got[i], math.erfc(abs(t) / math.sqrt(2)), rel_tol=1e-11, abs_tol=1e-300), t
+    assert got[90] is None and got[91] is None
+    # closed forms: one degree is a squared normal, an even number a Poisson sum
+    cases = [(x, d) for d in (1, 2, 4, 10, 40, 200, 2000) for x in (0.0, 0.01, 0.5 * d, 0.98 * d, d, 1.02 * d + 2, 1.5 * d, 3.0 * d + 10)]
+    df = spark.createDataFrame([(i, float(x), float(d)) for i, (x, d) in enumerate(cases)] + [(900, 1.0, 0.0), (901, None, 3.0)], "i int, x double, d double")
+    out = df.select("i", X.chi2_upper_p("x", F.col("d")).alias("p"))
+    got = {r["i"]: r["p"] for r in out.collect()}
+    for i, (x, d) in enumerate(cases):
+        if d == 1:
+            want = math.erfc(math.sqrt(x / 2))
+        else:
+            want = math.fsum(math.exp(-x / 2 + k * math.log(x / 2) - math.lgamma(k + 1)) for k in range(d // 2)) if x else 1.0
+        assert math.isclose(got[i], want, rel_tol=1e-9, abs_tol=1e-13), (x, d, got[i], want)
+    assert math.isnan(got[900]) and got[901] is None
+    assert "Python" not in out._jdf.queryExecution().toString()

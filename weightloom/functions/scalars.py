@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 INF = float("inf")
 
@@ -78,55 +75,55 @@ def asset_cost(
     return F.lit(base) * mult
 
 
-def normal_cdf_upper(z: np.ndarray) -> np.ndarray:
-    return np.array([0.5 * math.erfc(v / math.sqrt(2.0)) if v == v else np.nan for v in z])
-
-
-@F.pandas_udf(T.DoubleType())
-def two_sided_p(t: pd.Series) -> pd.Series:
-    """2(1 - Phi(|t|)); Spark has no error function."""
-    z = t.to_numpy(dtype=float)
-    return pd.Series(2.0 * normal_cdf_upper(np.abs(z))).where(t.notna().to_numpy())
-
-
-def _chi2_upper(x: float, df: float) -> float:
-    """Upper tail of chi-square: series below the mean, continued fraction above."""
-    if not (x == x) or not (df == df) or df <= 0:
-        return float("nan")
-    if x <= 0:
-        return 1.0
-    a, y = df / 2.0, x / 2.0
-    front = math.exp(a * math.log(y) - y - math.lgamma(a))
-    if y < a + 1.0:
-        term = total = 1.0 / a
-        k = a
-        while abs(term) > 1e-17 * abs(total):
-            k += 1.0
-            term *= y / k
-            total += term
-        return max(0.0, 1.0 - front * total)
-    tiny = 1e-300
-    b = y + 1.0 - a
-    c, d = 1.0 / tiny, 1.0 / b
-    h = d
-    for i in range(1, 500):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = b + an / c
-        c = c if abs(c) > tiny else tiny
-        step = d * c
-        h *= step
-        if abs(step - 1.0) < 1e-16:
-            break
-    return front * h
-
-
-@F.pandas_udf(T.DoubleType())
-def chi2_upper_p(x: pd.Series, df: pd.Series) -> pd.Series:
-    out = [_chi2_upper(float(a), float(b)) for a, b in zip(x.astype(float), df.astype(float))]
-    return pd.Series(out, dtype=float).where(x.notna().to_numpy() & df.notna().to_numpy())
+def _bind(value: Column, body) -> Column:
+    """body(value) with ``value`` evaluated once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def log_gamma(a: Column) -> Column:
+    """ln Gamma(a) for a > 0: Stirling's series 16 steps up, and the way back."""
+    z = a + 16.0
+    up = (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3.0))) + 1 / (1260 * F.pow(z, F.lit(5.0))) - 1 / (1680 * F.pow(z, F.lit(7.0)))
+    down = a
+    for i in range(1, 16):
+        down = down * (a + float(i))
+    return up - F.ln(down)
+
+
+def upper_gamma(a: Column, y: Column) -> Column:
+    """Regularised upper incomplete gamma function: a series below the mean, a continued fraction above.
+
+    Both have a length that depends on a alone and suffices for doubles.
+    """
+    def body(v: Column) -> Column:
+        a, y = v["a"], v["y"]
+        front = F.exp(a * F.ln(y) - y - log_gamma(a))
+        steps = F.sequence(F.lit(1), F.ceil(40 + 8 * F.sqrt(a)).cast("int"))
+
+        def term(acc: Column, k: Column) -> Column:
+            t = acc["t"] * y / (a + k)
+            return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+
+        series = F.aggregate(steps, F.struct((1.0 / a).alias("t"), (1.0 / a).alias("s")), term, lambda acc: acc["s"])
+        # from the inner end outwards: y + 2k + 1 - a - (k + 1)(k + 1 - a) / ...
+        inward = F.sequence(F.ceil(120 + 8 * F.sqrt(a)).cast("int"), F.lit(1))
+        tail = F.aggregate(inward, F.lit(0.0), lambda acc, k: k * (k - a) / (y + 2 * k + 1 - a - acc))
+        return F.when(y < a + 1.0, F.greatest(1.0 - front * series, F.lit(0.0))).otherwise(front / (y + 1.0 - a - tail))
+
+    return F.when(y <= 0, 1.0).when(y == INF, 0.0).otherwise(_bind(F.struct(a.alias("a"), y.alias("y")), body))
+
+
+def two_sided_p(t) -> Column:
+    """2(1 - Phi(|t|)); NULL for NULL and NaN."""
+    t = _c(t).cast("double")
+    return F.when(~F.isnan(t), upper_gamma(F.lit(0.5), t * t / 2.0))
+
+
+def chi2_upper_p(x, df) -> Column:
+    """Upper tail of chi-square; NULL for NULL and NaN, NaN without degrees of freedom."""
+    x, df = _c(x).cast("double"), _c(df).cast("double")
+    known = ~F.isnan(x) & ~F.isnan(df)
+    return F.when(known & (df <= 0), float("nan")).when(known, upper_gamma(df / 2.0, x / 2.0))
 
 
 # ---- series keys -----------------------------------------------------------

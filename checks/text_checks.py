@@ -10,6 +10,7 @@ from checks.audit_checks import vector_calls
 from checks.panel_checks import cal, feats, r6
 from checks.rule_checks import POLICY_SQL, SAFE, decided, decisions
 from weightloom.functions import vectors as V
+from weightloom.operators import dates as D
 from weightloom.operators import fewshot as FS
 from weightloom.operators import rules as W
 from weightloom.operators import textrules as R
@@ -225,6 +226,40 @@ Q["fewshot_representatives"] = lambda s, d: r6(FS.representatives(feats(s, d).wh
 Q["fewshot_examples"] = lambda s, d: r6(FS.labelled_examples(feats(s, d), FS.representatives(feats(s, d).where("t >= 252"), 8), "P2"))
 
 
+def fold_examples(s, d):
+    """Examples of every fold from its own training dates, with the text that a prompt carries."""
+    f = feats(s, d)
+    folds = D.folds(cal(s, d), 504, 378)
+    reps = FS.fold_representatives(f.where("t >= 252"), folds, 6)
+    return f, folds, reps, FS.labelled_examples(f, reps, "P2")
+
+
+def q_fold_examples(s, d):
+    """Each example is a training date of its fold and nearer to its centre than any other member."""
+    _, folds, reps, examples = fold_examples(s, d)
+    w = examples.groupBy("fold", "cluster").agg(F.sum("w").alias("total"), F.max("w").alias("top"))
+    inside = ((F.col("t") >= F.col("train_start")) & (F.col("t") < F.col("train_end"))).cast("int").alias("in_training")
+    return r6(reps.join(folds, "fold").join(w, ["fold", "cluster"]).select("fold", "cluster", "t", "distance", "members", inside, "total", "top"))
+
+
+Q["fewshot_by_fold"] = q_fold_examples
+
+
+def q_fold_prompts(s, d):
+    """Prompts of the base policies at the test dates, each with its fold's examples."""
+    f, folds, _, examples = fold_examples(s, d)
+    texts_ = FS.fold_blocks(FS.example_blocks(examples, f))
+    at = folds.join(decisions(s, d), (F.col("t") >= F.col("test_start")) & (F.col("t") < F.col("test_end"))).select("fold", "t").join(texts_, "fold")
+    var = VR.policy_variants(s).where("variant_set = 'base'")
+    plan = at.join(F.broadcast(var.select("policy_id", "template"))).withColumn("reminder", F.lit(True))
+    x = R.render_prompts(plan, blocks(s, d).where("mask_condition = 'real_ticker'"), ["t"])
+    shown = F.regexp_count("prompt_text", F.lit("### EXAMPLE [0-9]+"))
+    return x.select("fold", "policy_id", "t", shown.alias("examples"), F.regexp_count("prompt_text", F.lit("TargetWeights")).alias("weights"), F.md5("prompt_text").alias("text_md5"))
+
+
+Q["fewshot_prompts"] = q_fold_prompts
+
+
 def q_baselines(s, d):
     var = VR.policy_variants(s).where("variant_set = 'base'").select("policy_id", "template")
     rule = var.select("policy_id", R.keyword_policy(F.col("template")).alias("policy")).withColumn("method", F.lit("rule"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import sqlparts as S
 from checks.audit_checks import vector_calls
-from checks.panel_checks import cal, feats, r6
+from checks.panel_checks import SERIES, cal, feats, r6, series_returns
 from checks.rule_checks import POLICY_SQL, SAFE, decided, decisions
 from weightloom.functions import vectors as V
 from weightloom.operators import dates as D
@@ -395,3 +395,29 @@ def replayed(s, d):
 Q["replayed_upserts"] = lambda s, d: replayed(s, d).withColumn("ts", F.unix_micros("ts"))
 O["replayed_upserts"] = """SELECT user_id, epoch_us(ts) AS ts, event_id, event_type, value, n AS reports
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE k = 1"""
+
+
+def csv_log(s, d):
+    """A call log as CSV: quotes and commas in texts, numbers and dates that cannot be read."""
+    i = F.col("event_id")
+    log = TB.table(s, d, "events").select(
+        i.alias("call_id"), F.when(i % 7 == 0, "n/a").when(i % 13 == 0, "inf").otherwise(F.col("value").cast("string")).alias("latency_sec"),
+        F.when(i % 11 == 0, "2024-13-45").otherwise(F.to_date("ts").cast("string")).alias("decision_date"), F.concat(F.lit('say "x, y" '), "props").alias("note"))
+    path = shared_dir(s, "csv-log")
+    log.write.option("header", True).option("escape", '"').csv(path)
+    return SC.combine_logs({"csv": SC.read_calls_csv(s, path)}, ["call_id", "latency_sec", "decision_date"], ["latency_sec"])
+
+
+Q["csv_log"] = lambda s, d: r6(csv_log(s, d).select(F.col("call_id").cast("bigint").alias("call_id"), "latency_sec", "decision_date", F.md5("note").alias("note_md5"), "source_log"))
+O["csv_log"] = """SELECT event_id AS call_id, CASE WHEN event_id % 7 = 0 OR event_id % 13 = 0 THEN NULL ELSE round(value, 6) END AS latency_sec, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS decision_date,
+ md5('say "x, y" ' || props) AS note_md5, 'csv' AS source_log FROM events"""
+
+
+def artefacts(s, d):
+    path = shared_dir(s, "artefacts")
+    SC.write_artefacts(series_returns(s, d).select("series", "t", "ret"), path)
+    return s.read.parquet(path)
+
+
+Q["artefact_partitions"] = lambda s, d: r6(artefacts(s, d).groupBy("series").agg(F.count("*").alias("days"), F.sum("ret").alias("total")))
+O["artefact_partitions"] = f"WITH {SERIES} SELECT series, count(*) AS days, round(sum(ret), 6) AS total FROM series GROUP BY series"

@@ -45,7 +45,6 @@ def test_projection_forms_agree_with_bisection(spark):
             assert np.allclose(got[i], want, atol=1e-9), (cap, v)
             mine = [r["w"] for r in sorted((r for r in rows if r["k"] == i), key=lambda r: r["i"])]
             assert np.allclose(mine, want, atol=1e-9)
-            assert np.allclose(L._capped(np.array(v), cap), want, atol=1e-9)
 
 
 def test_projection_is_idempotent_and_optimal(spark):

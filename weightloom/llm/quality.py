@@ -32,7 +32,7 @@ FENCE = 3.0
 FEATURES = {
     "word_length": (True, True, 0.5),
     "symbol_share": (False, True, 0.02),
-    "dup_line_share": (False, True, 0.1),
+    "dup_line_share": (False, True, 0.2),
     "repeat_share": (False, True, 0.06),
 }
 

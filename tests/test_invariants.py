@@ -268,6 +268,31 @@ def test_intervals_contain_their_estimates(spark):
     assert one["ci95_lower"] is None and one["estimate"] is not None
 
 
+def broadcast_parts(df):
+    """What the plan sends to the driver and to all tasks, down to the first aggregate below."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [next((i for i, c in enumerate(x) if c.isalpha()), len(x)) for x in lines]
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:end]).split("Aggregate")[0]
+
+
+def test_draws_are_never_broadcast(spark, monkeypatch):
+    rows = [(["a", "b", None][i % 3], i, float(i * 7 % 11) if i % 13 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "scope string, id long, y double")
+    monkeypatch.setattr(B, "SLICE", 16)
+    found = []
+    for limit in (1 << 21, 10):
+        monkeypatch.setattr(B, "BROADCAST", limit)
+        got = B.mean_interval(df, ["scope"], ["id"], "y", 300)
+        assert not any("md5(" in part for part in broadcast_parts(got))
+        found.append(sorted((str(r.scope), r.estimate, round(r.ci95_lower, 9), round(r.ci95_upper, 9), r.records, r.clusters) for r in got.collect() if r.scope))
+    assert found[0] == found[1] and len(found[0]) == 2
+    series = spark.createDataFrame([("s", t, float(t % 5)) for t in range(60)], "series string, t int, diff double")
+    assert not any("md5(" in part for part in broadcast_parts(B.block_replicates(B.positions(series, "diff"), 7, 300, 42)))
+
+
 def test_spread_index_is_dense(spark):
     df = spark.range(5000).select(F.lit("s").alias("scope"), F.col("id").alias("k"))
     ix = sorted(r["idx"] for r in B.spread_index(df, ["scope"], ["k"]).collect())

@@ -18,6 +18,8 @@ from weightloom.functions.vectors import bind, total
 from weightloom.session import fan_out, materialize
 
 CHUNK = 1024  # digests per generator row
+SLICE = 1 << 16  # clusters of a scope in one row, where they are broadcast
+BROADCAST = 1 << 21  # clusters that are broadcast at most: 16 bytes each
 CI = (0.025, 0.975)
 
 
@@ -63,6 +65,27 @@ def with_size(g: DataFrame, sizes: DataFrame, scope: list[str]) -> DataFrame:
     return g.join(n, cond).drop(*[f"_s_{k}" for k in scope])
 
 
+def cluster_draws(d: DataFrame, g: DataFrame, sizes: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, rep, _sum, _cnt): the cluster that each of the draws ``d`` hits, in every scope of its size.
+
+    Draws are many times the rows that they are made from, which Spark's estimate of their size
+    does not show, so the join is named. Up to ``BROADCAST`` clusters travel as arrays of ``SLICE``
+    clusters and the draws stay where they are made; more are hashed, a part of them in each task.
+    """
+    if g.count() > BROADCAST:
+        right = with_size(g, sizes, scope)
+        found = d.join(right.hint("shuffle_hash"), (d["clusters"] == right["_n"]) & (d["draw"] == right["idx"]))
+        return found.select(*scope, "rep", "_sum", "_cnt")
+    cells = F.array_sort(F.collect_list(F.struct("idx", "_sum", "_cnt")))
+    packed = g.groupBy(*scope, F.floor(F.col("idx") / SLICE).alias("_slice")).agg(cells.alias("_v"))
+    packed = packed.select(*scope, "_slice", F.col("_v._sum").alias("_sums"), F.col("_v._cnt").alias("_cnts"))
+    right = materialize(with_size(packed, sizes, scope), "cluster-slices")
+    d = d.withColumn("_part", F.floor(F.col("draw") / SLICE))
+    at = F.pmod("draw", F.lit(SLICE)).cast("int")
+    found = d.join(F.broadcast(right), (d["clusters"] == right["_n"]) & (d["_part"] == right["_slice"]))
+    return found.select(*scope, "rep", F.get("_sums", at).alias("_sum"), F.get("_cnts", at).alias("_cnt"))
+
+
 def cluster_bootstrap(
     df: DataFrame, scope: list[str], cluster_keys: list[str], metric: str, reps: int = 10_000, seed: int = 42
 ) -> DataFrame:
@@ -80,8 +103,7 @@ def cluster_bootstrap(
     )
     # draws depend on the number of clusters alone: scopes of one size share them
     d = slots(sizes.where("clusters >= 2").select("clusters").distinct(), reps, seed, "clusters", "clusters", ["clusters"])
-    right = with_size(g, sizes, scope)
-    boot = d.join(right, (d["clusters"] == right["_n"]) & (d["draw"] == right["idx"])).groupBy(*scope, "rep").agg((F.sum("_sum") / F.sum("_cnt")).alias("value"))
+    boot = cluster_draws(d, g, sizes, scope).groupBy(*scope, "rep").agg((F.sum("_sum") / F.sum("_cnt")).alias("value"))
     ci = boot.groupBy(*scope).agg(F.percentile("value", F.array(*[F.lit(p) for p in CI])).alias("q"))
     out = sizes.join(ci, scope, "left") if scope else sizes.join(F.broadcast(ci))
     return out.select(*scope, "estimate", F.col("q")[0].alias("ci95_lower"), F.col("q")[1].alias("ci95_upper"), "records", "clusters")
@@ -146,7 +168,8 @@ def block_replicates(pos: DataFrame, block: int, reps: int, seed: int, key: str
     sizes = sums.select("n").distinct()
     d = slots(sizes, reps, seed, F.ceil(F.col("n") / block), "n", ["n"])
     d = d.select(F.col("n").alias("_n"), "rep", "slot", F.col("draw").cast("int").alias("_s"))
-    j = d.join(sums, (d["_n"] == sums["n"]) & (d["_s"] == sums["start"]))
+    # named, as the size of the draws would be taken for that of the lengths, and they be broadcast
+    j = d.join(sums.hint("merge"), (d["_n"] == sums["n"]) & (d["_s"] == sums["start"]))
     last = F.col("slot") == F.ceil(F.col("n") / block) - 1
     pick = lambda full, part: F.sum(F.when(last, F.col(part)).otherwise(F.col(full)))
     return j.groupBy(key, "n", "rep").agg(pick("s1", "p1").alias("s1"), pick("s2", "p2").alias("s2"))

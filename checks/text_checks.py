@@ -16,7 +16,7 @@ from weightloom.operators import rules as W
 from weightloom.operators import textrules as R
 from weightloom.plans import study as PL
 from weightloom.plans import variants as VR
-from weightloom.session import shared_dir
+from weightloom.session import fan_out, shared_dir
 from weightloom.sources import calls as SC
 from weightloom.sources import testbed as TB
 from weightloom.streaming import calls as ST
@@ -28,7 +28,8 @@ ALLOWED = ("SPY", "QQQ", "AGG")
 
 
 def responses(s, d):
-    e = TB.table(s, d, "events")
+    # a small file is read by few tasks, and each row takes long
+    e = TB.table(s, d, "events").select("event_id", "props").repartition(fan_out(s))
     i, v = F.col("event_id") % 12, F.col("event_id") % 90 / 100.0
     raw = (
         F.when(i == 0, F.format_string('Sure.\n```json\n{"weights": {"SPY": %.2f, "qqq ": 0.10}}\n```\nDone {x}', v))

@@ -151,6 +151,21 @@ def test_long_unbalanced_text_does_not_overflow(spark):
     assert R.extract_weights(df, "raw").agg(F.sum("json_valid")).first()[0] == 0
 
 
+def test_responses_are_parsed_once(spark):
+    import re
+
+    from weightloom.operators import textrules as R
+
+    rows = [(0, '{"A": 0.9, "B": "x"}'), (1, "{A: 0.2, 'B': 0.3,}"), (2, "none"), (3, '{"weights": [1]}'), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "i int, raw string")
+    got = R.repair_rows(R.extract_weights(df, "raw").select("i", "parsed"), F.array(F.lit("A"), F.lit("B")))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # strictly, repaired, and the weights of either: a filter or a lambda must not evaluate them anew
+    assert len(re.findall(r"from_json\(", plan)) == 3
+    out = [(r.i, r.ticker, r.raw_weight, round(r.projected_weight, 9), round(r.sum_projected, 9)) for r in got.collect()]
+    assert sorted(out) == [(0, "A", 0.9, 0.6, 1.0), (0, "B", 0.0, 0.4, 1.0), (1, "A", 0.2, 0.45, 1.0), (1, "B", 0.3, 0.55, 1.0)]
+
+
 def test_hyphenated_tickers_never_match_feature_lines(spark):
     text = "- BTC-USD_r1m: 0.1\n- SPY_r1m: -0.25\n- SPY_vol3m: 1e-3"
     got = spark.range(1).select(R.parse_features(F.lit(text)).alias("f")).first()["f"]

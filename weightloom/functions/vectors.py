@@ -82,13 +82,14 @@ def project_capped(v: Column, cap: Column | float) -> Column:
     An infeasible cap (cap * n < 1) gives equal weights.
     """
     cap = F.lit(cap).cast("double") if not isinstance(cap, Column) else cap.cast("double")
-    a = F.transform(v, lambda x: F.coalesce(finite(x), F.lit(0.0)))
-    kinks = F.array_sort(
-        F.concat(
-            F.transform(a, lambda x: F.struct((-x).alias("u"), F.lit(1.0).alias("s"))),
-            F.transform(a, lambda x: F.struct((cap - x).alias("u"), F.lit(-1.0).alias("s"))),
+
+    def kinks(a):
+        return F.sort_array(
+            F.concat(
+                F.transform(a, lambda x: F.struct((-x).alias("u"), F.lit(1.0).alias("s"))),
+                F.transform(a, lambda x: F.struct((cap - x).alias("u"), F.lit(-1.0).alias("s"))),
+            )
         )
-    )
 
     def step(acc, k):
         reached = acc["g"] + acc["slope"] * (k["u"] - acc["at"])
@@ -113,16 +114,21 @@ def project_capped(v: Column, cap: Column | float) -> Column:
             )
         )
 
-    start = F.struct(
-        F.lit(0.0).alias("g"),
-        F.lit(0.0).alias("slope"),
-        kinks[0]["u"].alias("at"),
-        F.lit(None).cast("double").alias("hit"),
-    )
-    shift = F.aggregate(kinks, start, step, lambda acc: F.coalesce(acc["hit"], acc["at"]))
-    clipped = bind(shift, lambda u: F.transform(a, lambda x: F.least(F.greatest(x + u, F.lit(0.0)), cap)))
-    scaled = scale_to_one(clipped)
-    return F.when(cap * F.size(v) < 1.0 - 1e-12, equal_like(v)).otherwise(scaled)
+    def shift(ks):
+        start = F.struct(
+            F.lit(0.0).alias("g"),
+            F.lit(0.0).alias("slope"),
+            ks[0]["u"].alias("at"),
+            F.lit(None).cast("double").alias("hit"),
+        )
+        return F.aggregate(ks, start, step, lambda acc: F.coalesce(acc["hit"], acc["at"]))
+
+    def clipped(a):
+        return bind(bind(kinks(a), shift), lambda u: F.transform(a, lambda x: F.least(F.greatest(x + u, F.lit(0.0)), cap)))
+
+    finite_or_0 = lambda x: F.coalesce(finite(x), F.lit(0.0))
+    solved = lambda w: F.when(cap * F.size(w) < 1.0 - 1e-12, equal_like(w)).otherwise(scale_to_one(bind(F.transform(w, finite_or_0), clipped)))
+    return bind(v, solved)
 
 
 def from_map(weights: Column, universe: Column) -> Column:

@@ -57,16 +57,18 @@ def _json_map(text: Column) -> Column:
 
 def first_object(text: Column) -> Column:
     """The text from the first brace to the one that closes it, at any depth; else empty."""
-    at = F.instr(text, "{")
-    rest = F.substring(text, F.greatest(at, F.lit(1)), F.length(text))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"))
 
     def step(a: Column, part: Column) -> Column:
         more = F.struct((a["depth"] + F.when(part.endswith("{"), 1).when(part.endswith("}"), -1).otherwise(0)).alias("depth"), (a["size"] + F.length(part)).alias("size"))
         return F.when((a["size"] > 0) & (a["depth"] == 0), a).otherwise(more)
 
-    end = F.aggregate(F.regexp_extract_all(rest, F.lit(TO_BRACE), F.lit(0)), start, step)
-    return F.when((at > 0) & (end["depth"] == 0), F.substring(rest, F.lit(1), end["size"])).otherwise("")
+    def closed(rest: Column) -> Column:
+        end = F.aggregate(F.regexp_extract_all(rest, F.lit(TO_BRACE), F.lit(0)), start, step)
+        return V.bind(end, lambda e: F.when(e["depth"] == 0, F.substring(rest, F.lit(1), e["size"])).otherwise(""))
+
+    found = lambda s, at: F.when(at > 0, V.bind(F.substring(s, at, F.length(s)), closed)).otherwise("")
+    return V.bind(text, lambda s: V.bind(F.instr(s, "{"), lambda at: found(s, at)))
 
 
 def extract_weights(df: DataFrame, text: str) -> DataFrame:
@@ -75,25 +77,33 @@ def extract_weights(df: DataFrame, text: str) -> DataFrame:
     A fenced block wins, otherwise the first balanced object; repairs (trailing
     commas, single quotes, bare keys) are tried only where the strict parse fails.
     """
-    t = F.trim(F.coalesce(F.col(text), F.lit("")))
-    fenced = F.regexp_extract(t, FENCED, 1)
-    body = first_object(F.when(fenced != "", fenced).otherwise(t))
-    x = df.withColumn("_body", F.when(body != "", body))
-    fixed = F.regexp_replace("_body", TRAILING_COMMA, "$1")
-    fixed = F.when(fixed.contains("'") & ~fixed.contains('"'), F.replace(fixed, F.lit("'"), F.lit('"'))).otherwise(fixed)
-    fixed = F.regexp_replace(fixed, BARE_KEY, '$1"$2"$3')
-    x = x.withColumn("_strict", _json_map(F.col("_body")))
-    x = x.withColumn("_loose", F.when(F.col("_strict").isNull(), _json_map(fixed)))
-    got = F.coalesce("_strict", "_loose")
-    inner = _json_map(F.element_at(got, F.lit("weights")))
-    # an empty answer is none, and neither are weights that are no object
-    x = x.withColumn("parsed", F.when(F.size(got) > 0, F.when(F.map_contains_key(got, F.lit("weights")), inner).otherwise(got)))
+    def body(t: Column) -> Column:
+        return V.bind(F.regexp_extract(t, FENCED, 1), lambda fenced: first_object(F.when(fenced != "", fenced).otherwise(t)))
+
+    def mended(b: Column) -> Column:
+        quoted = lambda x: F.when(x.contains("'") & ~x.contains('"'), F.replace(x, F.lit("'"), F.lit('"'))).otherwise(x)
+        return F.regexp_replace(V.bind(F.regexp_replace(b, TRAILING_COMMA, "$1"), quoted), BARE_KEY, '$1"$2"$3')
+
+    def weights(got: Column) -> Column:
+        # an empty answer is none, and neither are weights that are no object
+        inner = _json_map(F.element_at(got, F.lit("weights")))
+        return F.when(F.size(got) > 0, F.when(F.map_contains_key(got, F.lit("weights")), inner).otherwise(got))
+
+    def result(strict: Column, loose: Column) -> Column:
+        return F.struct(V.bind(F.coalesce(strict, loose), weights).alias("parsed"), (strict.isNull() & loose.isNotNull()).alias("repaired"))
+
+    def read(b: Column) -> Column:
+        return V.bind(_json_map(b), lambda strict: V.bind(F.when(strict.isNull(), _json_map(mended(b))), lambda loose: result(strict, loose)))
+
+    # every step is bound: a step that the next ones name several times would be evaluated as often
+    found = V.bind(body(F.trim(F.coalesce(F.col(text), F.lit("")))), lambda b: V.bind(F.when(b != "", b), read))
+    x = df.withColumn("_found", found).withColumn("parsed", F.col("_found.parsed"))
     return x.withColumns(
         {
-            "json_valid": F.col("parsed").isNotNull().cast("int"),
-            "repair_used": (F.col("_strict").isNull() & F.col("_loose").isNotNull()).cast("int"),
+            "json_valid": F.col("_found.parsed").isNotNull().cast("int"),
+            "repair_used": F.col("_found.repaired").cast("int"),
         }
-    ).drop("_body", "_strict", "_loose")
+    ).drop("_found")
 
 
 def canonical_ticker(c: Column) -> Column:
@@ -161,12 +171,19 @@ def repair_rows(df: DataFrame, allowed: Column, cap: float = 0.60) -> DataFrame:
     Unknown tickers are dropped, missing or unusable ones are 0, and the raw
     vector goes to the projection as it is, without normalising.
     """
-    value = lambda a: F.coalesce(finite(F.col("parsed")[a].try_cast("double")), F.lit(0.0))
-    x = df.withColumn("_raw", F.when(F.col("parsed").isNotNull(), F.transform(allowed, value)))
-    x = x.where("_raw IS NOT NULL").withColumn("_w", V.project_capped(F.col("_raw"), cap))
-    cells = F.arrays_zip(allowed.alias("ticker"), F.col("_raw").alias("raw_weight"), F.col("_w").alias("projected_weight"))
-    totals = {"sum_projected": V.total(F.col("_w")), "max_projected": F.array_max("_w"), "min_projected": F.array_min("_w")}
-    return x.withColumns(totals).select(*df.columns, *totals, F.inline(cells))
+    def cells(raw: Column, w: Column) -> Column:
+        total, top, least = V.total(w), F.array_max(w), F.array_min(w)
+        totals = F.struct(total.alias("sum_projected"), top.alias("max_projected"), least.alias("min_projected"))
+        return V.bind(totals, lambda t: F.transform(F.arrays_zip(allowed.alias("ticker"), raw.alias("raw"), w.alias("w")), lambda e: F.struct(
+            t["sum_projected"], t["max_projected"], t["min_projected"], e["ticker"].alias("ticker"), e["raw"].alias("raw_weight"), e["w"].alias("projected_weight"))))
+
+    def usable(parsed: Column) -> Column:
+        number = lambda a: V.bind(parsed[a].try_cast("double"), lambda v: F.coalesce(finite(v), F.lit(0.0)))
+        return F.when(parsed.isNotNull(), F.transform(allowed, number))
+
+    # without a usable object there are no cells; a filter on them would evaluate all of it once more
+    found = V.bind(usable(F.col("parsed")), lambda raw: F.when(raw.isNotNull(), V.bind(V.project_capped(raw, cap), lambda w: cells(raw, w))))
+    return df.select(*df.columns, F.inline(found))
 
 
 def keyword_policy(text: Column) -> Column:

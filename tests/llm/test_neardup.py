@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weightloom.llm import neardup
+from weightloom.llm import neardup, simhash
 
 
 def shingles(text):
@@ -80,3 +80,33 @@ def test_large_buckets_are_dealt(spark, monkeypatch):
     rows.append((900, " ".join(text[:100])))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert kept_ids(neardup.keep_one(frame)) == plain_kept(frame.collect()) == [0, 900]
+
+
+def test_links_beyond_the_neighbours_are_found(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "DEAL", 3)
+    monkeypatch.setattr(neardup, "NEIGHBOURS", 1)
+    monkeypatch.setattr(neardup, "TILE", 7)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(60):  # a chain of texts: each is near those a few steps away, far from the others
+        base[2 * i : 2 * i + 2] = [f"x{i}-{rng.randrange(9)}", f"y{i}"]
+        rows.append((i, " ".join(base)))
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert kept_ids(neardup.keep_one(frame)) == plain_kept(frame.collect())
+
+
+def test_all_members_of_a_large_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 5)
+    rows = [(i, 7, 23, i % 4, bytes([i // 2]) * 125) for i in range(23)]
+    frame = spark.createDataFrame(rows, "sid long, bucket long, n long, root long, sketch binary")
+    assert sorted(map(tuple, neardup.crossing(frame).collect())) == [(i, i + 1) for i in range(0, 22, 2)]
+
+
+def test_texts_of_one_id_and_hash_are_not_one(spark, monkeypatch):
+    monkeypatch.setattr(simhash.F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+    rows = [(1, "one", "b"), (1, "one", "a"), (1, "two", "c"), (2, "one", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keep = spark.createDataFrame([(1, 1)], "id long, hash long")
+    assert sorted(map(tuple, simhash.one_row(docs, keep).collect())) == [(1, "one", "a"), (1, "two", "c")]

@@ -122,6 +122,10 @@ def keep_one(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
 
 
 def one_row(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``keep`` names by ``id`` and text ``hash``, of rows equal in both the least."""
-    best = docs.groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash")).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row"))
-    return best.join(keep, F.col("__id").eqNullSafe(keep["id"]) & (F.col("__hash") == keep["hash"]), "left_semi").select("__row.*")
+    """The rows of ``docs`` that ``keep`` names by ``id`` and text ``hash``, of rows equal in id and text the least.
+
+    Equal texts are told by the texts themselves: of texts that share an id and a hash none is dropped."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    best = docs.groupBy(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).agg(F.min(rest).alias("__row"))
+    same = F.col("__id").eqNullSafe(keep["id"]) & (F.xxhash64("__text") == keep["hash"])
+    return best.join(keep, same, "left_semi").select(*(F.col("__text").alias("text") if c == "text" else F.col(f"__row.`{c}`") for c in docs.columns))

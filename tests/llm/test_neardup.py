@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -104,6 +105,72 @@ def test_all_members_of_a_large_bucket_meet(spark, monkeypatch):
     assert sorted(map(tuple, neardup.crossing(frame).collect())) == [(i, i + 1) for i in range(0, 22, 2)]
 
 
+def star(n, words=150, changes=6):
+    """Texts of one base: few pairs are links, nearly all are close to it."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(words)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for k in rng.sample(range(words), changes if i % 3 else 1 + i % 2):
+            copy[k] = f"x{i}-{k}"
+        out.append(" ".join(copy))
+    return out
+
+
+def similarity(a, b):
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def test_a_large_bucket_gives_rows_in_proportion_to_its_members(spark):
+    texts = star(200)
+    frame = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    prints = neardup.signatures(frame).select(F.col("key").alias("sid"), "sketch")
+    marked = neardup.marks(frame.withColumnRenamed("key", "sid"), 5)
+    members = prints.join(marked, "sid").selectExpr("*", "7L as bucket", "200L as n", "sid as root")
+    found = {tuple(r) for r in neardup.crossing(members, 0.8).collect()}
+    links = {(i, j) for j in range(200) for i in range(j) if similarity(texts[i], texts[j]) >= 0.8}
+    rest = {(i, j) for i, j in found if i < j} - links
+    assert len(found) <= neardup.TURN * 200 + 1 and all(similarity(texts[i], texts[j]) > 0.78 for i, j in rest)
+    joined = members.withColumn("now", F.lit(1).cast("long"))  # once all are of one component, nothing is left
+    assert neardup.crossing(joined, 0.8).isEmpty() and neardup.crossing(joined, 0.8, 1).isEmpty()
+    every = set()
+    for turn in range(200):
+        more = {tuple(r) for r in neardup.crossing(members, 0.8, turn).collect()}
+        every |= {(i, j) for i, j in more if i < j}
+        if all(i < j for i, j in more):
+            break
+    assert links <= every
+
+
+def test_marks_never_rule_out_a_link(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = ["one", "one two", *star(12), *star(6, 1200, 30), *(" ".join(f"v{rng.randrange(40)}" for _ in range(n)) for n in (3, 30, 300, 3000))]
+    texts += [texts[3] + " " + " ".join(f"t{k}" for k in range(n)) for n in (1, 20, 40, 200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "sid long, text string")
+    for bits in (64, 1 << 14):
+        monkeypatch.setattr(neardup, "MARK_BITS", bits)
+        rows = neardup.marks(frame, 5).orderBy("sid").collect()
+        assert [r.size for r in rows] == [len(shingles(t)) for t in texts]
+        pairs = np.array([(i, j) for j in range(len(texts)) for i in range(j)])
+        most = neardup.at_most(np.array([r.size for r in rows]), [bytes(r.mark) for r in rows], pairs[:, 0], pairs[:, 1])
+        exact = np.array([similarity(texts[i], texts[j]) for i, j in pairs])
+        assert (most >= exact).all()
+        assert bits == 64 or (most - exact)[exact > 0.7].max() < 0.03
+
+
+def test_turns_go_on_until_no_pair_is_left(spark, monkeypatch):
+    for name, value in (("DEAL", 3), ("NEIGHBOURS", 1), ("TILE", 1000), ("TURN", 1), ("MARK_BITS", 64)):
+        monkeypatch.setattr(neardup, name, value)
+    turns, crossing = [], neardup.crossing
+    monkeypatch.setattr(neardup, "crossing", lambda members, least, turn: turns.append(turn) or crossing(members, least, turn))
+    rows = list(enumerate(star(45, 150, 7)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert kept_ids(neardup.keep_one(frame)) == plain_kept(frame.collect())
+    assert turns == list(range(len(turns))) and len(turns) > 1
+
+
 def test_texts_of_one_id_and_hash_are_not_one(spark, monkeypatch):
     monkeypatch.setattr(simhash.F, "xxhash64", lambda *c: F.lit(1).cast("long"))
     rows = [(1, "one", "b"), (1, "one", "a"), (1, "two", "c"), (2, "one", "d")]

@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -177,3 +179,58 @@ def test_texts_of_one_id_and_hash_are_not_one(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     keep = spark.createDataFrame([(1, 1)], "id long, hash long")
     assert sorted(map(tuple, simhash.one_row(docs, keep).collect())) == [(1, "one", "a"), (1, "two", "c")]
+
+
+def same_hash(a, b):
+    """The texts, padded with spaces and a last word of 64 characters each, for which their XXH64 with seed 42 are equal."""
+    p1, p2, whole, rng = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1, random.Random(2)
+
+    def turned(lane, piece):
+        x = (lane + int.from_bytes(piece, "little") * p2) & whole
+        return (x << 31 | x >> 33) * p1 & whole
+
+    size = max(len(a), len(b)) // 32 * 32 + 32
+    out, lanes = [a.ljust(size).encode(), b.ljust(size).encode()], []
+    for text in out:
+        lanes.append([(42 + p1 + p2) & whole, 42 + p2, 42, (42 - p1) & whole])
+        for k in range(0, size, 8):
+            lanes[-1][k // 8 % 4] = turned(lanes[-1][k // 8 % 4], text[k : k + 8])
+    ends = []
+    for u, v in zip(*lanes):
+        v = turned(v, b"a" * 8)
+        while True:
+            first, last = (bytes(rng.choices(range(97, 123), k=8)) for _ in range(2))
+            other = (int.from_bytes(last, "little") + (turned(u, first) - v) * pow(p2, -1, 1 << 64) & whole).to_bytes(8, "little")
+            if all(33 <= c <= 126 for c in other):
+                break
+        ends.append((first, last, other))
+    out = [out[0] + b"".join(e[0] for e in ends) + b"".join(e[1] for e in ends), out[1] + b"a" * 32 + b"".join(e[2] for e in ends)]
+    assert xxhash.xxh64_intdigest(out[0], 42) == xxhash.xxh64_intdigest(out[1], 42) and out[0] != out[1]
+    return [x.decode() for x in out]
+
+
+def changed(text, k):
+    return " ".join(f"changed{k}" if i == k else w for i, w in enumerate(text.split(" ")))
+
+
+@pytest.mark.parametrize("case", ["one goes", "both stay", "copies", "one component", "no id"])
+def test_texts_that_share_an_id_and_a_hash_are_told_apart(spark, case):
+    rng = random.Random(1)
+    prose = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(120))
+    base = prose()
+    a, b = same_hash(prose(), prose())
+    c, d = same_hash(base, changed(base, 60))
+    rows, want = {
+        "one goes": ([(5, a), (5, b), (1, changed(a, 60))], [(1, changed(a, 60)), (5, b)]),
+        "both stay": ([(5, a), (5, b), (7, changed(a, 60)), (8, changed(b, 40)), (9, changed(b, 60))], [(5, a), (5, b)]),
+        "copies": ([(5, a), (5, b), (5, a), (1, a.title()), (5, b)], [(1, a.title()), (5, b)]),
+        "one component": ([(5, c), (5, d), (5, c), (6, changed(c, 20))], None),  # either of the two
+        "no id": ([(None, a), (None, b), (None, None), (1, changed(b, 60)), (2, "")], [(None, None), (None, a), (None, b)]),
+    }[case]
+    frame = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    found = corpus_pipeline.near_duplicates(spark, frame, "")
+    got = sorted(((r.doc_id, r.text) for r in found.collect()), key=repr)
+    assert kept_ids(found) == plain_kept(frame.collect())
+    assert got in ([[(5, c)], [(5, d)]] if want is None else [sorted(want, key=repr)])
+    if case == "copies":
+        assert sorted((r.doc_id, r.text) for r in simhash.keep_one(frame).collect()) == want

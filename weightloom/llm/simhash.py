@@ -9,12 +9,14 @@ links become components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weightloom.llm.common import bounded_batches, column_bytes, slices
 from weightloom.session import materialize
@@ -110,22 +112,32 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, key: str =
     return prints.join(ids, "fp", "left").select(key, "fp", "component_id")
 
 
+def identity(key: str, text: str) -> dict[str, Column]:
+    """What names a document: its ``id``, a ``hash`` of its text, which gives the order, and the text's SHA-256 as
+    ``digest``, as different texts of one id (or of none) can share a hash of 64 bits."""
+    return {"id": F.col(key), "hash": F.xxhash64(text), "digest": F.unhex(F.sha2(text, 256))}
+
+
+def named(names: dict[str, Column], by: DataFrame, columns: list[str]) -> Column:
+    """Whether ``names`` equal those of ``by`` in all ``columns``, null as null."""
+    return reduce(and_, (names[c].eqNullSafe(by[c]) for c in columns))
+
+
 def keep_one(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """One row of each component, all columns as they are: that of the least doc_id (null
-    first), of rows with this id the one of the least text hash, and of rows equal in both
-    the one whose columns are least. Equal rows are combined before the shuffle."""
-    same = F.xxhash64("text")
-    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), same.alias("hash")).alias("__key"), F.col("text"))
-    near = near_duplicates(keyed, radius, width, key="__key")
+    first), of rows with this id the one of the least text hash (then digest), and of rows equal
+    in text the one whose columns are least. Equal rows are combined before the shuffle."""
+    name = F.struct(*(c.alias(n) for n, c in identity("doc_id", "text").items()))
+    near = near_duplicates(docs.select(name.alias("__key"), "text"), radius, width, key="__key")
     keep = materialize(near.filter("__key = component_id").select("component_id.*").distinct(), "simhash-kept")
     return one_row(docs, keep)
 
 
 def one_row(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``keep`` names by ``id`` and text ``hash``, of rows equal in id and text the least.
+    """The rows of ``docs`` that ``keep`` names by columns of ``identity``, of rows equal in id and text the least.
 
-    Equal texts are told by the texts themselves: of texts that share an id and a hash none is dropped."""
+    With the ``digest`` that is one row for each name. Without it, texts that share an id and a hash cannot be told apart: none is dropped."""
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
     best = docs.groupBy(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).agg(F.min(rest).alias("__row"))
-    same = F.col("__id").eqNullSafe(keep["id"]) & (F.xxhash64("__text") == keep["hash"])
+    same = named(identity("__id", "__text"), keep, keep.columns)
     return best.join(keep, same, "left_semi").select(*(F.col("__text").alias("text") if c == "text" else F.col(f"__row.`{c}`") for c in docs.columns))
